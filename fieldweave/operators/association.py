@@ -27,3 +27,9 @@ def minor_alleles(calls: DataFrame) -> DataFrame:
     return calls.groupBy("marker").agg(
         alt.alias("n_alt"), (2 * n - alt).alias("n_ref"), F.when(alt <= n, "ALT").otherwise("REF").alias("minor")
     )
+
+
+def status_order(status: Column, first: list[str], p: Column, *ties: str) -> list[Column]:
+    """Sort key of result tables: status in the given order, then p (missing last), then labels."""
+    place = F.coalesce(*[F.when(status == s, i) for i, s in enumerate(first)], F.lit(len(first)))
+    return [place.asc(), p.asc_nulls_last(), *[F.col(c).asc() for c in ties]]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+SHIFT = 1.37e-9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -33,11 +34,15 @@ def query(name: str, sql: str | None = None):
 
 
 def r(col: Column | str, digits: int = 4) -> Column:
-    """Rounded double without negative zero, for value comparison."""
+    """Rounded double without negative zero, for value comparison.
+
+    The small shift keeps exact halves away from the rounding edge, where the order of a
+    floating-point sum would decide.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.round(c.cast("double") + F.lit(SHIFT), digits) + F.lit(0.0)
 
 
 def q(expr: str, digits: int = 4) -> str:
     """The same rounding in SQL."""
-    return f"(round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+    return f"(round(({expr})::DOUBLE + {SHIFT}::DOUBLE, {digits}) + 0.0::DOUBLE)"
