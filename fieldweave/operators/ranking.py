@@ -22,12 +22,8 @@ def _bucket_side(df: DataFrame) -> int:
     return max(3, min(32, math.ceil(math.sqrt(parts))))
 
 
-def with_value_bucket(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add the bucket ordinal of ``value`` within ``keys`` (monotone in value, side**2 buckets).
-
-    The lookup is two-level: coarse cut first, then the cuts inside that slice, so a row is
-    compared with 2 * side bounds instead of side**2.
-    """
+def bucket_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Approximate quantile cuts per group in two levels: coarse cuts, and the cuts between them."""
     side = _bucket_side(df)
     n = side * side
     cuts = F.percentile_approx(value, [i / n for i in range(1, n)], 20 * n).alias("__cuts")
@@ -36,7 +32,15 @@ def with_value_bucket(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     fine = F.expr(
         f"transform(sequence(0, {side - 1}), i -> slice(__cuts, i * {side} + 1, {side - 1}))"
     )
-    bounds = bounds.select(*keys, coarse.alias("__coarse"), fine.alias("__fine"))
+    return bounds.select(*keys, coarse.alias("__coarse"), fine.alias("__fine"))
+
+
+def with_value_bucket(df: DataFrame, bounds: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add the bucket ordinal of ``value`` within ``keys`` (monotone in value, side**2 buckets).
+
+    A row is compared with 2 * side bounds instead of side**2.
+    """
+    side = _bucket_side(df)
     joined = df.join(bounds, list(keys))
     top = F.size(F.filter("__coarse", lambda b: b < F.col(value)))
     joined = joined.withColumn("__top", top)
@@ -45,23 +49,29 @@ def with_value_bucket(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = (), base: DataFrame | None = None
 ) -> DataFrame:
     """One row per distinct non-null value of each group.
 
     Columns: keys, value, ``n`` (ties), ``below`` (rows with a smaller value), ``total`` (rows in
     the group), the bucket ordinal, and any ``extra`` aggregates over the tied rows.
+
+    ``base`` may name a cheaper table with the same groups and values (before a join that only adds
+    columns); bounds and bucket totals then come from it and ``df`` is read once.
     """
     keys = list(keys)
     if not keys:
-        return value_ranks(df.withColumn("__all", F.lit(0)), ["__all"], value, extra).drop("__all")
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        one = lambda d: None if d is None else d.withColumn("__all", F.lit(0))
+        return value_ranks(one(df), ["__all"], value, extra, one(base)).drop("__all")
+    usable = lambda d: d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = usable(base if base is not None else df).select(*keys, value)
+    bounds = bucket_bounds(counted, keys, value)
     vals = (
-        with_value_bucket(clean, keys, value)
+        with_value_bucket(usable(df), bounds, keys, value)
         .groupBy(*keys, BUCKET, value)
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
-    per_bucket = vals.groupBy(*keys, BUCKET).agg(F.sum("n").alias("__bn"))
+    per_bucket = with_value_bucket(counted, bounds, keys, value).groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__bn"))
     running = W.partitionBy(*keys).orderBy(BUCKET)
     offsets = per_bucket.select(
         *keys,
@@ -85,8 +95,17 @@ def average_rank() -> Column:
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Attach the average rank to every row; a hot tied value is left to AQE's skew join."""
-    ranks = value_ranks(df, keys, value).select(*keys, value, average_rank().alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    return with_average_ranks(df, keys, {value: out})
+
+
+def with_average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Attach the average rank of several columns. Each is ranked from ``df`` itself, never from an
+    already ranked table, so the work grows with the number of columns and no faster."""
+    out = df
+    for value, name in columns.items():
+        ranks = value_ranks(df.select(*keys, value), keys, value).select(*keys, value, average_rank().alias(name))
+        out = out.join(ranks, [*keys, value], "left")
+    return out
 
 
 def exact_quantiles(

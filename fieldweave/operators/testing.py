@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .ranking import running_extreme_from_above, top_k, value_ranks
 
@@ -18,6 +18,17 @@ def bh_qvalues(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "q
     return df.join(side, [*keys, p], "left")
 
 
+def bh_qvalues_bounded(df: DataFrame, keys: list[str], p: str, out: str = "q_value") -> DataFrame:
+    """The same q-values by a plain window, for tables whose groups are bounded by the number of
+    vector dimensions (one row per dimension), never for marker tables."""
+    usable = F.col(p).isNotNull() & ~F.isnan(p)
+    w = W.partitionBy(*keys, usable)
+    m = F.count(F.lit(1)).over(w)
+    step = df.withColumn("__c", F.when(usable, F.col(p) * m / F.row_number().over(w.orderBy(p))))
+    tail = w.orderBy(F.col(p).desc()).rangeBetween(W.unboundedPreceding, 0)
+    return step.withColumn(out, F.least(F.min("__c").over(tail), F.lit(1.0))).drop("__c")
+
+
 def expected_quantiles(df: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
     """(observed, expected) -log10 pairs per group; tied p-values take consecutive ranks."""
     r = value_ranks(df, keys, p)
