@@ -18,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .crossproducts import array_matrix, gram_matrices, gram_rows, list_column
+from .crossproducts import array_matrix, gram_matrices, list_column
 from .ranking import value_ranks
 
 
@@ -54,7 +54,7 @@ class PcaFit:
 def fit_pca(df: DataFrame, vec: str, k: int, fit: str | None = None, scale: bool = True) -> PcaFit:
     """PCA of the (standardised) fit rows from the Gram matrix of [1, x]."""
     rows = df.where(F.col(fit)) if fit else df
-    g = gram_matrices(gram_rows(rows, vec, prepare=with_one))[""]
+    g = gram_matrices(rows, vec, prepare=with_one)[""]
     n = g[0, 0]
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)
@@ -119,8 +119,9 @@ def _summed(df: DataFrame, vec: str, fn: Callable[[np.ndarray], np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), list_column(total)], names=["i", "row"])
 
     part = df.select(vec).mapInArrow(fold, "i int, row array<double>")
-    rows = part.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("s")).orderBy("i").select(vector_to_array("s").alias("row"))
-    return array_matrix(rows.toArrow().column(0))
+    rows = part.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("s")).select("i", vector_to_array("s").alias("row"))
+    table = rows.toArrow()
+    return array_matrix(table.column(1))[np.argsort(table.column(0).to_numpy())]
 
 
 def fit_ica(
@@ -218,8 +219,8 @@ def parallel_analysis(
         sd = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
         return np.sort(np.linalg.eigvalsh(cov / np.outer(sd, sd) * n / (n - 1)))[::-1]
 
-    observed = eigen(gram_matrices(gram_rows(df, vec, prepare=with_one))[""])
-    null = gram_matrices(gram_rows(permuted_vectors(df, row_id, vec, replicates, seed), "features", by="rep", prepare=with_one))
+    observed = eigen(gram_matrices(df, vec, prepare=with_one)[""])
+    null = gram_matrices(permuted_vectors(df, row_id, vec, replicates, seed), "features", by="rep", prepare=with_one)
     k = min(max_pcs, len(observed))
     table = np.vstack([eigen(g)[:k] for g in null.values()])
     edge = np.percentile(table, percentile, axis=0)

@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.pvalues import correlation_p, normal_p
 from ..session import cut_lineage
-from .crossproducts import gram_matrices, gram_rows
+from .crossproducts import gram_matrices
 from .ranking import average_rank, value_ranks, with_average_rank, with_average_ranks
 from .testing import bh_qvalues_bounded
 
@@ -105,7 +105,7 @@ def with_one(x: np.ndarray) -> np.ndarray:
 
 def correlation_matrix(df: DataFrame, vec: str) -> DataFrame:
     """(i, j, r) for i < j from one cross-product pass."""
-    c = correlation_from_gram(gram_matrices(gram_rows(df, vec, prepare=with_one))[""])
+    c = correlation_from_gram(gram_matrices(df, vec, prepare=with_one)[""])
     i, j = np.triu_indices(len(c), 1)
     return df.sparkSession.createDataFrame(pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "r": c[i, j]}))
 
@@ -220,7 +220,7 @@ def dimension_r2(df: DataFrame, vec: str, covariates: list[str]) -> DataFrame:
     packed = df.dropna(subset=covariates).select(
         F.concat(F.array(*[F.col(c).cast("double") for c in covariates]), F.transform(vec, lambda v: v.cast("double"))).alias("v")
     )
-    g = gram_matrices(gram_rows(packed, "v", prepare=with_one))[""]
+    g = gram_matrices(packed, "v", prepare=with_one)[""]
     n, mean = g[0, 0], g[0, 1:] / g[0, 0]
     cov = g[1:, 1:] / n - np.outer(mean, mean)
     k = len(covariates)

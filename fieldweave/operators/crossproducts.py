@@ -90,20 +90,27 @@ def gram_rows(
     return summed.select("grp", "i", vector_to_array("s").alias("row"))
 
 
-def gram_matrices(rows: DataFrame, limit: int = MAX_DIM) -> dict[str, np.ndarray]:
-    """Finished Gram matrices on the driver, keyed by group; refuses a dimension beyond ``limit``."""
-    top = rows.sparkSession
-    shape = rows.agg(F.max("i").alias("k")).first()["k"]
-    if shape is None:
+def gram_matrices(
+    df: DataFrame, vec: str, by: str | None = None, prepare: Callable[[np.ndarray], np.ndarray] | None = None,
+    hold: int = 64, limit: int = MAX_DIM,
+) -> dict[str, np.ndarray]:
+    """Finished Gram matrices on the driver, keyed by group; refuses vectors longer than ``limit``.
+
+    The length is read from one row first; unequal lengths fail inside the tasks.
+    """
+    first = df.select(F.size(vec).alias("k")).first()
+    if first is None:
         return {}
-    if shape + 1 > limit:
-        raise ValueError(f"{shape + 1} dimensions exceed the limit of {limit}")
-    out: dict[str, list] = {}
-    for r in rows.toArrow().to_batches():
+    if first["k"] > limit:
+        raise ValueError(f"{first['k']} dimensions exceed the limit of {limit}")
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for r in gram_rows(df, vec, by, prepare, hold).toArrow().to_batches():
+        if r.num_rows == 0:
+            continue
         m = array_matrix(r.column(2))
         for j, (g, i) in enumerate(zip(r.column(0).to_pylist(), r.column(1).to_pylist())):
-            out.setdefault(g, {})[i] = m[j]  # type: ignore[index]
-    return {g: np.vstack([d[i] for i in range(len(d))]) for g, d in out.items()}  # type: ignore[index]
+            out.setdefault(g, {})[i] = m[j]
+    return {g: np.vstack([d[i] for i in range(len(d))]) for g, d in out.items()}
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vec: str, out: str = "sums") -> DataFrame:

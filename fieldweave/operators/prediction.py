@@ -14,7 +14,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import with_one
-from .crossproducts import gram_matrices, gram_rows
+from .crossproducts import gram_matrices
 from .correlate import spearman_by_dimension
 from .transforms import group_kfold, hashed_folds, standardize_on_fit
 
@@ -71,7 +71,7 @@ def ridge_curve(
     rows = hashed_folds(df.where(F.col(target).isNotNull()), group, folds, repeats).select(
         F.concat_ws("/", "repeat", "fold").alias("part"), F.concat(picked, F.array(F.col(target).cast("double"))).alias("v")
     )
-    grams = gram_matrices(gram_rows(rows, "v", by="part", prepare=with_one, hold=max(64, repeats * folds)))
+    grams = gram_matrices(rows, "v", by="part", prepare=with_one, hold=max(64, repeats * folds))
     out = []
     for k in counts:
         best = None

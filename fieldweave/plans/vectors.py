@@ -194,7 +194,7 @@ _EIG = f"(SELECT (row_number() OVER (ORDER BY v DESC, dim))::INT AS pc, v FROM (
 @query("component_counts", f"""WITH e AS {_EIG}, n AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT pc, v, (SELECT max(pc) FROM e) AS p, avg(v) OVER w AS a, avg(ln(v)) OVER w AS g FROM e WINDOW w AS (ORDER BY pc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
   s AS (SELECT pc - 1 AS k, p, n * (p - pc + 1) * (ln(a) - g) AS llf, (pc - 1) * (2 * p - (pc - 1)) AS nfree, n FROM t, n)
   SELECT (SELECT count(*) FROM e WHERE v > 1) AS kaiser, (SELECT arg_min(k, 2 * llf + 2 * nfree) FROM s)::INT AS aic, (SELECT arg_min(k, llf + 0.5 * nfree * ln(n)) FROM s)::INT AS mdl,
-  (SELECT arg_max(pc, abs((l.v - f.v) * (e.pc - 1) - (l.pc - 1) * e.v + (l.pc - 1) * f.v)) FROM e, (SELECT * FROM e ORDER BY pc LIMIT 1) f, (SELECT * FROM e ORDER BY pc DESC LIMIT 1) l)::INT AS elbow""")
+  (SELECT arg_max(e.pc, abs((l.v - f.v) * (e.pc - 1) - (l.pc - 1) * e.v + (l.pc - 1) * f.v)) FROM e, (SELECT * FROM e ORDER BY pc LIMIT 1) f, (SELECT * FROM e ORDER BY pc DESC LIMIT 1) l)::INT AS elbow""")
 def component_counts(t):
     v = R.features_long(R.crops(t), "vec_id").groupBy("dim").agg((F.var_samp("value") * 100).alias("v"))
     n = t.embeddings.agg(F.count(F.lit(1)).alias("n"))
@@ -209,15 +209,21 @@ def leading_run(t):
 
 
 # ---------------------------------------------------------------- prediction
+def labelled_images(t):
+    """Scored images with the line of the image (its customer's nation here) as the fold group."""
+    line = t.customer.select(F.col("c_custkey").alias("image_no"), F.concat(F.lit("L"), "c_nationkey").alias("genotype"))
+    return scored_images(t).join(line, "image_no")
+
+
 @query("ridge_curve")
 def ridge_curve(t):
-    df = scored_images(t).select("features", "score", "genotype")
+    df = labelled_images(t).select("features", "score", "genotype")
     c = M.ridge_curve(df, "features", "score", "genotype", counts=[1, 4, 16, 64], repeats=3, folds=4)
     return c.select("k", "penalty", r("mean_r2").alias("mean_r2"), r("sd_r2").alias("sd_r2"))
 
 
 @query("forest_cv")
 def forest_cv(t):
-    df = scored_images(t).select("image_no", "features", "score", "genotype")
+    df = labelled_images(t).select("image_no", "features", "score", "genotype")
     preds, _ = M.forest_cross_validation(df, "features", "score", "genotype", outer=2, inner=2, tries=1, seed=0, trees=8)
     return preds.select("image_no", "fold", r("prediction", 2).alias("prediction"))
