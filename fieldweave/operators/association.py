@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.pvalues import student_t_p
+from .correlate import covariance_array
+from .kinship import mean_imputed
+from .ranking import value_ranks
+
 
 def find_marker(markers: DataFrame, label: str) -> DataFrame:
     """The one marker with this id, else the one at CHROM:POS[:REF:ALT]; anything but one is an error."""
@@ -33,3 +40,144 @@ def status_order(status: Column, first: list[str], p: Column, *ties: str) -> lis
     """Sort key of result tables: status in the given order, then p (missing last), then labels."""
     place = F.coalesce(*[F.when(status == s, i) for i, s in enumerate(first)], F.lit(len(first)))
     return [place.asc(), p.asc_nulls_last(), *[F.col(c).asc() for c in ties]]
+
+
+# ---------------------------------------------------------------- linkage
+def linkage(calls: DataFrame, lead: str, min_calls: int = 50, impute: bool = True) -> DataFrame:
+    """r2 of every marker with a lead marker over samples.
+
+    With ``impute``, a missing dosage counts as its marker's mean (the mean of the observed calls),
+    so means stay, products with a missing partner vanish and only the divisor changes; the sums
+    are therefore taken over observed pairs and nothing is filled in row by row.
+    """
+    d = F.col("dosage").cast("double")
+    ld = calls.where(F.col("marker") == lead).select("sample", d.alias("__l"))
+    seen = ld.where(F.col("__l").isNotNull())
+    st = seen.agg(F.avg("__l").alias("__lm"), F.sum((F.col("__l")) * F.col("__l")).alias("__ll"), F.count(F.lit(1)).alias("__ln"))
+    pairs = calls.select("marker", "chrom", "pos", "sample", d.alias("x")).where("x IS NOT NULL").join(seen, "sample", "left")
+    both = F.when(F.col("__l").isNotNull(), F.col("x"))
+    s = pairs.groupBy("marker", "chrom", "pos").agg(
+        F.count("x").alias("n_calls"), F.avg("x").alias("xm"), F.var_pop("x").alias("xv"),
+        F.count("__l").alias("n"), F.sum(both * F.col("__l")).alias("sxl"), F.sum(both).alias("sx"), F.sum("__l").alias("sl"),
+        F.covar_pop(both, F.col("__l")).alias("c"), F.var_pop(both).alias("vx"), F.var_pop("__l").alias("vl"),
+    ).where(F.col("n_calls") >= min_calls)
+    if impute:
+        s = s.withColumn("__one", F.lit(1)).join(st.withColumn("__one", F.lit(1)), "__one")
+        cross = F.col("sxl") - F.col("xm") * F.col("sl") - F.col("__lm") * F.col("sx") + F.col("n") * F.col("xm") * F.col("__lm")
+        sxx = F.col("xv") * F.col("n_calls")
+        sll = F.col("__ll") - F.col("__ln") * F.col("__lm") * F.col("__lm")
+        r2 = F.when((sxx > 0) & (sll > 0), F.try_divide(cross * cross, sxx * sll))
+    else:
+        r2 = F.when((F.col("vx") > 0) & (F.col("vl") > 0), F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vl")))
+    return s.select("marker", "chrom", "pos", "n_calls", r2.alias("r2"))
+
+
+def block_extent(ld: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Span and marker count of the block around a lead at each r2 threshold."""
+    cuts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    hit = ld.select("chrom", "pos", "r2", cuts.alias("threshold")).where(F.col("r2") > F.col("threshold"))
+    return hit.groupBy("threshold", "chrom").agg(
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_markers")
+    )
+
+
+# ---------------------------------------------------------------- least squares from sums
+@F.pandas_udf("effect double, se double, t double, df double, r2 double")
+def _ols_first(n: pd.Series, cov: pd.Series) -> pd.DataFrame:
+    """Effect of the first predictor from n and the flat covariance of (y, x, covariates...)."""
+    out = []
+    for m, flat in zip(n, cov):
+        k = int(round(len(flat) ** 0.5))
+        c = np.asarray([np.nan if v is None else v for v in flat], dtype=float).reshape(k, k)
+        df = m - k
+        s = c[1:, 1:]
+        if df <= 0 or not np.all(np.isfinite(c)) or np.linalg.matrix_rank(s, tol=1e-10 * max(s.max(), 1e-300)) < k - 1:
+            out.append((None,) * 5)
+            continue
+        inv = np.linalg.inv(s)
+        b = inv @ c[1:, 0]
+        rss = max(c[0, 0] - b @ c[1:, 0], 0.0)
+        se = np.sqrt(rss * inv[0, 0] / df)
+        out.append((b[0], se, b[0] / se if se > 0 else None, float(df), 1 - rss / c[0, 0] if c[0, 0] > 0 else None))
+    return pd.DataFrame(out, columns=["effect", "se", "t", "df", "r2"], dtype="float64")
+
+
+def ols_effects(df: DataFrame, keys: list[str], y: str, predictors: list[str], min_n: int = 3) -> DataFrame:
+    """Per group: least-squares effect of the first predictor given the others, with t-test p.
+
+    The aggregate holds a (k + 1) x (k + 1) covariance per group and combines map-side; the solve
+    runs on those small rows.
+    """
+    cols = [y, *predictors]
+    s = df.dropna(subset=cols).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), covariance_array(cols).alias("__c")).where(F.col("n") >= min_n)
+    f = s.withColumn("__f", _ols_first(F.col("n").cast("double"), "__c"))
+    return f.select(*keys, "n", "__f.effect", "__f.se", "__f.t", "__f.r2", student_t_p(F.col("__f.t"), F.col("__f.df")).alias("p_value"))
+
+
+def conditional_effects(cells: DataFrame, keys: list[str], y: str, marker: str, other: str) -> DataFrame:
+    """Effect of a marker alone, given the other predictor, and of the other given the marker."""
+    alone = ols_effects(cells, keys, y, [marker]).select(*keys, "n", F.col("effect").alias("effect_alone"), F.col("p_value").alias("p_alone"))
+    given = ols_effects(cells, keys, y, [marker, other]).select(*keys, F.col("effect").alias("effect_given"), F.col("p_value").alias("p_given"))
+    back = ols_effects(cells, keys, y, [other, marker]).select(*keys, F.col("effect").alias("other_given"), F.col("p_value").alias("p_other_given"))
+    return alone.join(given, keys).join(back, keys)
+
+
+def screen_verdict(tests: DataFrame, p: float = 1e-3) -> DataFrame:
+    """Per marker: smallest p over the screened traits and a Y/N verdict."""
+    return tests.groupBy("marker").agg(
+        F.min("p_value").alias("min_p"), F.min_by("trait", F.struct("p_value", "trait")).alias("best_trait")
+    ).withColumn("related", F.when(F.col("min_p") < p, "Y").otherwise("N"))
+
+
+def bonferroni(tests: DataFrame, n_tests: int, alpha: float = 0.05) -> DataFrame:
+    return tests.withColumn("passes", F.col("p_value") < alpha / n_tests)
+
+
+def test_table(results: dict[str, DataFrame], key: str, columns: list[str]) -> DataFrame:
+    """Long results of several tests side by side, one row per key."""
+    out = None
+    for name, df in results.items():
+        part = df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        out = part if out is None else out.join(part, key, "full")
+    return out
+
+
+def impact_tests(variants: DataFrame, tests: DataFrame, ld: DataFrame) -> DataFrame:
+    """Impact variants with their association per trait and r2 to the lead."""
+    return variants.join(tests, "marker").join(ld.select("marker", "r2"), "marker", "left")
+
+
+# ---------------------------------------------------------------- effective tests
+def effective_tests(markers: DataFrame, block: int = 500) -> DataFrame:
+    """Effective number of independent markers per chromosome (Li & Ji 2005).
+
+    Markers are cut into blocks of ``block`` consecutive positions by their exact rank, so one
+    chromosome may hold any share of them. Each block contributes the eigenvalues of its marker
+    correlation: I(e >= 1) + (e - floor(e)). A hashed tie-break keeps markers at one position in
+    bounded blocks too.
+    """
+    keyed = markers.withColumn("__at", F.col("pos").cast("double") + F.pmod(F.xxhash64("marker"), F.lit(1 << 20)) / float(1 << 21))
+    ranks = value_ranks(keyed.select("chrom", "__at"), ["chrom"], "__at").select("chrom", "__at", F.floor(F.col("below") / block).alias("__blk"))
+    rows = keyed.join(ranks, ["chrom", "__at"]).select("chrom", "__blk", "dosage")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = mean_imputed(np.vstack([np.asarray(v, dtype=float) for v in pdf["dosage"]]))
+        x = x - x.mean(1, keepdims=True)
+        sd = np.sqrt((x * x).sum(1))
+        x = x[sd > 1e-12] / sd[sd > 1e-12][:, None]
+        if len(x) == 0:
+            me = 0.0
+        else:
+            small = x.T @ x if x.shape[1] < len(x) else x @ x.T
+            e = np.clip(np.linalg.eigvalsh(small), 0.0, None)
+            e = np.where(np.abs(e - np.round(e)) < 1e-9, np.round(e), e)
+            me = float((e >= 1).sum() + (e - np.floor(e)).sum())
+        return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "blk": [int(pdf["__blk"].iloc[0])], "n": [len(pdf)], "me": [me]})
+
+    kind = dict(markers.dtypes)["chrom"]
+    per = rows.groupBy("chrom", "__blk").applyInPandas(solve, f"chrom {kind}, blk bigint, n bigint, me double")
+    return per.groupBy("chrom").agg(F.sum("n").alias("n_markers"), F.sum("me").alias("effective_tests"))
+
+
+def scan_threshold(effective: DataFrame, alpha: float = 0.05) -> DataFrame:
+    return effective.agg(F.sum("effective_tests").alias("effective_tests")).withColumn("threshold", F.lit(alpha) / F.col("effective_tests"))

@@ -1 +1,292 @@
-"""Registered queries."""
+"""Kinship, scans, single-marker tests, conditioning and linkage."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import aggregates as A, association as X, kinship as K, mixed_scan as M
+from ..session import cut_lineage
+from ..sources import genome as SG
+from . import roles as R
+from .registry import q, query, r
+from .tables import _ANN, variant_annotations
+
+
+def panel(t):
+    """(samples, marker vectors); a sample without a line for a marker is reference homozygote."""
+    calls = R.calls(t)
+    samples = K.sample_list(R._lines(t))
+    return samples, cut_lineage(K.marker_vectors(calls, samples, absent=0.0))
+
+
+def long_dosage(samples, vectors):
+    names = F.array(*[F.lit(s) for s in samples])
+    return vectors.select("marker", "chrom", "pos", F.posexplode("dosage").alias("i", "dosage")).select(
+        "marker", "chrom", "pos", names[F.col("i")].alias("sample"), F.col("dosage").cast("int").alias("dosage"))
+
+
+@query("dosage_matrix", f"SELECT marker, chrom, pos, sample, dosage FROM {R.DOSAGE} d")
+def dosage_matrix(t):
+    return long_dosage(*panel(t))
+
+
+_KIN = f"""WITH d AS (SELECT marker, chrom, sample, dosage - avg(dosage) OVER (PARTITION BY marker) AS z, avg(dosage) OVER (PARTITION BY marker) / 2 AS p FROM {R.DOSAGE} x)"""
+
+
+@query("kinship", f"""{_KIN}, s AS (SELECT sum(2 * p * (1 - p)) / count(DISTINCT sample) AS w FROM d)
+  SELECT a.sample AS sample_a, b.sample AS sample_b, {q("sum(a.z * b.z) / any_value(w)")} AS kinship FROM d a JOIN d b ON a.marker = b.marker AND a.sample <= b.sample, s GROUP BY 1, 2""")
+def kinship(t):
+    samples, v = panel(t)
+    k = K.kinship_from_products(sum(K.raw_products(v).values()))
+    return K.kinship_table(t.part, samples, k).withColumn("kinship", r("kinship"))
+
+
+@query("kinship_without_chromosome", f"""{_KIN}, s AS (SELECT sum(2 * p * (1 - p)) / count(DISTINCT sample) AS w FROM d WHERE chrom <> 2)
+  SELECT a.sample AS sample_a, b.sample AS sample_b, {q("sum(a.z * b.z) / any_value(w)")} AS kinship FROM (SELECT * FROM d WHERE chrom <> 2) a JOIN d b ON a.marker = b.marker AND a.sample <= b.sample, s GROUP BY 1, 2""")
+def kinship_loco(t):
+    samples, v = panel(t)
+    k = K.kinship_from_products(K.loco_products(K.raw_products(v))["2"])
+    return K.kinship_table(t.part, samples, k).withColumn("kinship", r("kinship"))
+
+
+@query("genotype_components")
+def genotype_components(t):
+    samples, v = panel(t)
+    pcs = K.components_of(K.kinship_from_products(sum(K.raw_products(v).values())), 5)
+    rows = [(s, j + 1, float(pcs[i, j])) for i, s in enumerate(samples) for j in range(5)]
+    return t.spark.createDataFrame(rows, "sample string, pc int, value double").withColumn("value", r("value"))
+
+
+TRAITS = [f"{m}_{e}" for m in ("price", "discount") for e in ("A", "N", "R")]
+
+
+def scan_inputs(t, traits=TRAITS):
+    samples, v = panel(t)
+    pheno = R.phenotypes(t)
+    y = M.trait_matrix(pheno, samples, list(traits))
+    keep = M.complete(samples, y, drop=True)
+    return samples, v, y[keep], keep
+
+
+_PX = f"""(SELECT p.trait, d.marker, d.chrom, d.pos, d.sample, p.value AS y, d.dosage::DOUBLE AS x FROM {R.PHENO} p JOIN {R.DOSAGE} d USING (sample) WHERE p.trait IN ('price_A', 'price_N', 'price_R', 'discount_A', 'discount_N', 'discount_R'))"""
+
+
+@query("scan_without_kinship", f"""SELECT trait, marker, chrom, pos, {q("regr_slope(y, x)")} AS effect, {q("sqrt((regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x))")} AS se
+  FROM {_PX} z GROUP BY ALL HAVING var_pop(x) > 0""")
+def scan_without_kinship(t):
+    samples, v, y, keep = scan_inputs(t)
+    s = M.scan(v, y, TRAITS, M.design(len(y)), keep)
+    return s.where("effect IS NOT NULL").select("trait", "marker", "chrom", "pos", r("effect").alias("effect"), r("se").alias("se"))
+
+
+def mixed(t, traits, **kw):
+    samples, v, y, keep = scan_inputs(t, traits)
+    products = K.raw_products(v)
+    pcs = K.components_of(K.kinship_from_products(sum(products.values()), keep), 3)
+    return samples, v, M.scan(v, y, list(traits), M.design(len(y), pcs), keep, K.loco_products(products), **kw)
+
+
+@query("mixed_scan")
+def mixed_scan(t):
+    _, _, s = mixed(t, ["price_A", "discount_A"], refine_below=0.05)
+    return s.select("trait", "marker", r("effect").alias("effect"), r("se").alias("se"), r("p_value", 6).alias("p_value"))
+
+
+@query("region_scan")
+def region_scan(t):
+    samples, v, y, keep = scan_inputs(t, ["price_A"])
+    loco = K.loco_products(K.raw_products(v))
+    region = v.where("chrom = 2 AND pos BETWEEN 1 AND 20000000")
+    s = M.scan(region, y, ["price_A"], M.design(len(y)), keep, loco)
+    return s.select("marker", "pos", r("effect").alias("effect"), r("p_value", 6).alias("p_value"))
+
+
+@query("covariate_matrix", f"""SELECT sample, {q("(value - avg(value) OVER ()) / stddev_pop(value) OVER ()")} AS covariate, dosage FROM {R.PHENO} p JOIN {R.DOSAGE} d USING (sample) WHERE trait = 'area_A' AND marker = 'M7'""")
+def covariate_matrix(t):
+    from ..operators.transforms import zscore
+
+    samples, v = panel(t)
+    d = long_dosage(samples, v.where("marker = 'M7'")).select("sample", "dosage")
+    c = zscore(R.phenotypes(t).where("trait = 'area_A'").join(d, "sample"), [], "value", "covariate")
+    return c.select("sample", r("covariate").alias("covariate"), "dosage")
+
+
+@query("effective_tests")
+def effective_tests(t):
+    _, v = panel(t)
+    return X.effective_tests(v, 200).withColumn("effective_tests", r("effective_tests", 3))
+
+
+@query("scan_threshold")
+def scan_threshold(t):
+    _, v = panel(t)
+    return X.scan_threshold(X.effective_tests(v, 200)).select(r("effective_tests", 3).alias("effective_tests"), r("threshold", 9).alias("threshold"))
+
+
+# ---------------------------------------------------------------- single marker, strata
+_CELLS = f"""(SELECT trait, sample, value AS y, dosage FROM {R.PHENO} p JOIN (SELECT sample, dosage FROM {R.DOSAGE} d WHERE marker = 'M7') m USING (sample))"""
+
+
+def one_marker_cells(t):
+    samples, v = panel(t)
+    d = long_dosage(samples, v.where("marker = 'M7'")).select("sample", "dosage")
+    return samples, v, R.phenotypes(t).select("trait", "sample", F.col("value").alias("y")).join(d, "sample")
+
+
+@query("single_marker_rules", f"""WITH s AS (SELECT trait, count(*) AS n_observations, count(*) FILTER (WHERE dosage = 0) AS n_ref_homozygote, count(*) FILTER (WHERE dosage = 1) AS n_heterozygote,
+  count(*) FILTER (WHERE dosage = 2) AS n_alt_homozygote, avg(y) AS m, stddev_pop(y) AS sd FROM {_CELLS} c GROUP BY trait)
+  SELECT trait, n_observations, n_ref_homozygote, n_heterozygote, n_alt_homozygote, {q("m")} AS phenotype_mean, {q("sd")} AS phenotype_sd,
+  CASE WHEN n_observations < 30 THEN 'n_observations < 30' WHEN n_ref_homozygote < 3 THEN 'n_ref_homozygote < 3' WHEN n_alt_homozygote < 3 THEN 'n_alt_homozygote < 3' WHEN NOT sd > 0 THEN 'phenotype has zero/non-finite variance' END AS skip_reason,
+  CASE WHEN n_observations < 30 OR n_ref_homozygote < 3 OR n_alt_homozygote < 3 OR NOT sd > 0 THEN 'skipped' ELSE 'queued' END AS status FROM s""")
+def single_marker_rules(t):
+    _, _, cells = one_marker_cells(t)
+    s = M.one_marker_rules(cells, ["trait"])
+    return s.withColumns({"phenotype_mean": r("phenotype_mean"), "phenotype_sd": r("phenotype_sd")})
+
+
+@query("phenome_scan")
+def phenome_scan(t):
+    samples, v, cells = one_marker_cells(t)
+    others = K.loco_products(K.raw_products(v))["3"]
+    s = M.one_marker_tests(cells, ["trait"], samples, others, n_pcs=3, min_homozygotes=1)
+    return s.select("trait", "n_observations", "status", "skip_reason", r("effect").alias("effect"), r("se").alias("se"), r("p_value", 6).alias("p_value"), r("standardized_effect").alias("standardized_effect"))
+
+
+_SM = f"""(SELECT trait, marker, regr_slope(y, x) AS effect, power(corr(y, x), 2) AS r2, count(*) AS n FROM {_PX} z WHERE trait IN ('price_A', 'discount_A') GROUP BY trait, marker HAVING var_pop(x) > 0)"""
+
+
+def ols_cells(t, traits=("price_A", "discount_A")):
+    samples, v = panel(t)
+    y = R.phenotypes(t).where(F.col("trait").isin(*traits)).select("trait", "sample", F.col("value").alias("y"))
+    return long_dosage(samples, v).withColumn("x", F.col("dosage").cast("double")).join(y, "sample")
+
+
+@query("marker_effects", f"SELECT trait, marker, n, {q('effect')} AS effect, {q('r2')} AS r2 FROM {_SM} s")
+def marker_effects(t):
+    e = X.ols_effects(ols_cells(t), ["trait", "marker"], "y", ["x"])
+    return e.where("effect IS NOT NULL").select("trait", "marker", "n", r("effect").alias("effect"), r("r2").alias("r2"))
+
+
+@query("disease_screen", f"""SELECT marker, {q("max(r2)")} AS best_r2, arg_max(trait, r2) AS best_trait FROM {_SM} s GROUP BY marker""")
+def disease_screen(t):
+    e = X.ols_effects(ols_cells(t), ["trait", "marker"], "y", ["x"]).where("effect IS NOT NULL")
+    v = X.screen_verdict(e)
+    return v.join(e.groupBy("marker").agg(F.max("r2").alias("best_r2")), "marker").select("marker", r("best_r2").alias("best_r2"), "best_trait")
+
+
+@query("screen_verdicts")
+def screen_verdicts(t):
+    e = X.ols_effects(ols_cells(t), ["trait", "marker"], "y", ["x"]).where("effect IS NOT NULL")
+    return X.screen_verdict(e, 1e-2).select("marker", r("min_p", 6).alias("min_p"), "best_trait", "related")
+
+
+_TWO = f"""(SELECT p.trait, p.sample, p.value AS y, a.dosage::DOUBLE AS m, b.dosage::DOUBLE AS o FROM {R.PHENO} p JOIN (SELECT sample, dosage FROM {R.DOSAGE} x WHERE marker = 'M7') a USING (sample) JOIN (SELECT sample, dosage FROM {R.DOSAGE} y WHERE marker = 'M12') b USING (sample))"""
+
+
+@query("conditional_effects", f"""SELECT trait, count(*) AS n, {q("covar_pop(y, m) / var_pop(m)")} AS effect_alone, {q("(covar_pop(y, m) * var_pop(o) - covar_pop(y, o) * covar_pop(m, o)) / (var_pop(m) * var_pop(o) - power(covar_pop(m, o), 2))")} AS effect_given,
+  {q("(covar_pop(y, o) * var_pop(m) - covar_pop(y, m) * covar_pop(m, o)) / (var_pop(m) * var_pop(o) - power(covar_pop(m, o), 2))")} AS other_given FROM {_TWO} t GROUP BY trait""")
+def conditional_effects(t):
+    samples, v = panel(t)
+    d = long_dosage(samples, v.where("marker IN ('M7', 'M12')"))
+    two = d.groupBy("sample").agg(F.max(F.when(F.col("marker") == "M7", F.col("dosage"))).alias("m"), F.max(F.when(F.col("marker") == "M12", F.col("dosage"))).alias("o"))
+    cells = R.phenotypes(t).join(two, "sample")
+    e = X.conditional_effects(cells.withColumns({"m": F.col("m").cast("double"), "o": F.col("o").cast("double")}), ["trait"], "value", "m", "o")
+    return e.select("trait", "n", *[r(c).alias(c) for c in ("effect_alone", "effect_given", "other_given")])
+
+
+@query("trait_conditioned_effects", f"""SELECT trait, count(*) AS n, {q("(covar_pop(y, m) * var_pop(o) - covar_pop(y, o) * covar_pop(m, o)) / (var_pop(m) * var_pop(o) - power(covar_pop(m, o), 2))")} AS effect_given
+  FROM (SELECT t.trait, t.y, t.m, c.value AS o FROM {_TWO} t JOIN (SELECT sample, value FROM {R.PHENO} q WHERE trait = 'area_A') c USING (sample) WHERE t.trait <> 'area_A') z GROUP BY trait""")
+def trait_conditioned(t):
+    samples, v, cells = one_marker_cells(t)
+    cov = R.phenotypes(t).where("trait = 'area_A'").select("sample", F.col("value").alias("o"))
+    c = cells.where("trait <> 'area_A'").join(cov, "sample").withColumn("m", F.col("dosage").cast("double"))
+    return X.ols_effects(c, ["trait"], "y", ["m", "o"]).select("trait", "n", r("effect").alias("effect_given"))
+
+
+# ---------------------------------------------------------------- expression, profiles, linkage
+_TPM = f"(SELECT 'g' || (l_partkey % 20) AS gene, sample, avg(l_extendedprice) / 1000 AS tpm FROM {R._LINES} x GROUP BY 1, 2)"
+
+
+def expression(t):
+    return R._lines(t, "l_partkey", "l_extendedprice").groupBy(F.concat(F.lit("g"), F.col("l_partkey") % 20).alias("gene"), "sample").agg(
+        (F.avg("l_extendedprice") / 1000).alias("tpm"))
+
+
+def _eqtl(t, scale):
+    samples, v = panel(t)
+    d = long_dosage(samples, v.where("marker = 'M7'")).select("sample", F.col("dosage").cast("double").alias("x"))
+    y = F.col("tpm") if scale == "raw" else S.log2_plus_one(F.col("tpm"))
+    return X.ols_effects(expression(t).withColumn("y", y).join(d, "sample"), ["gene"], "y", ["x"], min_n=40)
+
+
+@query("expression_sweep", f"""SELECT gene, count(*) AS n, {q("regr_slope(log2(tpm + 1), dosage)")} AS effect FROM {_TPM} e JOIN (SELECT sample, dosage FROM {R.DOSAGE} d WHERE marker = 'M7') m USING (sample) GROUP BY gene HAVING count(*) >= 40""")
+def expression_sweep(t):
+    return _eqtl(t, "log2").select("gene", "n", r("effect").alias("effect"))
+
+
+@query("expression_sweep_raw", f"""SELECT gene, count(*) AS n, {q("regr_slope(tpm, dosage)")} AS effect FROM {_TPM} e JOIN (SELECT sample, dosage FROM {R.DOSAGE} d WHERE marker = 'M7') m USING (sample) GROUP BY gene HAVING count(*) >= 40""")
+def expression_sweep_raw(t):
+    return _eqtl(t, "raw").select("gene", "n", r("effect").alias("effect"))
+
+
+@query("expression_mixed_sweep")
+def expression_mixed_sweep(t):
+    samples, v = panel(t)
+    d = long_dosage(samples, v.where("marker = 'M7'")).select("sample", "dosage")
+    cells = expression(t).select("gene", "sample", S.log2_plus_one(F.col("tpm")).alias("y")).join(d, "sample")
+    s = M.one_marker_tests(cells, ["gene"], samples, K.loco_products(K.raw_products(v))["3"], n_pcs=3, min_samples=40, min_homozygotes=1)
+    return s.select("gene", "n_observations", "status", r("effect").alias("effect"), r("p_value", 6).alias("p_value"))
+
+
+@query("gene_test_table", f"""SELECT gene, {q("regr_slope(log2(tpm + 1), dosage)")} AS log2_effect, {q("regr_slope(tpm, dosage)")} AS raw_effect, count(*) AS log2_n, count(*) AS raw_n FROM {_TPM} e JOIN (SELECT sample, dosage FROM {R.DOSAGE} d WHERE marker = 'M7') m USING (sample) GROUP BY gene HAVING count(*) >= 40""")
+def gene_test_table(t):
+    g = X.test_table({"log2": _eqtl(t, "log2"), "raw": _eqtl(t, "raw")}, "gene", ["effect", "n"])
+    return g.withColumns({"log2_effect": r("log2_effect"), "raw_effect": r("raw_effect")})
+
+
+@query("profile_scan")
+def profile_scan(t):
+    """Order profile of every sample (mean price per line number) as traits, alone and given a marker."""
+    samples, v = panel(t)
+    p = R._lines(t, "l_linenumber", "l_extendedprice").groupBy("sample", F.concat(F.lit("b"), "l_linenumber").alias("trait")).agg(F.avg("l_extendedprice").alias("value"))
+    bins = [f"b{i}" for i in range(1, 8)]
+    y = M.trait_matrix(p, samples, bins)
+    keep = M.complete(samples, y, drop=True)
+    given = M.trait_matrix(long_dosage(samples, v.where("marker = 'M12'")).select("sample", F.lit("d").alias("trait"), F.col("dosage").cast("double").alias("value")), samples, ["d"])[keep]
+    lead = v.where("chrom = 3 AND pos BETWEEN 1 AND 10000000")
+    loco = K.loco_products(K.raw_products(v))
+    plain = M.scan(lead, y[keep], bins, M.design(len(keep)), keep, loco).withColumn("model", F.lit("plain"))
+    cond = M.scan(lead, y[keep], bins, M.design(len(keep), covariates=given), keep, loco).withColumn("model", F.lit("conditioned"))
+    b = X.bonferroni(plain.unionByName(cond), len(bins))
+    return b.select("model", "trait", "marker", r("effect", 2).alias("effect"), r("p_value", 6).alias("p_value"), "passes")
+
+
+_LD = f"""(SELECT marker, chrom, pos, n_calls, r2 FROM (SELECT a.marker, a.chrom, a.pos, count(*) AS n_calls, CASE WHEN var_pop(a.dosage) > 0 THEN power(corr(a.dosage, l.dosage), 2) END AS r2
+  FROM {R.DOSAGE} a JOIN (SELECT sample, dosage FROM {R.DOSAGE} d WHERE marker = 'M7') l USING (sample) GROUP BY 1, 2, 3) z WHERE n_calls >= 50)"""
+
+
+@query("linkage", f"SELECT marker, chrom, pos, n_calls, {q('r2')} AS r2 FROM {_LD} l")
+def linkage(t):
+    return X.linkage(long_dosage(*panel(t)), "M7").withColumn("r2", r("r2"))
+
+
+@query("linkage_observed_pairs", f"""SELECT marker, count(*) AS n_calls, CASE WHEN var_pop(a.dosage) FILTER (WHERE l.dosage IS NOT NULL) > 0 AND var_pop(l.dosage) > 0 THEN {q("power(covar_pop(a.dosage, l.dosage), 2) / (var_pop(a.dosage) FILTER (WHERE l.dosage IS NOT NULL) * var_pop(l.dosage))")} END AS r2
+  FROM {R.CALLS} a LEFT JOIN (SELECT sample, dosage FROM {R.CALLS} d WHERE marker = 'M7') l USING (sample) GROUP BY marker HAVING count(*) >= 10""")
+def linkage_observed(t):
+    return X.linkage(R.calls(t), "M7", min_calls=10, impute=False).select("marker", "n_calls", r("r2").alias("r2"))
+
+
+@query("linkage_blocks", f"""SELECT t AS threshold, chrom, min(pos) AS "start", max(pos) AS "end", count(*) AS n_markers FROM {_LD} l, (SELECT unnest([0.8::DOUBLE, 0.05::DOUBLE, 0.02::DOUBLE]) AS t) x WHERE r2 > t GROUP BY 1, 2""")
+def linkage_blocks(t):
+    return X.block_extent(X.linkage(long_dosage(*panel(t)), "M7"), [0.8, 0.05, 0.02])
+
+
+@query("impact_tests", f"""SELECT a.marker, split_part(genes, ',', 1) AS gene, s.trait, {q("s.effect")} AS effect, {q("l.r2")} AS r2_lead FROM {_ANN} a JOIN {_SM} s USING (marker) LEFT JOIN {_LD} l USING (marker)
+  WHERE a.chrom = 3 AND a.pos BETWEEN 1 AND 20000000 AND regexp_matches(impacts, 'HIGH|MODERATE')""")
+def impact_tests(t):
+    v = SG.impact_variants(variant_annotations(t), 3, 1, 20_000_000).select("marker", "gene")
+    e = X.ols_effects(ols_cells(t), ["trait", "marker"], "y", ["x"]).where("effect IS NOT NULL").select("trait", "marker", "effect")
+    out = X.impact_tests(v, e, X.linkage(long_dosage(*panel(t)), "M7"))
+    return out.select("marker", "gene", "trait", r("effect").alias("effect"), r("r2").alias("r2_lead"))
