@@ -1 +1,111 @@
-"""Registered queries."""
+"""Plot models: design table, BLUEs, variance components, heritability."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mixed_models as B
+from . import roles as R
+from .registry import q, query, r
+
+TRAITS = ["price", "discount", "tax"]
+FACTORS = ["row", "col", "device"]
+
+
+def one_env(t):
+    return R.plots(t).where("environment = 'A'")
+
+
+_WINS = f"""(SELECT m.* REPLACE (least(greatest(price, lo), hi) AS price) FROM (SELECT * FROM {R.PLOT_MEANS} x WHERE environment = 'A') m,
+  (SELECT quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM {R.PLOT_MEANS} y WHERE environment = 'A') e)"""
+
+
+@query("model_plots", f"""SELECT genotype, plot, {q("price", 3)} AS price, {q("(area - avg(area) OVER ()) / stddev_pop(area) OVER ()")} AS area_scaled FROM {_WINS} w""")
+def model_plots(t):
+    m, _ = B.model_plots(one_env(t), ["price"], R.PLOT_KEYS, area="area")
+    return m.select("genotype", "plot", r("price", 3).alias("price"), r("area_scaled").alias("area_scaled"))
+
+
+@query("model_plots_across", f"""SELECT genotype, plot, environment, genotype || ':' || environment AS genotype_x_environment,
+  {q("CASE WHEN environment = 'N' THEN (area - avg(area) OVER w) / stddev_samp(area) OVER w ELSE 0 END")} AS area_N FROM {R.PLOT_MEANS} m
+  WHERE genotype IN (SELECT genotype FROM {R.PLOTS} p GROUP BY genotype HAVING count(DISTINCT environment) >= 2) WINDOW w AS (PARTITION BY environment)""")
+def model_plots_across(t):
+    m, _ = B.model_plots(R.plots(t), ["price"], R.PLOT_KEYS, area="area", across=True)
+    return m.select("genotype", "plot", "environment", "genotype_x_environment", r("area_N").alias("area_N"))
+
+
+_Z = "(SELECT genotype, price, (area - avg(area) OVER ()) / stddev_pop(area) OVER () AS x FROM " + _WINS + " w)"
+
+
+@query("blues_least_squares", f"""WITH z AS {_Z}, g AS (SELECT genotype, avg(price) AS y, avg(x) AS x FROM z GROUP BY genotype),
+  b AS (SELECT sum((z.price - g.y) * (z.x - g.x)) / sum(power(z.x - g.x, 2)) AS b FROM z JOIN g USING (genotype)), m AS (SELECT avg(x) AS m FROM z)
+  SELECT genotype, {q("y - b * (x - m)", 2)} AS blue FROM g, b, m""")
+def blues_least_squares(t):
+    m, cov = B.model_plots(one_env(t), ["price"], R.PLOT_KEYS, area="area")
+    return B.fit_blues(m, ["price"], covariates=cov).select("genotype", r("blue", 2).alias("blue"))
+
+
+@query("blues")
+def blues(t):
+    m, cov = B.model_plots(one_env(t), TRAITS, R.PLOT_KEYS, area="area")
+    return B.fit_blues(m, TRAITS, covariates=cov, factors=FACTORS).select("genotype", "trait", r("blue").alias("blue"))
+
+
+def vc_one(t):
+    m, cov = B.model_plots(one_env(t), TRAITS, R.PLOT_KEYS, area="area")
+    return m, B.variance_components(m, TRAITS, covariates=cov, factors=FACTORS)
+
+
+@query("variance_components")
+def variance_components(t):
+    _, vc = vc_one(t)
+    return B.variance_shares(vc).select("trait", "source", r("proportion_variance").alias("proportion_variance"), "boundary", "converged")
+
+
+@query("heritability")
+def heritability(t):
+    m, vc = vc_one(t)
+    return B.line_mean_h2(vc, m).select("trait", r("hr", 3).alias("hr"), r("h2").alias("h2"), "reliable")
+
+
+@query("heritability_across")
+def heritability_across(t):
+    m, cov = B.model_plots(R.plots(t), ["price", "discount"], R.PLOT_KEYS, area="area", across=True)
+    vc = B.variance_components_across(m, ["price", "discount"], covariates=cov, factors=["row", "device"], rounds=4, grid=4)
+    return B.line_mean_h2(vc, m, env="environment").select("trait", r("he", 3).alias("he"), r("hr", 3).alias("hr"), r("h2").alias("h2"))
+
+
+_VC = """(SELECT 'price' AS trait, l_returnflag AS src, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY l_returnflag
+  UNION ALL SELECT 'tax', l_returnflag, var_samp(l_tax) FROM lineitem GROUP BY l_returnflag)"""
+
+
+def toy_vc(t):
+    """Variances of three line statuses standing in as components."""
+    p = t.lineitem.groupBy("l_returnflag").agg(F.var_samp("l_extendedprice").alias("price"), F.var_samp("l_tax").alias("tax"))
+    long = p.unpivot("l_returnflag", ["price", "tax"], "trait", "vcov")
+    src = F.when(F.col("l_returnflag") == "A", "genotype").when(F.col("l_returnflag") == "N", "genotype_x_environment").otherwise("Residual")
+    return long.select("trait", src.alias("source"), "vcov", F.lit(True).alias("converged"), F.lit(None).cast("string").alias("error"))
+
+
+@query("variance_shares", f"""SELECT trait, CASE src WHEN 'A' THEN 'genotype' WHEN 'N' THEN 'genotype_x_environment' ELSE 'Residual' END AS source, {q("v / sum(v) OVER (PARTITION BY trait)")} AS proportion_variance FROM {_VC} x""")
+def variance_shares(t):
+    return B.variance_shares(toy_vc(t)).select("trait", "source", r("proportion_variance").alias("proportion_variance"))
+
+
+@query("line_mean_h2", f"""WITH v AS (SELECT trait, max(v) FILTER (WHERE src = 'A') AS vg, max(v) FILTER (WHERE src = 'N') AS vge, max(v) FILTER (WHERE src = 'R') AS ve FROM {_VC} x GROUP BY trait),
+  e AS (SELECT count(*) / sum(1.0 / n) AS he FROM (SELECT count(DISTINCT environment) AS n FROM {R.PLOT_MEANS} m GROUP BY genotype) y), h AS (SELECT count(*) / sum(1.0 / n) AS hr FROM (SELECT count(*) AS n FROM {R.PLOT_MEANS} m GROUP BY genotype, environment) y)
+  SELECT trait, {q("he")} AS he, {q("hr")} AS hr, {q("vg / (vg + vge / he + ve / (he * hr))")} AS h2 FROM v, e, h""")
+def line_mean_h2(t):
+    from ..operators.aggregates import plot_means
+
+    m = plot_means(R.plots(t), R.PLOT_KEYS, ["price"])
+    h = B.line_mean_h2(toy_vc(t), m, env="environment")
+    return h.select("trait", r("he").alias("he"), r("hr").alias("hr"), r("h2").alias("h2"))
+
+
+@query("covariate_blues", f"""SELECT genotype, {q("avg(area)")} AS area_blue, {q("any_value(s_acctbal)", 2)} AS days_blue FROM {R.PLOT_MEANS} m JOIN supplier ON genotype = 'S' || s_suppkey WHERE environment = 'A' GROUP BY genotype""")
+def covariate_blues(t):
+    m, _ = B.model_plots(one_env(t), ["area"], R.PLOT_KEYS, winsor=0.0)
+    other = t.supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("genotype"), F.col("s_acctbal").alias("days_blue"))
+    c = B.covariate_blues(m, "area", [], other)
+    return c.select("genotype", r("area_blue").alias("area_blue"), r("days_blue", 2).alias("days_blue"))
