@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.pvalues import correlation_p, normal_p
 from ..session import cut_lineage
@@ -184,7 +184,7 @@ def rank_structure(df: DataFrame, keys: list[str], x: str, y: str, covariates: l
 
 
 # ---------------------------------------------------------------- regression
-@F.pandas_udf("intercept double, slopes array<double>")
+@F.pandas_udf(StructType([StructField("intercept", DoubleType()), StructField("slopes", ArrayType(DoubleType()))]))
 def _solve_ols(means: pd.Series, cov: pd.Series) -> pd.DataFrame:
     a, b = [], []
     for m, flat in zip(means, cov):

@@ -26,7 +26,7 @@ def bh_qvalues_bounded(df: DataFrame, keys: list[str], p: str, out: str = "q_val
     m = F.count(F.lit(1)).over(w)
     step = df.withColumn("__c", F.when(usable, F.col(p) * m / F.row_number().over(w.orderBy(p))))
     tail = w.orderBy(F.col(p).desc()).rangeBetween(W.unboundedPreceding, 0)
-    return step.withColumn(out, F.least(F.min("__c").over(tail), F.lit(1.0))).drop("__c")
+    return step.withColumn(out, F.when(usable, F.least(F.min("__c").over(tail), F.lit(1.0)))).drop("__c")
 
 
 def expected_quantiles(df: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
