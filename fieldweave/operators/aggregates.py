@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .crossproducts import vector_means
+from .onerow import attach_row
 from .ranking import exact_quantiles
 
 
@@ -156,9 +157,9 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, keys:
 def representative_group(df: DataFrame, cls: str, group: str, trait: str, level: str, low_share: float = 0.4) -> DataFrame:
     """Per class, among groups at or below the ``low_share`` quantile of ``level``, the one whose
     trait is nearest to the class median."""
-    edge = exact_quantiles(df.withColumn("__one", F.lit(1)), ["__one"], level, {"__edge": low_share})
+    edge = exact_quantiles(df.withColumn("__one", F.lit(1)), ["__one"], level, {"__edge": low_share}).agg(F.max("__edge").alias("__edge"))
     med = exact_quantiles(df, [cls], trait, {"__med": 0.5})
-    near = df.withColumn("__one", F.lit(1)).join(edge, "__one").where(F.col(level) <= F.col("__edge")).join(med, cls)
+    near = attach_row(df, edge).where(F.col(level) <= F.col("__edge")).join(med, cls)
     dist = F.abs(F.col(trait) - F.col("__med"))
     return near.groupBy(cls).agg(
         F.min_by(F.struct(group, trait, level), F.struct(dist, F.col(group))).alias("r")

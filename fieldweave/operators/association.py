@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.pvalues import student_t_p
 from .correlate import covariance_array
 from .kinship import mean_imputed
+from .onerow import attach_row
 from .ranking import value_ranks
 
 
@@ -39,8 +40,24 @@ def minor_alleles(calls: DataFrame) -> DataFrame:
 
 def status_order(status: Column, first: list[str], p: Column, *ties: str) -> list[Column]:
     """Sort key of result tables: status in the given order, then p (missing last), then labels."""
-    place = F.coalesce(*[F.when(status == s, i) for i, s in enumerate(first)], F.lit(len(first)))
-    return [place.asc(), p.asc_nulls_last(), *[F.col(c).asc() for c in ties]]
+    return [status_place(status, first).asc(), p.asc_nulls_last(), *[F.col(c).asc() for c in ties]]
+
+
+def status_place(status: Column, first: list[str]) -> Column:
+    return F.coalesce(*[F.when(status == s, i) for i, s in enumerate(first)], F.lit(len(first)))
+
+
+def status_positions(df: DataFrame, status: str, first: list[str], p: str) -> DataFrame:
+    """Position of every row in the status-ordered result (ties share the smaller position), without
+    a global sort: ranks inside each status plus the sizes of the statuses before it."""
+    placed = df.withColumn("__place", status_place(F.col(status), first))
+    sizes = placed.groupBy("__place").agg(F.count(F.lit(1)).alias("__n"), F.count(p).alias("__with_p"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__place", "__with_p", before.alias("__before"))
+    ranks = value_ranks(placed, ["__place"], p).select("__place", p, "below")
+    j = placed.join(sizes, "__place").join(ranks, ["__place", p], "left")
+    pos = F.col("__before") + F.coalesce("below", "__with_p") + 1
+    return j.withColumn("position", pos).drop("__place", "__n", "__with_p", "__before", "below")
 
 
 # ---------------------------------------------------------------- linkage
@@ -63,7 +80,7 @@ def linkage(calls: DataFrame, lead: str, min_calls: int = 50, impute: bool = Tru
         F.covar_pop(both, F.col("__l")).alias("c"), F.var_pop(both).alias("vx"), F.var_pop("__l").alias("vl"),
     ).where(F.col("n_calls") >= min_calls)
     if impute:
-        s = s.withColumn("__one", F.lit(1)).join(st.withColumn("__one", F.lit(1)), "__one")
+        s = attach_row(s, st)
         cross = F.col("sxl") - F.col("xm") * F.col("sl") - F.col("__lm") * F.col("sx") + F.col("n") * F.col("xm") * F.col("__lm")
         sxx = F.col("xv") * F.col("n_calls")
         sll = F.col("__ll") - F.col("__ln") * F.col("__lm") * F.col("__lm")

@@ -18,14 +18,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .crossproducts import array_matrix, gram_matrices, list_column
+from .crossproducts import array_matrix, gram_matrices, list_column, with_one
+from .onerow import attach_row
 from .ranking import value_ranks
 
 
-def with_one(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x])
-
-
 def with_array(df: DataFrame, vec: str, fn: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
     """Append ``out = fn(matrix of vec)`` batch by batch; all other columns pass through."""
     at = df.columns.index(vec)
@@ -233,9 +230,9 @@ def parallel_analysis(
 
 def leading_run(df: DataFrame, order: str, flag: str, out: str = "retained") -> DataFrame:
     """Flag the leading run of true rows; the first failure is one aggregate."""
-    first = df.agg(F.min(F.when(~F.col(flag), F.col(order))).alias("__first")).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(first, "__one")
-    return joined.withColumn(out, F.col("__first").isNull() | (F.col(order) < F.col("__first"))).drop("__one", "__first")
+    first = df.agg(F.min(F.when(~F.col(flag), F.col(order))).alias("__first"))
+    joined = attach_row(df, first)
+    return joined.withColumn(out, F.col("__first").isNull() | (F.col(order) < F.col("__first"))).drop("__first")
 
 
 def ordered_eigenvalues(df: DataFrame, value: str, tie: str) -> DataFrame:
@@ -253,7 +250,8 @@ def component_counts(eigenvalues: DataFrame, rows: DataFrame) -> DataFrame:
     e = eigenvalues.select(
         "pc", "v", F.avg("v").over(tail).alias("a"), F.avg(F.log("v")).over(tail).alias("g"), F.max("pc").over(whole).alias("p"),
         F.first("v").over(whole).alias("v1"), F.last("v").over(whole).alias("vp"),
-    ).withColumn("k", F.lit(1)).join(rows.withColumn("k", F.lit(1)), "k")
+    )
+    e = attach_row(e, rows)
     k, p, n = F.col("pc") - 1, F.col("p"), F.col("n")
     llf = n * (p - k) * (F.log("a") - F.col("g"))
     nfree = k * (2 * p - k)

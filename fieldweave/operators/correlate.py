@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.pvalues import correlation_p, normal_p
 from ..session import cut_lineage
-from .crossproducts import gram_matrices
+from .crossproducts import gram_matrices, with_one
 from .ranking import average_rank, value_ranks, with_average_rank, with_average_ranks
 from .testing import bh_qvalues_bounded
 
@@ -99,10 +99,6 @@ def correlation_from_gram(g: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(c), c, np.nan)
 
 
-def with_one(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x])
-
-
 def correlation_matrix(df: DataFrame, vec: str) -> DataFrame:
     """(i, j, r) for i < j from one cross-product pass."""
     c = correlation_from_gram(gram_matrices(df, vec, prepare=with_one)[""])

@@ -40,6 +40,11 @@ def list_column(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.reshape(-1)))
 
 
+def with_one(x: np.ndarray) -> np.ndarray:
+    """Batch matrix with a leading column of ones."""
+    return np.column_stack([np.ones(len(x)), x])
+
+
 def gram_rows(
     df: DataFrame,
     vec: str,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .joins import in_intervals
+from .onerow import attach_row
 
 
 def fixed_windows(hits: DataFrame, width: int) -> DataFrame:
@@ -162,17 +163,22 @@ def set_distances(pairs: DataFrame, limit: int = 10_000) -> DataFrame:
     return pair.select("set_a", "set_b", dist.alias("distance"))
 
 
-def label_runs(df: DataFrame, order: str, label: str) -> DataFrame:
+def label_runs(df: DataFrame, order: str, label: str, slice_size: int = 1_000_000) -> DataFrame:
     """Runs of equal labels along a dense position: start, end and middle of each run.
 
-    A run is keyed by its start, found where the label differs from its left neighbour (joined on
-    position - 1); the end is the next start minus one, on the table of starts only.
+    A run starts where the label differs from its left neighbour (joined on position - 1) and ends
+    before the next start. Next starts are looked up inside slices of positions; only the first start
+    of every slice is compared across slices, so no task holds more than a slice.
     """
     prev = df.select((F.col(order) + 1).alias(order), F.col(label).alias("__prev"))
-    starts = df.join(prev, order, "left").where(F.col("__prev").isNull() | (F.col("__prev") != F.col(label)))
-    last = df.agg(F.max(order).alias("__last")).withColumn("__one", F.lit(1))
-    w = W.orderBy(order)
-    runs = starts.select(F.col(label), F.col(order).alias("start"), F.lead(order).over(w).alias("__next"))
-    runs = runs.withColumn("__one", F.lit(1)).join(last, "__one")
-    end = F.coalesce(F.col("__next") - 1, F.col("__last"))
+    starts = (
+        df.join(prev, order, "left").where(F.col("__prev").isNull() | (F.col("__prev") != F.col(label)))
+        .select(F.col(label), F.col(order).alias("start"), F.floor(F.col(order) / slice_size).alias("__slice"))
+    )
+    later = W.orderBy(F.col("__slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    firsts = starts.groupBy("__slice").agg(F.min("start").alias("f")).select("__slice", F.min("f").over(later).alias("__after"))
+    inside = F.lead("start").over(W.partitionBy("__slice").orderBy("start"))
+    runs = starts.withColumn("__next", inside).join(firsts, "__slice")
+    runs = attach_row(runs, df.agg(F.max(order).alias("__last")))
+    end = F.coalesce(F.col("__next") - 1, F.col("__after") - 1, F.col("__last"))
     return runs.select(label, "start", end.alias("end"), ((F.col("start") + end) / 2).alias("mid"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .aggregates import harmonic_mean, plot_means
 from .crossproducts import array_matrix, gram_matrices, vector_sums
+from .onerow import attach_row
 from .transforms import nested_zscores, winsorize_columns, zscore
 
 LEVEL_LIMIT = 4_000
@@ -48,7 +49,7 @@ def model_plots(
     usable = df.dropna(subset=[*keys, *traits])
     values = [*traits, *([area] if area else [])]
     means = usable.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values]) if area else plot_means(df, keys, traits)
-    means = winsorize_columns(means, traits, winsor)
+    means = winsorize_columns(cut_lineage(means), traits, winsor)
     if across:
         means = means.withColumn("genotype_x_environment", F.concat_ws(":", genotype, env))
     if area is None:
@@ -417,15 +418,15 @@ def line_mean_h2(vc: DataFrame, plots: DataFrame, genotype: str = "genotype", en
         F.max(F.when(F.col("source") == "genotype_x_environment", F.col("vcov"))).alias("vge"),
         F.max(F.when(F.col("source") == "Residual", F.col("vcov"))).alias("ve"), F.min("converged").alias("converged"),
         F.max(F.when(F.col("error").isNotNull(), F.col("error"))).alias("error"),
-    ).withColumn("__one", F.lit(1))
+    )
     if env is None:
         reps = plots.groupBy(genotype).agg(F.count(F.lit(1)).alias("n")).agg(harmonic_mean("n").alias("hr"))
-        reps = reps.withColumn("he", F.lit(1.0))
+        reps = reps.select("hr", F.lit(1.0).alias("he"))
     else:
-        he = plots.groupBy(genotype).agg(F.count_distinct(env).alias("n")).agg(harmonic_mean("n").alias("he")).withColumn("__k", F.lit(1))
-        hr = plots.groupBy(genotype, env).agg(F.count(F.lit(1)).alias("n")).agg(harmonic_mean("n").alias("hr")).withColumn("__k", F.lit(1))
-        reps = he.join(hr, "__k").drop("__k")
-    j = v.join(reps.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        he = plots.groupBy(genotype).agg(F.count_distinct(env).alias("n")).agg(harmonic_mean("n").alias("he"))
+        hr = plots.groupBy(genotype, env).agg(F.count(F.lit(1)).alias("n")).agg(harmonic_mean("n").alias("hr"))
+        reps = attach_row(he, hr)
+    j = attach_row(v, reps)
     phen = F.col("vg") + F.coalesce("vge", F.lit(0.0)) / F.col("he") + F.col("ve") / (F.col("he") * F.col("hr"))
     total = F.col("vg") + F.coalesce("vge", F.lit(0.0)) + F.col("ve")
     return j.select(

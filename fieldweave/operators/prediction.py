@@ -13,8 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .components import with_one
-from .crossproducts import gram_matrices
+from .crossproducts import gram_matrices, with_one
 from .correlate import spearman_by_dimension
 from .transforms import group_kfold, hashed_folds, standardize_on_fit
 

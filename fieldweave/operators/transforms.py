@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import clipped_logit
+from .onerow import attach_row
 from .ranking import exact_quantiles
 
 
@@ -39,8 +40,7 @@ def winsorize_columns(df: DataFrame, columns: list[str], strength: float) -> Dat
     clip = {
         c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}_lo")), F.col(f"__{c}_hi"))) for c in columns
     }
-    with_edges = df.withColumn("__one", F.lit(1)).join(wide.withColumn("__one", F.lit(1)), "__one")
-    return with_edges.withColumns(clip).select(*df.columns)
+    return attach_row(df, wide).withColumns(clip).select(*df.columns)
 
 
 def zscore(df: DataFrame, keys: list[str], value: str, out: str, sample: bool = False) -> DataFrame:
@@ -50,8 +50,8 @@ def zscore(df: DataFrame, keys: list[str], value: str, out: str, sample: bool =
         stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), sd.alias("__s"))
         joined = df.join(stats, keys, "left")
     else:
-        stats = df.agg(F.avg(value).alias("__m"), sd.alias("__s")).withColumn("__one", F.lit(1))
-        joined = df.withColumn("__one", F.lit(1)).join(stats, "__one").drop("__one")
+        stats = df.agg(F.avg(value).alias("__m"), sd.alias("__s"))
+        joined = attach_row(df, stats)
     return joined.withColumn(out, F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
@@ -73,19 +73,18 @@ def standardize_on_fit(df: DataFrame, vec: str, fit: str, out: str) -> DataFrame
     stats = df.where(F.col(fit)).agg(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(vec)).alias("s")
     ).select(
-        F.lit(1).alias("__one"),
         vector_to_array("s.mean").alias("__m"),
         F.transform(
             vector_to_array("s.variance"),
             lambda v: F.sqrt(v * (F.col("s.count") - 1) / F.col("s.count")),
         ).alias("__s"),
     )
-    joined = df.withColumn("__one", F.lit(1)).join(stats, "__one")
+    joined = attach_row(df, stats)
     scaled = F.transform(
         F.arrays_zip(F.col(vec).alias("x"), F.col("__m").alias("m"), F.col("__s").alias("s")),
         lambda z: (z["x"] - z["m"]) / F.when(z["s"] > 0, z["s"]).otherwise(1.0),
     )
-    return joined.withColumn(out, scaled).drop("__one", "__m", "__s")
+    return joined.withColumn(out, scaled).drop("__m", "__s")
 
 
 # ---------------------------------------------------------------- grouped splits

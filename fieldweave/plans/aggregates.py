@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A, hotspots as H, transforms as T
+from ..operators.onerow import attach_row
 from . import roles as R
 from .registry import q, query, r
 from .tables import _ANNOTATED, _EXPR, _PEAKS, annotated, expression_matrix, peaks
@@ -309,8 +310,8 @@ def window_labels(t):
 @query("hit_summary", f"""SELECT (SELECT count(*) FROM {_HITS} h) AS n_hits, (SELECT count(DISTINCT trait) FROM {_HITS} h) AS n_traits, (SELECT max(n_traits) FROM {_FIXED} f) AS busiest""")
 def hit_summary(t):
     h = hits(t)
-    a = h.agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("trait").alias("n_traits")).withColumn("k", F.lit(1))
-    return a.join(H.fixed_windows(h, W_BP).agg(F.max("n_traits").alias("busiest")).withColumn("k", F.lit(1)), "k").drop("k")
+    a = h.agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("trait").alias("n_traits"))
+    return attach_row(a, H.fixed_windows(h, W_BP).agg(F.max("n_traits").alias("busiest")))
 
 
 @query("trait_summary", f"""SELECT trait, count(*) AS n_tested, {q("min(p_value)", 8)} AS min_p, count(*) FILTER (WHERE p_value <= 0.001) AS n_significant, 0.001::DOUBLE AS threshold FROM {R.ASSOC} a GROUP BY trait""")

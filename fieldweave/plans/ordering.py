@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..operators import hotspots as H, ranking as K, testing as TS
 from . import roles as R
 from .aggregates import _FIXED, _FIXED_B, _LENGTHS, W_BP, hits, lengths, windows_b
@@ -13,7 +14,7 @@ from .registry import q, query, r
 @query("bh_qvalues", f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY p_value) AS i, count(*) OVER (PARTITION BY trait) AS m FROM {R.ASSOC} a)
   SELECT trait, marker, {q("least(1, min(p_value * m / i) OVER (PARTITION BY trait ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", 6)} AS q_value FROM i""")
 def bh_qvalues(t):
-    return TS.bh_qvalues(R.associations(t), ["trait"]).select("trait", "marker", r("q_value", 6).alias("q_value"))
+    return TS.bh_qvalues(cut_lineage(R.associations(t)), ["trait"]).select("trait", "marker", r("q_value", 6).alias("q_value"))
 
 
 @query("average_rank", f"""SELECT vec_id, environment, image_no, rank() OVER w + (count(*) OVER (PARTITION BY environment, area) - 1) / 2.0::DOUBLE AS area_rank FROM
@@ -76,13 +77,12 @@ def importance_summary(t):
     return imp(f)
 
 
-@query("status_order", """SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END NULLS LAST, o_orderkey)::INT AS position FROM orders ORDER BY position LIMIT 500""")
+@query("status_order", """SELECT o_orderkey, rank() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END NULLS LAST) AS position FROM orders""")
 def status_order(t):
-    from ..operators.association import status_order as so
+    from ..operators.association import status_positions
 
     o = t.orders.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"))
-    first = o.orderBy(*so(F.col("o_orderstatus"), ["F", "O"], F.col("p"), "o_orderkey")).limit(500)
-    return first.select("o_orderkey", F.row_number().over(W.orderBy(*so(F.col("o_orderstatus"), ["F", "O"], F.col("p"), "o_orderkey"))).alias("position"))
+    return status_positions(o, "o_orderstatus", ["F", "O"], "p").select("o_orderkey", "position")
 
 
 @query("qq_pairs", f"""SELECT trait, row_number() OVER w AS i, {q("-log10(p_value)")} AS observed, {q("-log10((row_number() OVER w - 0.5) / count(*) OVER (PARTITION BY trait))")} AS expected FROM {R.ASSOC} a WINDOW w AS (PARTITION BY trait ORDER BY p_value)""")
