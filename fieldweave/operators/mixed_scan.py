@@ -228,9 +228,6 @@ def scan(
 
 
 # ---------------------------------------------------------------- one marker, many traits
-SCAN_RULES = "status string, skip_reason string"
-
-
 def one_marker_rules(cells: DataFrame, keys: list[str], min_samples: int = 30, min_homozygotes: int = 3) -> DataFrame:
     """Counts, phenotype moments, status and skip reason per stratum.
 
@@ -252,14 +249,14 @@ def one_marker_rules(cells: DataFrame, keys: list[str], min_samples: int = 30, m
 
 
 def one_marker_tests(
-    cells: DataFrame, keys: list[str], samples: list[str], products: np.ndarray | None, n_pcs: int = 5, spread: int = 16,
+    cells: DataFrame, keys: list[str], samples: list[str], products: np.ndarray | None, n_pcs: int = 5, strata_per_task: int = 64,
     min_samples: int = 30, min_homozygotes: int = 3, covariate: str | None = None,
 ) -> DataFrame:
     """Test one marker in every stratum (trait, location, gene ...), each on its own sample subset.
 
     Strata with the same sample set share one eigenbasis: they are grouped by a set fingerprint and
-    solved together, at most samples x strata / spread rows per task. ``products`` are the raw
-    product sums without the marker's chromosome; every subset's kinship follows from them.
+    solved together, about ``strata_per_task`` strata at a time, so a task holds at most that many
+    rows per sample. ``products`` are the raw product sums without the marker's chromosome; every subset's kinship follows from them.
     """
     rules = one_marker_rules(cells, keys, min_samples, min_homozygotes)
     label = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
@@ -269,9 +266,10 @@ def one_marker_tests(
     usable = usable.withColumn("__s", label)
     queued = rules.where("status = 'queued'").select(label.alias("__s"))
     prints = usable.groupBy("__s").agg(set_fingerprint(F.col("sample")).alias("__set")).join(queued, "__s")
+    slots = queued.agg(F.ceil(F.count(F.lit(1)) / strata_per_task).alias("n")).select(F.greatest("n", F.lit(1)).alias("n")).scalar()
     work = usable.join(prints, "__s").select(
         "__set", "__s", "sample", F.col("y").cast("double").alias("y"), F.col("dosage").cast("double").alias("x"),
-        (F.col(covariate).cast("double") if covariate else F.lit(0.0)).alias("z"), F.pmod(F.xxhash64("__s"), F.lit(spread)).alias("__salt"),
+        (F.col(covariate).cast("double") if covariate else F.lit(0.0)).alias("z"), F.pmod(F.xxhash64("__s"), slots).alias("__salt"),
     )
     order = {s: i for i, s in enumerate(samples)}
     shared = cells.sparkSession.sparkContext.broadcast((order, products))
