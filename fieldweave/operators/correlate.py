@@ -143,8 +143,10 @@ def _r_squared(mats: pd.Series) -> pd.Series:
 
 
 def covariance_array(columns: list[str]) -> Column:
-    """Flat population covariance matrix of the columns, one aggregate pass."""
-    return F.array(*[F.covar_pop(a, b) for a in columns for b in columns])
+    """Flat population covariance matrix of the columns, one aggregate pass; mirrored entries are the
+    same expression, which Spark computes once."""
+    at = {c: i for i, c in enumerate(columns)}
+    return F.array(*[F.covar_pop(*sorted((a, b), key=at.get)) for a in columns for b in columns])
 
 
 def ranked_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

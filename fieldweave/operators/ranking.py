@@ -1,10 +1,14 @@
 """Ranks, quantiles and running minima over groups of any size.
 
-A plain window over ``PARTITION BY group`` puts a whole group into one task. Here each group is
-first cut into value buckets whose bounds come from a mergeable quantile sketch; rows meet only
-inside one bucket, equal values are counted before the shuffle, and a short per-bucket table
-(at most ``buckets`` rows per group) carries the offsets across buckets. The bounds only decide
-where a value is processed, never its rank, so results are exact.
+A plain window over ``PARTITION BY group`` puts a whole group into one task. Here every heavy group
+is first cut into value buckets whose bounds come from a mergeable quantile sketch; rows meet only
+inside one bucket, equal values are counted before the shuffle, and a short per-bucket table carries
+the offsets across buckets. The bounds only decide where a value is processed, never its rank, so
+results are exact.
+
+Heavy means at least ``spark.fieldweave.heavyGroupRows`` rows (default 1,000,000) and at least one
+thousandth of the table. At most 1,000 groups can be heavy, so the table of bounds is at most
+1,000 x 1,024 numbers and is broadcast; all other groups are one bucket each.
 """
 
 from __future__ import annotations
@@ -22,12 +26,23 @@ def _bucket_side(df: DataFrame) -> int:
     return max(3, min(32, math.ceil(math.sqrt(parts))))
 
 
+MAX_HEAVY = 1_000
+
+
+def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the heavy groups: at most MAX_HEAVY rows, since each holds 1/MAX_HEAVY of the table."""
+    least = int(df.sparkSession.conf.get("spark.fieldweave.heavyGroupRows", "1000000"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    share = counts.agg(F.greatest(F.sum("__n") / MAX_HEAVY, F.lit(float(least))).alias("s")).scalar()
+    return counts.where(F.col("__n") >= share).select(*keys)
+
+
 def bucket_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Approximate quantile cuts per group in two levels: coarse cuts, and the cuts between them."""
+    """Approximate quantile cuts of each heavy group in two levels: coarse cuts, and those between."""
     side = _bucket_side(df)
     n = side * side
     cuts = F.percentile_approx(value, [i / n for i in range(1, n)], 20 * n).alias("__cuts")
-    bounds = df.groupBy(*keys).agg(cuts)
+    bounds = df.join(F.broadcast(heavy_groups(df, keys)), list(keys), "left_semi").groupBy(*keys).agg(cuts)
     coarse = F.expr(f"transform(sequence(1, {side - 1}), i -> __cuts[i * {side} - 1])")
     fine = F.expr(
         f"transform(sequence(0, {side - 1}), i -> slice(__cuts, i * {side} + 1, {side - 1}))"
@@ -36,16 +51,18 @@ def bucket_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def with_value_bucket(df: DataFrame, bounds: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add the bucket ordinal of ``value`` within ``keys`` (monotone in value, side**2 buckets).
+    """Add the bucket ordinal of ``value`` within ``keys``: monotone in value, 0 in light groups.
 
-    A row is compared with 2 * side bounds instead of side**2.
+    A row is compared with 2 * side bounds instead of side**2. The bounds are broadcast (see the
+    module text for their size), so rows stay where they are and the next shuffle spreads them by
+    bucket, not by group.
     """
     side = _bucket_side(df)
-    joined = df.join(bounds, list(keys))
+    joined = df.join(F.broadcast(bounds), list(keys), "left")
     top = F.size(F.filter("__coarse", lambda b: b < F.col(value)))
-    joined = joined.withColumn("__top", top)
-    inner = F.size(F.filter(F.col("__fine")[F.col("__top")], lambda b: b < F.col(value)))
-    return joined.withColumn(BUCKET, F.col("__top") * side + inner).drop("__coarse", "__fine", "__top")
+    inner = F.size(F.filter(F.col("__fine")[top], lambda b: b < F.col(value)))
+    bucket = F.when(F.col("__coarse").isNull(), 0).otherwise(top * side + inner)
+    return joined.withColumn(BUCKET, bucket).drop("__coarse", "__fine")
 
 
 def value_ranks(
@@ -63,7 +80,10 @@ def value_ranks(
     if not keys:
         one = lambda d: None if d is None else d.withColumn("__all", F.lit(0))
         return value_ranks(one(df), ["__all"], value, extra, one(base)).drop("__all")
-    usable = lambda d: d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    usable = lambda d: d.where(known)
     counted = usable(base if base is not None else df).select(*keys, value)
     bounds = bucket_bounds(counted, keys, value)
     vals = (

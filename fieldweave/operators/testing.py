@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .ranking import running_extreme_from_above, top_k, value_ranks
+from ..session import cut_lineage
+from .ranking import BUCKET, running_extreme_from_above, top_k, value_ranks
 
 
 def bh_qvalues(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values within each group; missing p stays missing.
 
-    Works on distinct p-values, bucket by bucket, so one group may hold most of the table.
+    Works on distinct p-values, bucket by bucket, so one group may hold most of the table; the
+    ranked values are read twice (bucket minima, then rows) and hence checkpointed.
     """
     r = value_ranks(df, keys, p).withColumn("__c", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
+    r = cut_lineage(r.select(*keys, BUCKET, p, "__c"))
     qv = running_extreme_from_above(r, keys, p, "__c", "__q")
     side = qv.select(*keys, p, F.least(F.col("__q"), F.lit(1.0)).alias(out))
     return df.join(side, [*keys, p], "left")
