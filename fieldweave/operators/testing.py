@@ -32,10 +32,18 @@ def bh_qvalues_bounded(df: DataFrame, keys: list[str], p: str, out: str = "q_val
     return step.withColumn(out, F.when(usable, F.least(F.min("__c").over(tail), F.lit(1.0)))).drop("__c")
 
 
-def expected_quantiles(df: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
-    """(observed, expected) -log10 pairs per group; tied p-values take consecutive ranks."""
+def expected_quantiles(df: DataFrame, keys: list[str], p: str = "p_value", piece: int = 65_536) -> DataFrame:
+    """(observed, expected) -log10 pairs per group; tied p-values take consecutive ranks.
+
+    A long tie is cut into pieces of ranks before the shuffle, so that no row and no task has to
+    unfold it whole.
+    """
     r = value_ranks(df, keys, p)
-    rows = r.select(*keys, p, "total", F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("n"))).alias("i"))
+    cut = r.select(*keys, p, "total", "below", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece))).alias("__piece"))
+    cut = cut.repartition(*keys, p, "__piece")
+    first = F.col("below") + F.col("__piece") * piece + 1
+    last = F.least(F.col("below") + (F.col("__piece") + 1) * piece, F.col("below") + F.col("n"))
+    rows = cut.select(*keys, p, "total", F.explode(F.sequence(first, last)).alias("i"))
     return rows.select(
         *keys, "i", (-F.log10(p)).alias("observed"), (-F.log10((F.col("i") - 0.5) / F.col("total"))).alias("expected")
     )

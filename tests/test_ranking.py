@@ -72,6 +72,14 @@ def test_bh_random(spark):
     assert np.allclose(got, want)
 
 
+def test_expected_quantiles_cut_long_ties(spark):
+    df = spark.createDataFrame([("t", 0.5)] * 23 + [("t", 0.1)] * 4, "trait string, p double")
+    got = TS.expected_quantiles(df, ["trait"], "p", piece=5).toPandas().sort_values("i")
+    assert got["i"].tolist() == list(range(1, 28))
+    assert np.allclose(got["observed"], [1.0] * 4 + [-np.log10(0.5)] * 23)
+    assert np.allclose(got["expected"], -np.log10((np.arange(1, 28) - 0.5) / 27))
+
+
 def test_top_k_and_first_per_key(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 5, "w")], "k string, o int, v string")
     assert {(r["k"], r["v"]) for r in K.first_per_key(df, ["k"], ["o"]).collect()} == {("a", "y"), ("b", "w")}
