@@ -196,11 +196,13 @@ def scan(
         if len(loco) * len(idx) ** 2 * 8 > BROADCAST_LIMIT:
             raise ValueError("eigenbases exceed the broadcast limit; scan fewer chromosomes at a time")
         bases = {c: make_basis(kinship_from_products(g, idx), y, w) for c, g in loco.items()}
-    shared = markers.sparkSession.sparkContext.broadcast(bases)
+    # plain arrays: broadcasts are pickled by reference, and executors may lack this package
+    plain = {c: (b.d, b.u, b.y, b.w, b.null_lambda, b.null_ll) for c, b in bases.items()}
+    shared = markers.sparkSession.sparkContext.broadcast(plain)
     kind = dict(markers.dtypes)
 
     def run(batches):
-        table = shared.value
+        table = {c: Basis(*parts) for c, parts in shared.value.items()}
         for b in batches:
             if b.num_rows == 0:
                 continue
