@@ -71,7 +71,7 @@ def heritability(t):
 @query("heritability_across")
 def heritability_across(t):
     m, cov = B.model_plots(R.plots(t), ["price", "discount"], R.PLOT_KEYS, area="area", across=True)
-    vc = B.variance_components_across(m, ["price", "discount"], covariates=cov, factors=["row", "device"], rounds=4, grid=4)
+    vc = B.variance_components_across(m, ["price", "discount"], covariates=cov, factors=["row", "device"])
     return B.line_mean_h2(vc, m, env="environment").select("trait", r("he", 3).alias("he"), r("hr", 3).alias("hr"), r("h2").alias("h2"))
 
 
