@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import lines
+from fieldweave.llm import lines, probminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,4 +22,5 @@ def _register(name: str, table: str, fn: Callable[[DataFrame], DataFrame], sql:
         SQL[name] = sql
 
 
+_register("op5_near_dedup", "documents", probminhash.near_duplicates)
 _register("op10_line_dedup", "documents", lines.line_report, lines.SQL)
