@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import lines, packing, probminhash
+from fieldweave.llm import lines, packing, probminhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,5 +23,6 @@ def _register(name: str, table: str, fn: Callable[[DataFrame], DataFrame], sql:
 
 
 _register("op5_near_dedup", "documents", probminhash.near_duplicates)
+_register("op7_substring_dedup", "documents", suffixes.substring_report)
 _register("op8_packing", "documents", packing.packing_report)
 _register("op10_line_dedup", "documents", lines.line_report, lines.SQL)
