@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import lines, packing, probminhash, suffixes
+from fieldweave.llm import lines, packing, pivots, probminhash, suffixes, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,7 +22,10 @@ def _register(name: str, table: str, fn: Callable[[DataFrame], DataFrame], sql:
         SQL[name] = sql
 
 
+QUERIES["op1_toxicity"] = lambda spark, folder: toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+_register("op4_vector_near_dedup", "embeddings", pivots.near_vectors)
 _register("op5_near_dedup", "documents", probminhash.near_duplicates)
+_register("op6_fingerprints", "documents", winnowing.neighbour_likeness)
 _register("op7_substring_dedup", "documents", suffixes.substring_report)
 _register("op8_packing", "documents", packing.packing_report)
 _register("op10_line_dedup", "documents", lines.line_report, lines.SQL)
