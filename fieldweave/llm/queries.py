@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import lines, mincut, packing, pivots, probminhash, suffixes, toxicity, warc, winnowing
+from fieldweave.llm import lines, mincut, packing, pieces, pivots, probminhash, suffixes, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,7 @@ def _register(name: str, table: str, fn: Callable[[DataFrame], DataFrame], sql:
 
 
 QUERIES["op1_toxicity"] = lambda spark, folder: toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+_register("op2_pieces", "documents", pieces.pieces_report)
 _register("op3_warc", "pages", warc.archive_report, warc.SQL)
 _register("op4_vector_near_dedup", "embeddings", pivots.near_vectors)
 _register("op5_near_dedup", "documents", probminhash.near_duplicates)
