@@ -6,13 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldweave.llm.common import stored
 from fieldweave.llm.lines import drop_repeated_lines
+from fieldweave.llm.packing import packing_report
+from fieldweave.llm.probminhash import drop_near_duplicates
+from fieldweave.llm.suffixes import drop_repeated_substrings
+from fieldweave.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field does not reject; learned from the labelled rows that are not held out."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs).select(docs.columns)
 
 
-STAGES = [("line_dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_repeated_substrings(docs).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing_report(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
 ORACLE_SQL = None  # a learned classifier and sketches take part
 
 
