@@ -14,7 +14,7 @@ scoring reads every text whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldweave.llm.common import map_columns, texts
 
-BITS = 18
+BITS, WIDE = 18, 24
 WORD = re.compile(r"\w+")
 BREAK = re.compile(r"[.!?\n]")
 CACHE_WORDS = 200_000
@@ -38,8 +38,13 @@ def grams(word: str) -> set[str]:
     return {marked} | {marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
 
 
+def wide_slots(word: str) -> np.ndarray:
+    """Distinct hash slots of the word's grams, for counting; their low bits are the weights' slots."""
+    return np.array(sorted({xxhash.xxh3_64_intdigest(g) & ((1 << WIDE) - 1) for g in grams(word[:200])}), np.int32)
+
+
 def slots(word: str) -> np.ndarray:
-    return np.array(sorted({xxhash.xxh3_64_intdigest(g) & ((1 << BITS) - 1) for g in grams(word[:200])}), np.int64)
+    return wide_slots(word) & ((1 << BITS) - 1)
 
 
 def sentences(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -140,40 +145,41 @@ def curve_inputs(top: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.stack((np.ones(len(top)), top, np.log1p(total)), axis=1)
 
 
-def token_features(rows: list[tuple[str, int]]) -> set[str]:
-    """Words and n-grams that mark toxic documents; equal texts count once."""
-    every, toxic = Counter(), Counter()
+def marking_slots(rows: list[tuple[str, int]], per: dict[str, np.ndarray]) -> np.ndarray:
+    """Which wide slots mark toxic documents; equal texts count once, ``per`` holds the slots of each word."""
+    every, toxic = np.zeros(1 << WIDE, np.uint16), np.zeros(1 << WIDE, np.uint16)
     for text, label in dict(rows).items():
-        held = {g for w in set(WORD.findall(text.lower())) for g in grams(w[:200])}
-        every.update(held)
-        if label:
-            toxic.update(held)
-    return {g for g, n in toxic.items() if n >= LEAST_DOCS and n >= LEAST_SHARE * every[g]}
+        words = set(WORD.findall(text.lower()))
+        if words:
+            held = np.unique(np.concatenate([per[w] if w in per else wide_slots(w) for w in words]))
+            every[held] += 1
+            toxic[held] += bool(label)
+    return (toxic >= LEAST_DOCS) & (toxic >= LEAST_SHARE * every)
 
 
 def fit_field(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-5) -> Field:
     """Field fitted to (text, label) rows; without rows, or with one label only, scores are the label's share."""
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
     flat = Field(np.zeros(1 << BITS, np.float32), -8.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
-    marks = token_features(rows)
-    if not marks or len({y for _, y in rows}) < 2:
+    if len({y for _, y in rows}) < 2:
         return flat
     number: dict[str, int] = {}
-    kind, gold, sizes, owner = [], [], [], []
-    marked: dict[str, bool] = {}
-    for d, (text, label) in enumerate(rows):
+    kind, sizes, owner = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(rows):
         for s in sentences(text):
-            words = [text[a:b].lower() for a, b in s]
-            for w in words:
-                if w not in marked:
-                    marked[w] = not marks.isdisjoint(grams(w[:200]))
-                kind.append(number.setdefault(w, len(number)))
-                gold.append(bool(label) and marked[w])
+            kind.extend(number.setdefault(text[a:b].lower(), len(number)) for a, b in s)
             sizes.append(len(s))
-            owner += [d] * len(s)
-    kind, gold, sizes, owner = np.array(kind), np.array(gold, float), np.array(sizes), np.array(owner)
-    per = [slots(w) for w in number]
-    slot, row = np.concatenate(per), np.repeat(np.arange(len(per)), [len(p) for p in per])
+            owner.extend([d] * len(s))
+    kind, sizes, owner = np.array(kind, np.int32), np.array(sizes, np.int64), np.array(owner, np.int32)
+    wide = {w: wide_slots(w) for w in number}
+    per = list(wide.values())
+    marks = marking_slots(rows, wide)
+    marked = np.array([marks[p].any() for p in per], bool)
+    if not marked.any():
+        return flat
+    gold = (marked[kind] & np.array([bool(y) for _, y in rows])[owner]).astype(float)
+    slot, row = np.concatenate(per) & ((1 << BITS) - 1), np.repeat(np.arange(len(per), dtype=np.int32), [len(p) for p in per])
+    del wide, marks
     inside = np.ones(len(kind), bool)
     inside[np.cumsum(sizes) - 1] = False
     was, now = gold[:-1][inside[:-1]], gold[1:][inside[:-1]]
@@ -204,7 +210,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, sample_chars: int = 8000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, sample_chars: int = 4000) -> Field:
     """Field from the labelled rows that are not held out: the ``sample`` ones of least hashed id."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     near = docs.select(id_col, text_col).where(F.length(text_col) <= sample_chars).join(marked, docs[id_col] == marked["__id"])
