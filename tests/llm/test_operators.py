@@ -64,13 +64,13 @@ def test_toxic_spans_and_edges(spark, odd_docs):
             words[rng.randrange(12)] = "wretch"
         rows.append((" ".join(words), int(i % 4 == 0)))
     field = toxicity.fit_field(rows)
-    (hot, spans), (cold, none) = field.tag(["the green wretch walks", "the green stone walks"], {}, 0.5)
+    (hot, spans), (cold, none) = field.tag(["the green wretch walks", "the green stone walks"], 0.5)
     assert hot > 0.7 and spans == [(10, 16)] and cold < 0.3 and none == []
     out = toxicity.score_documents(odd_docs, field)
     got = out.collect()
     assert len(got) == 9 and all(0 <= r["score"] <= 1 for r in got) and dict(out.dtypes)["score"] == "double"
     assert toxicity.score_documents(odd_docs.limit(0), field).count() == 0
-    assert toxicity.fit_field([]).tag([""], {}, 0.5)[0][1] == []
+    assert toxicity.fit_field([]).tag([""], 0.5)[0][1] == []
 
 
 def test_toxicity_query_learns(spark):
