@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A text may be cut before every space unless white space of two or more characters has a space
 #: anywhere but in front: there the tokenizer's rule for runs of white space looks further.
 _RUNS = re.compile(r"\s \s|  | \s+ |\s \Z")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000  # about 200 MB a worker
 _loaded: dict[int, WordCache] = {}
 
 
@@ -32,9 +33,7 @@ class WordCache:
         return _loaded[key]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -45,10 +44,10 @@ class WordCache:
             if _RUNS.search(text) or any(s in text for s in self.special):
                 whole.append(text)
                 cut.append(None)
-                continue
-            words = text.split(" ")
-            cut.append(words[:1] + [f" {w}" for w in words[1:]])
-        new = list({w for words in cut if words for w in words if w not in known})
-        known.update(zip(new, self._encode(new)))
+            else:
+                cut.append(text.split(" "))
+        new = list(set().union(*(words[1:] for words in cut if words)) - known.keys())
+        known.update(zip(new, self._encode([f" {w}" for w in new])))  # words with the space in front of them
         rest = iter(self._encode(whole))
-        return [next(rest) if words is None else b"".join([known[w] for w in words]) for words in cut]
+        first = iter(self._encode([words[0] for words in cut if words]))
+        return [next(rest) if words is None else next(first) + b"".join(map(known.__getitem__, words[1:])) for words in cut]
