@@ -305,8 +305,11 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2500, sample_chars: int = 4000) -> Field:
     """Field from the labelled rows that are not held out: the ``sample`` ones of least hashed id."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    near = docs.select(id_col, text_col).where(F.length(text_col) <= sample_chars).join(marked, docs[id_col] == marked["__id"])
-    rows = near.orderBy(F.xxhash64(id_col), id_col, text_col).select(text_col, "__y").limit(sample).collect()
+    short = docs.where(F.length(text_col) <= sample_chars)
+    near = short.select(id_col).join(marked, short[id_col] == marked["__id"])
+    chosen = near.orderBy(F.xxhash64(id_col), id_col).select("__id", "__y").limit(sample).distinct()  # ids first, so that no task sends texts it may not need
+    rows = short.select(id_col, text_col).join(F.broadcast(chosen), short[id_col] == chosen["__id"])
+    rows = rows.orderBy(F.xxhash64(id_col), id_col, text_col).select(text_col, "__y").limit(sample).collect()
     return fit_field([(r[0], r[1]) for r in rows])
 
 
