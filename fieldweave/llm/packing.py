@@ -11,6 +11,7 @@ its length; ranks come from salted counts, so one very common length is spread o
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,10 +27,13 @@ RANK_ROWS = 50_000  # pieces ranked in one window, on average
 def reduce_dominant(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Fix sets of up to three pieces that dominate all others; (patterns with counts, what is left).
 
-    With j a piece and k the largest that still fits beside it, {j, k} dominates every set that
-    holds j if k fills the bin, or if no two pieces fit together into what j leaves, or if the
-    fullest such two are together no larger than k; {j} alone if nothing fits. Then some best
-    packing contains the set, so it is fixed and the pieces leave the instance.
+    A set dominates another if the other's pieces can be dealt into its pieces without any overflowing.
+    With j a piece and k the largest that still fits beside it, {j, k} dominates every set that holds j
+    if k fills the bin, or if no two pieces fit together into what j leaves, or if no three do and the
+    fullest two are together no larger than k; {j} alone if nothing fits. If no three fit and b is the
+    largest beside j and k, {j, k, b} dominates if of every two that fit, and are together larger than
+    k, the smaller is no larger than b. Then some best packing contains the set, so it is fixed and
+    the pieces leave the instance.
     """
     left = {s: n for s, n in counts.items() if n}
     fixed: list[tuple[tuple[int, ...], int]] = []
@@ -41,29 +45,40 @@ def reduce_dominant(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             if not left[s]:
                 del left[s]
 
-    def times(j: int, k: int) -> int:
-        return left[j] // 2 if j == k else min(left[j], left[k])
-
-    def beside(j: int) -> list[int]:
-        return sorted(s for s, n in left.items() if s <= capacity - j and (s != j or n > 1))
+    def times(sizes: tuple[int, ...]) -> int:
+        return min(left[s] // sizes.count(s) for s in sizes)
+
+    def dominant(j: int) -> tuple[int, ...]:
+        """The set with j that dominates all others, or no piece if none is known."""
+        room = capacity - j
+        fit = sorted(s for s, n in left.items() if s <= room and (s != j or n > 1))
+        if not fit:
+            return (j,)
+        have = {s: left[s] - (s == j) for s in fit}
+        k = fit[-1]
+        if k == room:
+            return j, k
+        if sum([s for s in fit[:3] for _ in range(min(3, have[s]))][:3]) <= room and sum(have[s] for s in fit[:3]) >= 3:
+            return ()
+        two = small = 0  # the fullest two that fit; the largest smaller one of two that are more than k
+        for a in fit:
+            b = fit[bisect_right(fit, room - a) - 1] if fit[0] <= room - a else 0
+            if b < a:
+                break
+            if b > a or have[a] > 1:
+                two = max(two, a + b)
+                small = a if a + b > k else small
+        if two <= k:
+            return j, k
+        third = max((s for s in fit if s <= room - k and (s != k or have[k] > 1)), default=0)
+        return (j, k, third) if third and small <= third else ()
 
     changed = True
     while changed:
         changed = False
         for j in sorted(left, reverse=True):
-            while j in left:
-                fit = beside(j)
-                if not fit:
-                    take((j,), left[j])
-                    changed = True
-                    break
-                k, room = fit[-1], capacity - j
-                if k < room:
-                    have = {s: left[s] - (s == j) for s in fit}
-                    two = max((a + b for a in fit if a <= room // 2 for b in (max((s for s in fit if s <= room - a and (s != a or have[a] > 1)), default=0),) if b), default=0)
-                    if two > k:
-                        break
-                take((j, k), max(1, times(j, k)))
+            while j in left and (sizes := dominant(j)):
+                take(sizes, times(sizes))
                 changed = True
     return fixed, left
 
@@ -96,6 +111,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [p for room in sorted(open_bins) for p in open_bins[room]]
 
 
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of the reduction and best fit of the rest, or of best fit alone where that needs fewer bins."""
+    fixed, left = reduce_dominant(counts, capacity)
+    return min(fixed + best_fit(left, capacity), best_fit(counts, capacity), key=lambda patterns: sum(n for _, n in patterns))
+
+
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, copies in a bin, first sequence, offset) in rank order."""
     out: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
@@ -148,8 +169,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, model: str, end_id: int,
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces with a ``length`` of 1 .. capacity."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    fixed, left = reduce_dominant(histogram, capacity)
-    table = places(fixed + best_fit(left, capacity))
+    table = places(plan(histogram, capacity))
     salts = 1 + sum(histogram.values()) // RANK_ROWS
     keys = [c for c in cut.columns if c not in ("length", "ids")]
     salted = cut.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))

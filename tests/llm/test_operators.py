@@ -238,6 +238,52 @@ def test_dominance_keeps_every_piece(counts):
     assert done == counts
 
 
+def fewest_bins(sizes, capacity):
+    """Exact, by branch and bound over the bins that the next largest piece may go to."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def deal(i, rooms):
+        if len(rooms) >= best[0] and i < len(sizes) or len(rooms) > best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= sizes[i]}):
+            at = rooms.index(room)
+            deal(i + 1, rooms[:at] + (room - sizes[i],) + rooms[at + 1:])
+        deal(i + 1, rooms + (capacity - sizes[i],))
+
+    deal(0, ())
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum():
+    rng, triples = random.Random(9), 0
+    for _ in range(1500):
+        capacity = rng.randrange(10, 60)
+        sizes = [rng.randrange(1, capacity + 1) if rng.random() < 0.5 else rng.randrange(1, capacity // 3 + 1) for _ in range(rng.randrange(1, 11))]
+        fixed, left = packing.reduce_dominant(dict(collections.Counter(sizes)), capacity)
+        rest = [s for s, n in left.items() for _ in range(n)]
+        assert sum(n for _, n in fixed) + (fewest_bins(rest, capacity) if rest else 0) == fewest_bins(sizes, capacity), (capacity, sizes)
+        triples += any(len(p) == 3 for p, _ in fixed)
+    assert triples
+
+
+def test_reduction_is_no_worse_than_best_fit():
+    bins = lambda patterns: sum(n for _, n in patterns)
+    assert bins(packing.plan({900: 1000, 462: 2000, 100: 1000, 40: 3000}, 1024)) == 2000
+    rng = random.Random(10)
+    for _ in range(200):
+        counts = {rng.randrange(1, 1025): rng.randrange(1, 500) for _ in range(rng.randrange(1, 30))}
+        got = packing.plan(counts, 1024)
+        assert bins(got) <= bins(packing.best_fit(counts, 1024)) and all(sum(p) <= 1024 for p, _ in got)
+        done = collections.Counter()
+        for p, n in got:
+            for s in p:
+                done[s] += n
+        assert done == counts
+
+
 def test_line_edges(spark, odd_docs):
     line = "A line of twenty characters and more"
     rows = [(1, line + "\nown"), (2, f" {line.upper()}\t"), (3, f"x\n{line}\n{line}"), (4, "short\nshort"), (5, None)]
