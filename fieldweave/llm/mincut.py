@@ -6,7 +6,8 @@ two terminals. Neighbours in page order and blocks that hang near each other in
 by smoothness edges, so a short block follows its surroundings. The maximum flow separates content
 from boilerplate. The classifier is a fixed table of costs over the roles that enclosing tags and their
 names state, link density, sentence marks and length; elements that never hold article text get an
-unpayable cost. It learns nothing, so a page's result depends on the page alone.
+unpayable cost. A name is only a hint: it has a finite cost, and an article or main element inside
+overrides it. It learns nothing, so a page's result depends on the page alone.
 """
 
 from __future__ import annotations
@@ -30,9 +31,14 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar"}
 BAD_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|widget|pagination|pager|tags?|copyright|legal|skip)(?:$|[-_\s])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article|article-?body|content|main|main-?content|post|post-?body|entry|entry-?content|story|body|text)(?:$|[-_\s])", re.I)
+#: Names of a page's layout ("with-sidebar", "page-no-footer") and of an article's own head; they say nothing bad.
+PLAIN_NAME = re.compile(r"(?:^|(?<=\s))(?:(?:\S*[-_])?(?:no|with|without|has)[-_]\S+|(?:article|post|entry|story)[-_]{1,2}header)(?=$|\s)", re.I)
+IN_HEAD = set("html head base basefont bgsound link meta title script style noscript template".split())
+RAW = set("title script style noscript template".split())  # what stands in these does not end a head
 SPACE = re.compile(r"\s+")
 MARKS = re.compile(r"[.!?。！？](?:\s|$)")
 NEVER = 1e6
+ARTICLE, NAMED, GOOD = 6.0, -5.0, 4.0  # log-odds of elements and names
 
 
 class Blocks(HTMLParser):
@@ -55,9 +61,12 @@ class Blocks(HTMLParser):
         self.parts, self.linked = [], 0
 
     def _role(self) -> float:
-        roles = [r for _, _, r in self.open if r]
-        bad = [r for r in roles if r < 0]
-        return min(bad) if bad else max(roles, default=0.0)
+        worst = best = 0.0
+        for _, _, role in self.open:
+            if role >= ARTICLE and worst > -NEVER:
+                worst = 0.0  # names outside an article are overridden
+            worst, best = min(worst, role), max(best, role)
+        return worst or best
 
     def _stated(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
         names = {k: v or "" for k, v in attrs}
@@ -66,16 +75,27 @@ class Blocks(HTMLParser):
             return -NEVER
         if tag == "header":
             return 0.0 if inside else -NEVER
+        named = f"{names.get('class', '')} {names.get('id', '')}"
+        good, bad = GOOD_NAME.search(named), BAD_NAME.search(PLAIN_NAME.sub(" ", named))
         if tag in CONTENT or names.get("role", "").lower() in ("main", "article"):
-            return 6.0
+            return NAMED if bad and not good else ARTICLE  # an article named a comment is one
         if tag in ("html", "body"):
             return 0.0
-        named = f"{names.get('class', '')} {names.get('id', '')}"
-        if BAD_NAME.search(named):
-            return -NEVER
-        return 4.0 if GOOD_NAME.search(named) else 0.0
+        return NAMED if bad else GOOD if good else 0.0
+
+    def _leave_head(self) -> None:
+        """An open head ends before what cannot stand in it, as its end tag may be left out."""
+        for i, (t, _, _) in enumerate(self.open):
+            if t == "head":
+                if not any(x in RAW for x, _, _ in self.open[i:]):
+                    self._cut(i)
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent and tag not in IN_HEAD:
+            self._leave_head()
+        elif tag == "head" and any(t == "head" for t, _, _ in self.open):
+            return
         if tag not in INLINE:
             self._end_block()
         if tag in CLOSES_P:
@@ -129,6 +149,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and data.strip():
+            self._leave_head()
         if not self.silent:
             self.parts.append(data)
             self.linked += len(data.strip()) if self.links else 0

@@ -354,6 +354,30 @@ def test_main_text():
     assert mincut.main_text("<article><p>" + "Word here. " * 20_000).count("Word") == 20_000
 
 
+@pytest.mark.parametrize("name", ["wrapper with-sidebar", "no-footer", "layout-has-nav", "sidebar", "page header"])
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_names_do_not_lose_the_article(name, element):
+    body = f"<{element}><div class='article-header'><h1>Headline</h1></div><p>First line goes on.</p><div class='comments'><p>Reader says.</p></div></{element}>"
+    page = f"<html><body><div class='{name}'>{body}<form><p>Search. Here. Now. And more.</p></form></div></body></html>"
+    assert mincut.main_text(page) == "Headline\nFirst line goes on."
+
+
+def test_names_without_article():
+    text = "This is a sentence of some length, and it goes on for a while. " * 5
+    for name in ("with-sidebar", "no-footer", "sidebar"):
+        assert mincut.main_text(f"<body><div class='wrapper {name}'><p>{text}</p><p>{text}</p></div>") == f"{text.strip()}\n{text.strip()}"
+    assert mincut.main_text("<body><div class='sidebar'><p>Also read this. And this.</p></div>") == ""
+    assert mincut.main_text("<body><div id='comments'><article class='comment'><p>I say so. Yes.</p></article></div>") == ""
+    assert mincut.main_text("<body><aside><article><p>An advertisement. Buy it. Now. Here.</p></article></aside>") == ""
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=x><title>T</title><style>a{}</style><noscript><p>N. N. N.</p></noscript>", "<head><head><title>T</title></head>"])
+@pytest.mark.parametrize("body", ["<body>", "", "<svg><title>S</title></svg>"])
+def test_head_ends_by_itself(head, body):
+    assert mincut.main_text(f"<!doctype html><html>{head}{body}<article><h1>A</h1><p>Text here. More.</p></article></html>") == "A\nText here. More."
+    assert mincut.main_text("<head><title>T</title>Plain text of the page. It goes on. And on.") == "Plain text of the page. It goes on. And on."
+
+
 def test_main_text_of_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op9_main_text"](spark, SF).collect()}
