@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from fieldweave.llm.common import ship, texts
 from fieldweave.llm.shingles import BASE, mix, powers
 
-SIZE, WINDOW = 20, 64
+SIZE, WINDOW = 8, 8  # a half kept unchanged is sure to be seen from 15 code points on
+ROWS = 250  # rows of a result batch, as fingerprints are longer than their texts
 _U = np.uint64
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -134,6 +135,9 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     held = None
                 if turn == 0:
                     held = (i, text, spot)
+                if len(out) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], NAMES)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], NAMES)
 

@@ -332,6 +332,19 @@ def test_neighbours_brute(spark, odd_docs):
     assert winnowing.fingerprints(odd_docs).count() == 9
 
 
+def test_short_edited_texts_are_seen():
+    texts = [t or "" for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id").fetchall()]
+    grams = lambda t, window: np.unique(winnowing.winnow(t, winnowing.SIZE, window)[0])
+    off = []
+    for text, after in zip(texts, texts[1:] + texts[:1]):
+        if 20 <= len(text) <= 165:
+            edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+            got, whole = (winnowing.likeness(grams(text, w), grams(edited, w)) for w in (winnowing.WINDOW, 1))
+            assert got > 0 or len(text) < 30
+            off.append((len(text), got, abs(got - whole)))
+    assert len(off) > 200 and np.mean([x[1] == 0 for x in off]) < 0.1 and np.mean([x[2] for x in off]) < 0.07
+
+
 # main text
 
 def test_cut_is_minimal():
