@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+ROWS = 250  # rows handled at once, as Python objects
 _shipped: set[str] = set()
 
 
@@ -49,7 +50,7 @@ def with_fields(schema: T.StructType, **added: T.DataType) -> T.StructType:
 
 
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], drop: tuple[str, ...] = (), **added: T.DataType) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; it returns the new columns, the others pass through.
+    """Apply ``fn`` to slices of every Arrow batch; it returns the new columns, the others pass through.
 
     A new column replaces an input column of the same name.
     """
@@ -61,9 +62,11 @@ def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = fn(batch)
-            cols = [pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name).cast(f.type) for f in target]
-            yield pa.RecordBatch.from_arrays(cols, schema=target)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                new = fn(part)
+                cols = [pa.array(new[f.name], f.type) if f.name in new else part.column(f.name).cast(f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(cols, schema=target)
 
     return df.mapInArrow(run, schema)
 

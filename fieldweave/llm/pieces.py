@@ -1,8 +1,12 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces feeds one Viterbi pass.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces feeds a Viterbi pass or merges.
 
 The automaton reads the normalised text once; at each position its output links list the pieces that end
-there, longest first, and each relaxes the best score of that position. A character that is no piece
-costs the least score less ten and becomes its UTF-8 bytes. Of equal scores the longer last piece wins.
+there, longest first. What follows is the method that the model file declares. Of a unigram model each
+piece relaxes the best score of its position; a character that is no piece costs the least score less
+ten; of equal scores the longer last piece wins. Of a BPE model the best score of a whole text means
+nothing: its scores are ranks of merges, so of all adjacent parts that make up a listed piece those of
+the best rank are merged, the leftmost of equal ones, until none is left. In both a character that is no
+piece becomes its UTF-8 bytes.
 No piece of a model holds a space sign after another character (checked on loading; otherwise the
 whole text is one stretch), so the best path of a text is that of its stretches, and stretches met
 lately are kept by the worker.
@@ -10,6 +14,7 @@ lately are kept by the worker.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
@@ -24,6 +29,7 @@ from fieldweave.llm.common import map_columns, texts
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: piece types of the model format
+UNIGRAM, BPE = 1, 2  # fixed values: model types
 CACHE = 300_000
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 _loaded: dict[int, Pieces] = {}
@@ -85,9 +91,10 @@ class Pieces:
 
     @classmethod
     def of(cls, model: bytes) -> Pieces:
+        """The model with the method that it declares."""
         key = hash(model)
         if key not in _loaded:
-            _loaded[key] = cls(model)
+            _loaded[key] = {UNIGRAM: Pieces, BPE: Merges}[declared(model)](model)
         return _loaded[key]
 
     def normalise(self, text: str) -> str:
@@ -128,10 +135,16 @@ class Pieces:
             if number >= 0:
                 out.append(number)
             else:
-                out += [self.bytes.get(b, self.unknown) for b in reversed(text[n - 1].encode("utf-8", "surrogatepass"))] if self.bytes else [self.unknown]
+                out += reversed(self.spelled(text[n - 1]))
             n -= size
         return out[::-1]
 
+    segment = viterbi
+
+    def spelled(self, char: str) -> list[int]:
+        """Ids of a character that is no piece."""
+        return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
         if len(self.known) > CACHE:
@@ -140,7 +153,7 @@ class Pieces:
         for word in STRETCH.findall(text) if self.cut else [text]:
             ids = known.get(word)
             if ids is None:
-                ids = np.array(self.viterbi(word), "<u4").tobytes()
+                ids = np.array(self.segment(word), "<u4").tobytes()
                 if len(word) < 64:
                     known[word] = ids
             parts.append(ids)
@@ -152,6 +165,46 @@ class Pieces:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+class Merges(Pieces):
+    """A BPE model file; its texts are encoded by merges in the order of their ranks."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        if any(dict(_fields(value)).get(3, NORMAL) in (USER, UNUSED) for number, value in _fields(model) if number == 1):
+            raise ValueError("BPE models with user-defined or unused pieces are not supported")
+
+    def segment(self, text: str) -> list[int]:
+        """Ids of a normalised stretch."""
+        n = len(text)
+        wide = n + 1
+        listed = {(end + 1 - size) * wide + end + 1: (-score, number) for end, (size, number, score) in self.automaton.iter(text)}
+        after = list(range(1, n + 1))  # where the part that starts here ends, 0 if none starts here
+        before = list(range(-1, n))  # where the part that ends here starts
+        heap = [(listed[i * wide + i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if i * wide + i + 2 in listed]
+        heapq.heapify(heap)
+        while heap:
+            _, start, middle, end = heapq.heappop(heap)
+            if after[start] != middle or after[middle] != end:
+                continue
+            after[start], after[middle], before[end] = end, 0, start
+            if start and (spot := before[start] * wide + end) in listed:
+                heapq.heappush(heap, (listed[spot][0], before[start], start, end))
+            if end < n and (spot := start * wide + after[end]) in listed:
+                heapq.heappush(heap, (listed[spot][0], start, end, after[end]))
+        out: list[int] = []
+        at = 0
+        while at < n:
+            piece = listed.get(at * wide + after[at])
+            out += [piece[1]] if piece else self.spelled(text[at])
+            at = after[at]
+        return out
+
+
+def declared(model: bytes) -> int:
+    """The model type in the file's trainer settings."""
+    return next((dict(_fields(value)).get(3, UNIGRAM) for number, value in _fields(model) if number == 2), UNIGRAM)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -171,7 +224,8 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
 def decode_texts(docs: DataFrame, model_path: str, ids_col: str = "piece_ids") -> DataFrame:
     """Adds decoded (string), the text of an array of ids; a null array is the empty text, ids must be in the vocabulary."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    run = lambda batch: {"decoded": [Pieces.of(model.value).decode([i for i in x or () if i is not None]) for x in batch.column(ids_col).to_pylist()]}
+    ids = lambda x: x.values.drop_null().to_numpy().tolist() if x.is_valid else []
+    run = lambda batch: {"decoded": [Pieces.of(model.value).decode(ids(x)) for x in batch.column(ids_col)]}
     return map_columns(docs, run, decoded=T.StringType())
 
 

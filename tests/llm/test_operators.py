@@ -117,6 +117,20 @@ def test_pieces_edges(spark, odd_docs, vocabulary):
     assert pieces.pieces_report(odd_docs.limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ours, library = pieces.Pieces.of(pieces.read_model(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t or "" for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 300").fetchall()]
+    rng = random.Random(11)
+    texts += ["", " ", "   ", "a  b\n\n c\t", "aaaa" * 500, "日😀 ß", LONG[:5000], "esored", "▁ x▁▁y"]
+    texts += ["".join(rng.choice("aeinrst \né▁日") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    for text in texts:
+        assert ours.encode(text).tolist() == library.encode(text)
+
+
 # WARC
 
 def test_warc_matches_sql_and_index(spark):
