@@ -78,3 +78,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def lowest(*cols: str):
     return F.least(*(F.col(c) for c in cols))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table made by ``stored`` once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

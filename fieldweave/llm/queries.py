@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import lines, mincut, packing, pieces, pivots, probminhash, suffixes, toxicity, warc, winnowing
+from fieldweave.llm import alignment, chat, lines, mincut, packing, pieces, pivots, probminhash, resampling, suffixes, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,7 @@ _register("op7_substring_dedup", "documents", suffixes.substring_report)
 _register("op8_packing", "documents", packing.packing_report)
 _register("op9_main_text", "pages", mincut.extraction_report)
 _register("op10_line_dedup", "documents", lines.line_report, lines.SQL)
+QUERIES["op11_importance_resampling"] = lambda spark, folder: resampling.resampling_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+SQL["op11_importance_resampling"] = resampling.SQL
+_register("op12_chat_format", "conversations", chat.chat_report, chat.SQL)
+_register("op13_token_alignment", "documents", alignment.alignment_report)
