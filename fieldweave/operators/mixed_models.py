@@ -1,34 +1,25 @@
-"""Genotype means (BLUEs), variance components and heritability by REML.
+"""Genotype means (BLUEs), variance components and heritability by REML, for all environments at once.
 
-Genotypes are the unbounded factor and are absorbed, never listed: a genotype enters through its plot
-count d and the sum v of its design and trait columns. With v and the plain cross products R,
-
-* genotype fixed:   S = R - sum_g v v' / d
-* genotype random:  S = R - sum_g v v' * t / (1 + t d),  t = genotype / residual variance ratio
-
-where the sums by distinct d come from one pass. Everything REML needs is in S, whose size is the
-number of covariates, spatial levels and traits. The per-trait optimisation is spread over tasks.
+Genotypes, and genotype x environment cells across environments, are unbounded factors and are absorbed,
+never listed; see :mod:`reml` for the sums that take their place. Environments are keys of those sums, so
+one plan fits every environment and trait, each in a task of its own.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .aggregates import harmonic_mean, plot_means
-from .crossproducts import array_matrix, gram_matrices, vector_sums
+from .crossproducts import array_matrix
 from .onerow import attach_row
+from .reml import design, fit_models, keyed_sums
 from .transforms import nested_zscores, winsorize_columns, zscore
 
 LEVEL_LIMIT = 4_000
-TINY = 1e-12
+COEFFICIENT_BYTES = 256 << 20
 
 
 # ---------------------------------------------------------------- design table
@@ -38,9 +29,10 @@ def model_plots(
 ) -> tuple[DataFrame, list[str]]:
     """Plot means ready for a model, and the names of the area covariates.
 
-    Within one environment the area is z-scored; across environments only genotypes seen in at
-    least two are kept, labels of genotype x environment are added and the area is z-scored inside
-    each environment, one column per environment.
+    For models within environments, winsorizing and the z-score of the area go by environment. Across
+    environments only genotypes seen in at least two are kept, winsorizing goes over all plots, labels of
+    genotype x environment are added and the area is z-scored inside each environment, one column per
+    environment.
     """
     df = crops
     if across:
@@ -49,393 +41,153 @@ def model_plots(
     usable = df.dropna(subset=[*keys, *traits])
     values = [*traits, *([area] if area else [])]
     means = usable.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values]) if area else plot_means(df, keys, traits)
-    means = winsorize_columns(cut_lineage(means), traits, winsor)
+    within = [] if across or env not in keys else [env]
+    means = winsorize_columns(cut_lineage(means), traits, winsor, within)
     if across:
         means = means.withColumn("genotype_x_environment", F.concat_ws(":", genotype, env))
     if area is None:
         return means, []
     if across:
-        levels = [r[0] for r in means.select(env).distinct().orderBy(env).limit(LEVEL_LIMIT).collect()]
+        levels = [r[0] for r in means.select(env).distinct().orderBy(env).limit(LEVEL_LIMIT + 1).collect()]
+        if len(levels) > LEVEL_LIMIT:
+            raise ValueError(f"more than {LEVEL_LIMIT} environments")
         return nested_zscores(means, env, area, levels, "area"), [f"area_{lv}" for lv in levels]
-    return zscore(means, [], area, "area_scaled"), ["area_scaled"]
-
-
-@dataclass
-class Layout:
-    """Column positions in the stacked vector [covariates, factor levels, traits]."""
-
-    covariates: list[str]
-    factors: list[tuple[str, int]]  # name, number of levels (only factors that vary)
-    traits: list[str]
-
-    @property
-    def n_cov(self) -> int:
-        return len(self.covariates)
-
-    @property
-    def n_levels(self) -> int:
-        return sum(n for _, n in self.factors)
-
-    def slices(self) -> list[slice]:
-        out, at = [], self.n_cov
-        for _, n in self.factors:
-            out.append(slice(at, at + n))
-            at += n
-        return out
-
-
-def stacked(plots: DataFrame, traits: list[str], covariates: list[str], factors: list[str], keep: list[str], intercept: bool) -> tuple[DataFrame, Layout]:
-    """Complete plots with the stacked vector ``v``; factors with a single level are left out."""
-    rows = plots.dropna(subset=[*keep, *traits, *covariates, *factors])
-    found = (
-        rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("l")) for f in factors])).alias("x"))
-        .select("x.f", "x.l").distinct().limit(LEVEL_LIMIT + 1).collect() if factors else []
-    )
-    if len(found) > LEVEL_LIMIT:
-        raise ValueError(f"more than {LEVEL_LIMIT} factor levels")
-    levels = {f: sorted(r["l"] for r in found if r["f"] == f) for f in factors}
-    used = [f for f in factors if len(levels[f]) > 1]
-    parts = [F.array(*([F.lit(1.0)] if intercept else []), *[F.col(c).cast("double") for c in covariates])] if intercept or covariates else []
-    for f in used:
-        parts.append(_indicators(f, levels[f]))
-    parts.append(F.array(*[F.col(t).cast("double") for t in traits]))
-    cov = [*(["(Intercept)"] if intercept else []), *covariates]
-    return rows.select(*keep, F.concat(*parts).alias("v")), Layout(cov, [(f, len(levels[f])) for f in used], traits)
-
-
-def _indicators(factor: str, levels: list[str]):
-    here = F.col(factor).cast("string")
-    return F.transform(F.array(*[F.lit(v) for v in levels]), lambda name: (name == here).cast("double"))
-
-
-# ---------------------------------------------------------------- REML
-def simplex_minimum(fn: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.5, tol: float = 1e-8, limit: int = 600) -> tuple[np.ndarray, float, bool]:
-    """Nelder-Mead in a few dimensions."""
-    k = len(start)
-    pts = [start.astype(float)] + [start + step * np.eye(k)[i] for i in range(k)]
-    val = [fn(p) for p in pts]
-    used = k + 1
-    while used < limit:
-        order = np.argsort(val)
-        pts, val = [pts[i] for i in order], [val[i] for i in order]
-        if abs(val[-1] - val[0]) <= tol * (abs(val[0]) + tol) and max(np.abs(p - pts[0]).max() for p in pts) < 1e-5:
-            return pts[0], val[0], True
-        mid = np.mean(pts[:-1], axis=0)
-        ref = mid + (mid - pts[-1])
-        f = fn(ref)
-        used += 1
-        if f < val[0]:
-            far = mid + 2 * (mid - pts[-1])
-            g = fn(far)
-            used += 1
-            pts[-1], val[-1] = (far, g) if g < f else (ref, f)
-        elif f < val[-2]:
-            pts[-1], val[-1] = ref, f
-        else:
-            near = mid + 0.5 * ((ref if f < val[-1] else pts[-1]) - mid)
-            g = fn(near)
-            used += 1
-            if g < min(f, val[-1]):
-                pts[-1], val[-1] = near, g
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                val = [val[0]] + [fn(p) for p in pts[1:]]
-                used += k
-    best = int(np.argmin(val))
-    return pts[best], val[best], False
-
-
-def sweep_fixed(s: np.ndarray, n_cov: int) -> tuple[np.ndarray, float, int]:
-    """Project out the first n_cov columns: (remaining matrix, log determinant, rank)."""
-    if n_cov == 0:
-        return s, 0.0, 0
-    xx = s[:n_cov, :n_cov]
-    val, vec = np.linalg.eigh(xx)
-    ok = val > TINY * max(val.max(), TINY)
-    inv = (vec[:, ok] / val[ok]) @ vec[:, ok].T
-    rest = s[n_cov:, n_cov:] - s[n_cov:, :n_cov] @ inv @ s[:n_cov, n_cov:]
-    return rest, float(np.log(val[ok]).sum()), int(ok.sum())
-
-
-def deviance(ratio: np.ndarray, sizes: list[int], s2: np.ndarray, nu: int) -> tuple[float, float, np.ndarray]:
-    """(REML deviance without constants, residual variance, random effects) for given variance ratios.
-
-    ``s2`` is the cross-product matrix of [random levels, y] with fixed effects projected out.
-    """
-    q = sum(sizes)
-    a, b, c = s2[:q, :q], s2[:q, -1], s2[-1, -1]
-    half = np.sqrt(np.repeat(ratio, sizes)) if q else np.empty(0)
-    h = np.eye(q) + half[:, None] * a * half[None, :]
-    chol = np.linalg.cholesky(h) if q else np.empty((0, 0))
-    lb = half * b
-    w = np.linalg.solve(h, lb) if q else lb
-    rss = max(c - lb @ w, TINY * max(c, TINY))
-    logdet = 2 * np.log(np.diag(chol)).sum() if q else 0.0
-    return nu * math.log(rss) + logdet, rss / nu, half * w
-
-
-def reml(s2: np.ndarray, sizes: list[int], nu: int):
-    """(ratios, residual variance, random effects, deviance, converged) of the bounded random factors."""
-    if not sizes:
-        d, sig, u = deviance(np.empty(0), [], s2, nu)
-        return np.empty(0), sig, u, d, True
-    x, d, ok = simplex_minimum(lambda z: deviance(z * z, sizes, s2, nu)[0], np.full(len(sizes), 0.7))
-    ratio = x * x
-    zero = np.where(ratio < 1e-7, 0.0, ratio)
-    _, sig, u = deviance(zero, sizes, s2, nu)
-    return zero, sig, u, d, ok
+    return zscore(means, within, area, "area_scaled"), ["area_scaled"]
 
 
 # ---------------------------------------------------------------- BLUEs
 def fit_blues(
-    plots: DataFrame, traits: list[str], genotype: str = "genotype", covariates: list[str] | None = None, factors: list[str] | None = None,
+    plots: DataFrame, traits: list[str], genotype: str = "genotype", covariates: list[str] | None = None, factors: list[str] | None = None, env: str | None = None,
 ) -> DataFrame:
-    """(genotype, trait, blue): genotype fixed, the factors random, covariates at their plot mean.
+    """(env, genotype, trait, blue): genotype fixed, the factors random, covariates at their plot mean.
 
-    Without a varying factor this is ordinary least squares. One pass gives R, one the genotype
-    sums; the BLUEs are a map over genotypes with the small coefficient table broadcast.
+    With ``env`` every environment is a model of its own, else all plots are one and there is no such
+    column. Without a varying factor this is ordinary least squares. A trait that cannot be fitted in an
+    environment (fewer than two genotypes, no variation) has null BLUEs there. The BLUEs are a map over
+    genotype sums; what it broadcasts is the coefficient table, whose size is checked.
     """
-    rows, lay = stacked(plots, traits, covariates or [], factors or [], [genotype], intercept=False)
-    rows = cut_lineage(rows)
-    sums = cut_lineage(vector_sums(rows, [genotype], "v", "s"))
-    scaled = sums.select(F.transform("s", lambda x: x / F.sqrt("n_rows")).alias("v"))
-    r = gram_matrices(rows, "v")[""]
-    s = r - gram_matrices(scaled, "v")[""]
-    tot = sums.agg(F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("g")).first()
-    n, g = int(tot["n"]), int(tot["g"])
-    if g < 2:
-        raise ValueError("not enough genotypes")
-    nc, nz, sizes = lay.n_cov, lay.n_levels, [m for _, m in lay.factors]
-    cov_mean = _column_means(rows, nc)
-    spark = plots.sparkSession
-    shared = spark.sparkContext.broadcast(s)
-
-    def solve(batches):
-        full = shared.value
-        for pdf in batches:
-            out = []
-            for t in pdf["t"]:
-                at = np.r_[0 : nc + nz, nc + nz + t]
-                st = full[np.ix_(at, at)]
-                s2, _, rank = sweep_fixed(st, nc)
-                _, _, u, _, _ = reml(s2, sizes, n - g - rank)
-                a = np.linalg.pinv(st[:nc, :nc]) @ (st[:nc, -1] - st[:nc, nc:-1] @ u) if nc else np.empty(0)
-                out.append((int(t), np.r_[a, u].tolist()))
-            yield pd.DataFrame(out, columns=["t", "coef"])
-
-    todo = spark.range(len(traits)).select(F.col("id").cast("int").alias("t")).repartition(min(len(traits), 64))
-    coef = {r_["t"]: r_["coef"] for r_ in todo.mapInPandas(solve, "t int, coef array<double>").collect()}
-    table = np.array([coef[t] for t in range(len(traits))]).reshape(len(traits), nc + nz)
-    marginal = table[:, :nc] @ cov_mean if nc else np.zeros(len(traits))
+    covariates, factors = covariates or [], factors or []
+    d = design(plots, traits, covariates, factors, [genotype], intercept=False, key=env)
+    sums, cells = keyed_sums(d, [genotype], [genotype], between=False)
+    fits = fit_models(d, sums, (), ())
+    nc, k = len(covariates), len(traits)
+    mean = cells.groupBy("__key").agg(
+        F.array(*[F.sum(F.get("s", F.lit(i))) / F.sum("n_rows") for i in range(nc)]).cast("array<double>").alias("mean"), F.count(F.lit(1)).alias("g"))
+    size = d.layout.agg(F.sum(F.col("n_base") * k * 8)).first()[0] or 0
+    if size > COEFFICIENT_BYTES:
+        raise ValueError(f"{size} bytes of coefficients; fit fewer traits at a time")
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for r in fits.join(mean, "__key").select("__key", "trait", "coef", "error", "mean", "g").toLocalIterator():
+        table, marginal = known.setdefault(r["__key"], ({}, {}))
+        fitted = r["error"] is None and r["g"] > 1
+        table[r["trait"]] = r["coef"] if fitted else None
+        marginal[r["trait"]] = float(np.dot(r["coef"][:nc], r["mean"])) if fitted else None
+    packed = {}
+    for name, (table, marginal) in known.items():
+        width = max((len(c) for c in table.values() if c is not None), default=0)
+        packed[name] = (
+            np.array([table[t] if table[t] is not None else [np.nan] * width for t in traits]).reshape(k, width),
+            np.array([np.nan if marginal[t] is None else marginal[t] for t in traits]),
+        )
+    shared = plots.sparkSession.sparkContext.broadcast(packed)
 
     def means(batches):
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            v = array_matrix(b.column(1))
-            d = b.column(2).to_numpy().astype(float)
-            blue = (v[:, nc + nz :] - v[:, : nc + nz] @ table.T) / d[:, None] + marginal
-            k = len(traits)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), k))), pa.array(traits * b.num_rows), pa.array(blue.reshape(-1))],
-                names=["genotype", "trait", "blue"],
-            )
-
-    return sums.select(F.col(genotype).cast("string").alias("genotype"), "s", "n_rows").mapInArrow(means, "genotype string, trait string, blue double")
-
+            names = np.array(b.column(0).to_pylist(), dtype=object)
+            for name in set(names.tolist()):
+                part = b.take(pa.array(np.flatnonzero(names == name)))
+                table, marginal = shared.value[name]
+                v, n = array_matrix(part.column(2)), part.column(3).to_numpy().astype(float)
+                width = v.shape[1] - k
+                coef = table if table.shape[1] == width else np.full((k, width), np.nan)
+                blue = ((v[:, width:] - v[:, :width] @ coef.T) / n[:, None] + marginal).reshape(-1)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), k))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(traits * part.num_rows), pa.array(blue, mask=np.isnan(blue))],
+                    names=["environment", "genotype", "trait", "blue"],
+                )
 
-def _column_means(rows: DataFrame, k: int) -> np.ndarray:
-    if k == 0:
-        return np.empty(0)
-    r = rows.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(k)]).first()
-    return np.array([r[f"m{i}"] for i in range(k)])
+    out = cells.select("__key", F.col(genotype).cast("string").alias("genotype"), "s", "n_rows")
+    out = out.mapInArrow(means, "environment string, genotype string, trait string, blue double")
+    return out.withColumnRenamed("environment", env) if env else out.drop("environment")
 
 
 # ---------------------------------------------------------------- variance components
-VC_SCHEMA = "trait string, source string, vcov double, converged boolean, error string"
+def _components(fits: DataFrame, env: str | None) -> DataFrame:
+    """One row for each term of every fit; a failed fit gives one error row without a term."""
+    out = fits.select(
+        F.col("__key").alias(env or "__key"), "trait", F.explode_outer("sources").alias("x"), "converged", "singular", "error", F.col("n").cast("long").alias("n_plots"), F.col("n_units").cast("long").alias("n_genotypes"),
+    )
+    out = out.select(*([env] if env else []), "trait", "x.source", "x.vcov", "converged", "singular", "error", "n_plots", "n_genotypes")
+    return cut_lineage(out)
 
 
 def variance_components(
-    plots: DataFrame, traits: list[str], genotype: str = "genotype", covariates: list[str] | None = None, factors: list[str] | None = None,
+    plots: DataFrame, traits: list[str], genotype: str = "genotype", covariates: list[str] | None = None, factors: list[str] | None = None, env: str | None = None,
 ) -> DataFrame:
-    """(trait, source, vcov, converged, error) with genotype and the factors random, one environment.
+    """(env, trait, source, vcov, converged, singular, error, n_plots, n_genotypes) with genotype and the factors random.
 
-    The genotype sums are collapsed by plot count d, so any genotype variance ratio can be tried
-    without reading plots again. A trait that fails gives one error row.
+    With ``env`` every environment is a model of its own, else all plots are one and there is no such
+    column. A trait that fails gives one error row. ``singular``: some random term has a standard
+    deviation of less than 1e-4 of the residual's.
     """
-    rows, lay = stacked(plots, traits, covariates or [], factors or [], [genotype], intercept=True)
-    rows = cut_lineage(rows)
-    sums = cut_lineage(vector_sums(rows, [genotype], "v", "s").withColumnRenamed("s", "v"))
-    r = gram_matrices(rows, "v")[""]
-    by_d = gram_matrices(sums.withColumn("d", F.col("n_rows").cast("string")), "v", by="d")
-    n_by_d = {str(x["n_rows"]): int(x["g"]) for x in sums.groupBy("n_rows").agg(F.count(F.lit(1)).alias("g")).collect()}
-    counts = np.array([float(d) for d in by_d])
-    reps = np.array([n_by_d[d] for d in by_d], dtype=float)
-    blocks = np.stack(list(by_d.values()))
-    n, g = int(round(r[0, 0])), int(reps.sum())
-    if g < 2:
-        raise ValueError("not enough genotypes")
-    nc, nz, sizes, names = lay.n_cov, lay.n_levels, [m for _, m in lay.factors], [f for f, _ in lay.factors]
-    spark = plots.sparkSession
-    shared = spark.sparkContext.broadcast((r, blocks))
-
-    def fit(at: np.ndarray):
-        full, parts = shared.value
-        r_t = full[np.ix_(at, at)]
-        b_t = parts[np.ix_(np.arange(len(parts)), at, at)]
-
-        def parts_for(x):
-            tg = x[0] * x[0]
-            s = r_t - np.tensordot(tg / (1.0 + tg * counts), b_t, 1)
-            s2, logdet, rank = sweep_fixed(s, nc)
-            return s2, logdet + float((reps * np.log1p(tg * counts)).sum()), rank
-
-        def value(x):
-            s2, extra, rank = parts_for(x)
-            return deviance(x[1:] ** 2, sizes, s2, n - rank)[0] + extra
-
-        x, _, ok = simplex_minimum(value, np.full(1 + len(sizes), 0.7), limit=1500)
-        ratio = np.where(x * x < 1e-7, 0.0, x * x)
-        s2, _, rank = parts_for(np.sqrt(ratio))
-        _, sig, _ = deviance(ratio[1:], sizes, s2, n - rank)
-        return ratio, sig, ok
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf["t"]:
-                try:
-                    ratio, sig, ok = fit(np.r_[0 : nc + nz, nc + nz + t])
-                    for src, x in zip(["genotype", *names], ratio):
-                        out.append((traits[t], src, float(x * sig), bool(ok), None))
-                    out.append((traits[t], "Residual", float(sig), bool(ok), None))
-                except np.linalg.LinAlgError as exc:
-                    out.append((traits[t], None, None, False, str(exc)))
-            yield pd.DataFrame(out, columns=["trait", "source", "vcov", "converged", "error"])
-
-    todo = spark.range(len(traits)).select(F.col("id").cast("int").alias("t")).repartition(min(len(traits), 64))
-    return todo.mapInPandas(solve, VC_SCHEMA)
+    d = design(plots, traits, covariates or [], factors or [], [genotype], intercept=True, key=env)
+    sums, _ = keyed_sums(d, [genotype], [genotype], between=True)
+    return _components(fit_models(d, sums, ("unit",), ("genotype",)), env)
 
 
 def variance_components_across(
-    plots: DataFrame, traits: list[str], genotype: str = "genotype", env: str = "environment", covariates: list[str] | None = None,
-    factors: list[str] | None = None, rounds: int = 7, grid: int = 5,
+    plots: DataFrame, traits: list[str], genotype: str = "genotype", env: str = "environment", covariates: list[str] | None = None, factors: list[str] | None = None,
 ) -> DataFrame:
-    """The same over several environments, with genotype and genotype x environment random.
-
-    Both unbounded factors are absorbed per genotype; their two ratios are found by a shrinking grid.
-    Each round reads the genotype table once and scores grid x grid ratio pairs per trait; the
-    bounded factors, environment among them, are optimised on the summed small matrices.
-    """
-    rows, lay = stacked(plots, traits, covariates or [], [env, *(factors or [])], [genotype, env], intercept=True)
-    rows = cut_lineage(rows)
-    r = gram_matrices(rows, "v")[""]
-    cells = vector_sums(rows, [genotype, env], "v", "s")
-    lines = cut_lineage(cells.groupBy(genotype).agg(F.collect_list(F.struct("n_rows", "s")).alias("c")).select(
-        F.col("c.n_rows").alias("d"), F.flatten("c.s").alias("s")))  # one entry per environment: bounded
-    nc, nz, sizes, names = lay.n_cov, lay.n_levels, [m for _, m in lay.factors], [f for f, _ in lay.factors]
-    k, n, spark = nc + nz, int(round(r[0, 0])), plots.sparkSession
-    width = k + len(traits)
-    span = {t: (np.zeros(2), np.full(2, 2.0)) for t in range(len(traits))}
-    best: dict[int, tuple] = {}
-    for _ in range(rounds):
-        points = {t: [(a, b) for a in np.linspace(lo[0], hi[0], grid) for b in np.linspace(lo[1], hi[1], grid)] for t, (lo, hi) in span.items()}
-
-        def absorb(batches, points=points):
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for b in batches:
-                for d_list, flat in zip(b.column(0).to_pylist(), b.column(1)):
-                    d = np.asarray(d_list, dtype=float)
-                    v = np.asarray(flat.values).reshape(len(d), width)
-                    for t, pts in points.items():
-                        w = np.column_stack([v[:, :k], v[:, k + t]])
-                        for i, (sg, se) in enumerate(pts):
-                            tg, te = sg * sg, se * se
-                            shrink = 1.0 / (1.0 + te * d)
-                            star, dstar = shrink @ w, float((d * shrink).sum())
-                            m = (w * (te * shrink)[:, None]).T @ w + np.outer(star, star) * (tg / (1.0 + tg * dstar))
-                            extra = np.log1p(te * d).sum() + math.log1p(tg * dstar)
-                            block = np.vstack([m, np.r_[extra, np.zeros(k)]])
-                            total[t, i] = total[t, i] + block if (t, i) in total else block
-            for (t, i), m in total.items():
-                for j, row in enumerate(m):
-                    yield t, i, j, row
-
-        def emit(batches):
-            got = list(absorb(batches))
-            if got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{t}/{i}" for t, i, _, _ in got]), pa.array([j for _, _, j, _ in got], pa.int32()), pa.array([x.tolist() for *_, x in got], pa.list_(pa.float64()))],
-                    names=["grp", "i", "row"],
-                )
-
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        from pyspark.ml.stat import Summarizer
-
-        part = lines.mapInArrow(emit, "grp string, i int, row array<double>")
-        summed = part.groupBy("grp", "i").agg(Summarizer.sum(array_to_vector("row")).alias("s")).select("grp", "i", vector_to_array("s").alias("row")).collect()
-        mats: dict[str, dict] = {}
-        for x in summed:
-            mats.setdefault(x["grp"], {})[x["i"]] = x["row"]
-        for t, pts in points.items():
-            at = np.r_[0:k, k + t]
-            scored = []
-            for i, pt in enumerate(pts):
-                m = np.array([mats[f"{t}/{i}"][j] for j in range(k + 2)])
-                s2, logdet, rank = sweep_fixed(r[np.ix_(at, at)] - m[:-1], nc)
-                ratio, sig, _, dev, ok = reml(s2, sizes, n - rank)
-                scored.append((dev + logdet + m[-1, 0], pt, ratio, sig, ok))
-            top = min(scored, key=lambda z: z[0])
-            if t not in best or top[0] < best[t][0]:
-                best[t] = top
-            lo, hi = span[t]
-            reach = (hi - lo) / (grid - 1)
-            centre = np.array(best[t][1])
-            edge = centre + reach
-            span[t] = (np.maximum(centre - reach, 0.0), np.where(np.isclose(centre, hi), centre + 4 * reach, edge))
-    out = []
-    for t, name in enumerate(traits):
-        _, (sg, se), ratio, sig, ok = best[t]
-        for src, x in zip(["genotype", "genotype_x_environment", *names], [sg * sg, se * se, *ratio]):
-            out.append((name, src, float(x * sig), bool(ok), None))
-        out.append((name, "Residual", float(sig), bool(ok), None))
-    return spark.createDataFrame(out, VC_SCHEMA)
+    """The same over all environments, with genotype, genotype x environment and environment random."""
+    with_env = plots.withColumn("__env", F.col(env))
+    d = design(with_env, traits, covariates or [], [env, *(factors or [])], [genotype, "__env"], intercept=True)
+    sums, _ = keyed_sums(d, [genotype], [genotype, "__env"], between=True)
+    return _components(fit_models(d, sums, ("unit", "cell"), ("genotype", "genotype_x_environment")), None)
 
 
 # ---------------------------------------------------------------- heritability
-def variance_shares(vc: DataFrame) -> DataFrame:
-    """Proportion of each source, with boundary and reliability flags per trait."""
-    tot = vc.where("source IS NOT NULL").groupBy("trait").agg(F.sum("vcov").alias("total"))
-    j = vc.join(tot, "trait")
+def variance_shares(vc: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Proportion of each source, with boundary, convergence and singularity flags; keyed by ``keys`` and trait."""
+    by = [*keys, "trait"]
+    tot = vc.where("source IS NOT NULL").groupBy(*by).agg(F.sum("vcov").alias("total"))
     edge = (F.col("vcov") <= F.greatest(F.col("total"), F.lit(1.0)) * 1e-6) & (F.col("source") != "Residual")
-    return j.select("trait", "source", "vcov", F.try_divide("vcov", "total").alias("proportion_variance"), edge.alias("boundary"), "converged")
+    flags = [c for c in ("converged", "singular") if c in vc.columns]
+    return vc.join(tot, by).select(*by, "source", "vcov", F.try_divide("vcov", "total").alias("proportion_variance"), edge.alias("boundary"), *flags)
 
 
-def line_mean_h2(vc: DataFrame, plots: DataFrame, genotype: str = "genotype", env: str | None = None) -> DataFrame:
-    """Line-mean heritability per trait from variance components and harmonic replication."""
-    v = vc.groupBy("trait").agg(
-        F.max(F.when(F.col("source") == "genotype", F.col("vcov"))).alias("vg"),
-        F.max(F.when(F.col("source") == "genotype_x_environment", F.col("vcov"))).alias("vge"),
-        F.max(F.when(F.col("source") == "Residual", F.col("vcov"))).alias("ve"), F.min("converged").alias("converged"),
-        F.max(F.when(F.col("error").isNotNull(), F.col("error"))).alias("error"),
+def line_mean_h2(vc: DataFrame, plots: DataFrame, genotype: str = "genotype", env: str | None = None, by: str | None = None) -> DataFrame:
+    """Line-mean heritability per trait from variance components and harmonic replication.
+
+    ``env`` names the environments of a model across them; ``by`` those of models inside each, and then
+    every row belongs to one of them.
+    """
+    keys = [by] if by else []
+    of = lambda source: F.max(F.when(F.col("source") == source, F.col("vcov")))
+    singular = F.coalesce(F.max("singular"), F.lit(False)) if "singular" in vc.columns else F.lit(False)
+    v = vc.groupBy(*keys, "trait").agg(
+        of("genotype").alias("vg"), of("genotype_x_environment").alias("vge"), of("Residual").alias("ve"), F.min("converged").alias("converged"),
+        singular.alias("singular"), F.max("error").alias("error"),
     )
     if env is None:
-        reps = plots.groupBy(genotype).agg(F.count(F.lit(1)).alias("n")).agg(harmonic_mean("n").alias("hr"))
-        reps = reps.select("hr", F.lit(1.0).alias("he"))
+        reps = plots.groupBy(*keys, genotype).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
+        reps = reps.agg(harmonic_mean("n").alias("hr"), F.sum("n").alias("n_plots"), F.count(F.lit(1)).alias("n_genotypes")).withColumn("he", F.lit(1.0))
     else:
-        he = plots.groupBy(genotype).agg(F.count_distinct(env).alias("n")).agg(harmonic_mean("n").alias("he"))
+        he = plots.groupBy(genotype).agg(F.count_distinct(env).alias("n"), F.count(F.lit(1)).alias("m"))
+        he = he.agg(harmonic_mean("n").alias("he"), F.sum("m").alias("n_plots"), F.count(F.lit(1)).alias("n_genotypes"))
         hr = plots.groupBy(genotype, env).agg(F.count(F.lit(1)).alias("n")).agg(harmonic_mean("n").alias("hr"))
         reps = attach_row(he, hr)
-    j = attach_row(v, reps)
+    j = v.join(reps, keys, "left") if keys else attach_row(v, reps)
     phen = F.col("vg") + F.coalesce("vge", F.lit(0.0)) / F.col("he") + F.col("ve") / (F.col("he") * F.col("hr"))
     total = F.col("vg") + F.coalesce("vge", F.lit(0.0)) + F.col("ve")
+    edge = F.col("vg") <= 1e-6 * F.greatest(total, F.lit(1.0))
     return j.select(
-        "trait", "vg", "vge", "ve", "he", "hr", phen.alias("phenotypic_variance"), F.when(phen > 0, F.col("vg") / phen).alias("h2"),
-        (F.col("converged") & (F.col("vg") > 1e-6 * F.greatest(total, F.lit(1.0)))).alias("reliable"), "error",
+        *keys, "trait", "vg", "vge", "ve", "he", "hr", "n_plots", "n_genotypes", phen.alias("phenotypic_variance"), F.when(phen > 0, F.col("vg") / phen).alias("h2"),
+        edge.alias("genotype_boundary"), "converged", "singular", (F.col("converged") & ~edge & ~F.col("singular")).alias("reliable"), "error",
     )
 
 
-def covariate_blues(plots: DataFrame, area: str, factors: list[str], other: DataFrame, genotype: str = "genotype") -> DataFrame:
+def covariate_blues(plots: DataFrame, area: str, factors: list[str], other: DataFrame, genotype: str = "genotype", env: str | None = None) -> DataFrame:
     """BLUE of the raw area (no area covariate), with a second covariate joined by genotype."""
-    b = fit_blues(plots, [area], genotype, [], factors)
-    return b.select("genotype", F.col("blue").alias(f"{area}_blue")).join(other, "genotype", "left")
+    b = fit_blues(plots, [area], genotype, [], factors, env)
+    return b.select(*([env] if env else []), "genotype", F.col("blue").alias(f"{area}_blue")).join(other, "genotype", "left")

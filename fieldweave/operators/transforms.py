@@ -28,19 +28,21 @@ def winsorize(df: DataFrame, keys: list[str], value: str, strength: float) -> Da
     return df.join(edges, keys, "left").withColumn(value, F.when(F.col(value).isNotNull(), clipped)).drop("__lo", "__hi")
 
 
-def winsorize_columns(df: DataFrame, columns: list[str], strength: float) -> DataFrame:
-    """Winsorize several columns of one table at their own quantiles."""
+def winsorize_columns(df: DataFrame, columns: list[str], strength: float, keys: list[str] | None = None) -> DataFrame:
+    """Winsorize several columns of one table at their own quantiles, inside groups of ``keys`` where given."""
     if strength <= 0:
         return df
-    long = df.unpivot([], columns, "__trait", "__value")
-    edges = exact_quantiles(long, ["__trait"], "__value", {"lo": strength, "hi": 1 - strength})
-    wide = edges.groupBy().agg(
+    keys = keys or []
+    long = df.unpivot(keys, columns, "__trait", "__value")
+    edges = exact_quantiles(long, [*keys, "__trait"], "__value", {"lo": strength, "hi": 1 - strength})
+    wide = edges.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__trait") == c, F.col(e))).alias(f"__{c}_{e}") for c in columns for e in ("lo", "hi")]
     )
     clip = {
         c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__{c}_lo")), F.col(f"__{c}_hi"))) for c in columns
     }
-    return attach_row(df, wide).withColumns(clip).select(*df.columns)
+    joined = df.join(wide, keys, "left") if keys else attach_row(df, wide)
+    return joined.withColumns(clip).select(*df.columns)
 
 
 def zscore(df: DataFrame, keys: list[str], value: str, out: str, sample: bool = False) -> DataFrame:

@@ -38,6 +38,29 @@ def dense_reml(y, x, zs, ratios):
     return nu * np.log(e @ vi @ e) + np.linalg.slogdet(v)[1] + np.log(val[val > 1e-9]).sum(), e @ vi @ e / nu, b
 
 
+def simplex_minimum(fn, start, step=0.5, limit=4000):
+    """Nelder-Mead, to have an optimum that the library did not find."""
+    k = len(start)
+    pts = [start.astype(float)] + [start + step * np.eye(k)[i] for i in range(k)]
+    val = [fn(p) for p in pts]
+    for _ in range(limit):
+        order = np.argsort(val)
+        pts, val = [pts[i] for i in order], [val[i] for i in order]
+        if max(np.abs(p - pts[0]).max() for p in pts) < 1e-7:
+            break
+        mid = np.mean(pts[:-1], axis=0)
+        tries = [mid + c * (mid - pts[-1]) for c in (1.0, 2.0, 0.5, -0.5)]
+        got = [fn(p) for p in tries]
+        best = int(np.argmin(got))
+        if got[best] < val[-1]:
+            pts[-1], val[-1] = tries[best], got[best]
+        else:
+            pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
+            val = [val[0]] + [fn(p) for p in pts[1:]]
+    at = int(np.argmin(val))
+    return pts[at], val[at]
+
+
 def onehot(s):
     return pd.get_dummies(s).to_numpy(float)
 
@@ -65,7 +88,7 @@ def test_blues_match_dense_mixed_model(field):
     names = sorted(pdf["genotype"].unique())
     x = np.column_stack([onehot(pdf["genotype"]), pdf["x"]])
     zs = [onehot(pdf["row"]), onehot(pdf["col"])]
-    best = B.simplex_minimum(lambda z: dense_reml(pdf["y"].to_numpy(), x, zs, z * z)[0], np.array([0.7, 0.7]))[0]
+    best = simplex_minimum(lambda z: dense_reml(pdf["y"].to_numpy(), x, zs, z * z)[0], np.array([0.7, 0.7]))[0]
     _, _, b = dense_reml(pdf["y"].to_numpy(), x, zs, best**2)
     want = b[:-1] + b[-1] * pdf["x"].mean()
     assert np.allclose(got.loc[names].to_numpy(), want, atol=1e-3)
@@ -78,7 +101,7 @@ def test_balanced_anova_closed_form(spark):
     got = {r["source"]: r["vcov"] for r in B.variance_components(df, ["y"]).collect()}
     mse = ((y - y.mean(1, keepdims=True)) ** 2).sum() / 90
     msg = 4 * ((y.mean(1) - y.mean()) ** 2).sum() / 29
-    assert got["Residual"] == pytest.approx(mse, rel=1e-3) and got["genotype"] == pytest.approx((msg - mse) / 4, rel=1e-3)
+    assert got["Residual"] == pytest.approx(mse, rel=1e-6) and got["genotype"] == pytest.approx((msg - mse) / 4, rel=1e-5)
     h = B.line_mean_h2(B.variance_components(df, ["y"]), df).first()
     assert h["h2"] == pytest.approx(1 - mse / msg, rel=1e-3) and h["hr"] == 4.0
 
@@ -92,13 +115,63 @@ def test_variance_components_across_environments(spark):
             b = rng.normal(0, 1.0)
             rows += [(f"g{g}", f"e{e}", float(a + b + e + rng.normal())) for _ in range(rng.randint(1, 4))]
     pdf = pd.DataFrame(rows, columns=["genotype", "environment", "y"])
-    vc = B.variance_components_across(spark.createDataFrame(pdf), ["y"], rounds=7, grid=5).toPandas().set_index("source")["vcov"]
+    vc = B.variance_components_across(spark.createDataFrame(pdf), ["y"]).toPandas()
+    assert vc["converged"].all()
+    vc = vc.set_index("source")["vcov"]
     x = np.ones((len(pdf), 1))
     zs = [onehot(pdf["genotype"]), onehot(pdf["genotype"] + pdf["environment"]), onehot(pdf["environment"])]
     ratios = vc.loc[["genotype", "genotype_x_environment", "environment"]].to_numpy() / vc["Residual"]
     dev, _, _ = dense_reml(pdf["y"].to_numpy(), x, zs, ratios)
-    best = B.simplex_minimum(lambda z: dense_reml(pdf["y"].to_numpy(), x, zs, z * z)[0], np.sqrt(ratios) + 0.05)[1]
-    assert dev == pytest.approx(best, abs=0.02)
+    best = simplex_minimum(lambda z: dense_reml(pdf["y"].to_numpy(), x, zs, z * z)[0], np.sqrt(ratios) + 0.05)[1]
+    assert dev == pytest.approx(best, abs=1e-5)
+
+
+def test_every_environment_is_a_model_of_its_own(spark):
+    """Levels, covariates and flags of one environment do not touch another; a failed trait gives one error row."""
+    rng = np.random.RandomState(6)
+    rows = []
+    for e, (n, rows_in) in enumerate([(200, 7), (150, 1), (90, 4)]):
+        g, r, x = rng.randint(0, 25, n), rng.randint(0, rows_in, n), rng.normal(size=n)
+        y = rng.normal(0, 1.3, 25)[g] + rng.normal(0, 0.9, rows_in)[r] + 0.5 * x + rng.normal(size=n)
+        rows += [(f"e{e}", f"g{i}", f"e{e}_{j}", float(v), float(w), 1.0 if e == 1 else float(w), float(rng.normal())) for i, j, v, w in zip(g, r, x, y)]
+    pdf = pd.DataFrame(rows, columns=["environment", "genotype", "row", "x", "y", "flat", "noise"])
+    df = spark.createDataFrame(pdf).repartition(4)
+    traits = ["y", "flat", "noise"]
+    vc = B.variance_components(df, traits, covariates=["x"], factors=["row"], env="environment").toPandas()
+    blues = B.fit_blues(df, traits, covariates=["x"], factors=["row"], env="environment").toPandas()
+    assert set(vc[vc["error"].notna()][["environment", "trait"]].itertuples(index=False, name=None)) == {("e1", "flat")}
+    assert blues[blues["blue"].isna()].groupby(["environment", "trait"]).size().index.tolist() == [("e1", "flat")]
+    for e, part in df.toPandas().groupby("environment"):
+        alone = spark.createDataFrame(part)
+        own = B.variance_components(alone, ["y", "noise"], covariates=["x"], factors=["row"]).toPandas().set_index(["trait", "source"])["vcov"]
+        got = vc[(vc["environment"] == e) & (vc["trait"] != "flat")].set_index(["trait", "source"])["vcov"]
+        assert got.index.sort_values().tolist() == own.index.sort_values().tolist() and np.allclose(got.loc[own.index], own, rtol=1e-6, atol=1e-9)
+        x = np.column_stack([np.ones(len(part)), part["x"]])
+        zs = [onehot(part["genotype"])] + ([onehot(part["row"])] if part["row"].nunique() > 1 else [])
+        for trait in ("y", "noise"):
+            v = got[trait]
+            ratios = np.array([v["genotype"], *([v["row"]] if "row" in v else [])]) / v["Residual"]
+            dev, sig, _ = dense_reml(part[trait].to_numpy(), x, zs, ratios)
+            best = simplex_minimum(lambda z: dense_reml(part[trait].to_numpy(), x, zs, z * z)[0], np.full(len(zs), 0.6))[1]
+            assert sig == pytest.approx(v["Residual"], rel=1e-6) and dev == pytest.approx(best, abs=1e-5)
+    assert vc[vc["trait"] != "flat"]["converged"].all()
+    noise = vc[(vc["trait"] == "noise") & (vc["source"] == "genotype")]
+    assert all(noise[noise["vcov"] < 1e-9]["singular"])
+
+
+def test_redundant_columns_and_unequal_cells_across(spark):
+    """Covariates that depend on each other, unbalanced genotype x environment cells, against the dense model."""
+    rng = np.random.RandomState(8)
+    rows = [(f"g{g}", f"e{e}", float(x), float(2 * x), float(a + b + 0.3 * x + rng.normal()))
+            for g in range(40) for a in [rng.normal(0, 1.2)] for e in range(1 + g % 3) for b in [rng.normal(0, 0.8)] for x in rng.normal(size=1 + (g * 7 + e) % 4)]
+    pdf = pd.DataFrame(rows, columns=["genotype", "environment", "x", "twice", "y"])
+    vc = B.variance_components_across(spark.createDataFrame(pdf), ["y"], covariates=["x", "twice"]).toPandas().set_index("source")
+    assert vc["converged"].all() and vc["n_plots"].iloc[0] == len(pdf) and vc["n_genotypes"].iloc[0] == 40
+    x = np.column_stack([np.ones(len(pdf)), pdf["x"]])
+    zs = [onehot(pdf["genotype"]), onehot(pdf["genotype"] + pdf["environment"]), onehot(pdf["environment"])]
+    ratios = vc["vcov"].loc[["genotype", "genotype_x_environment", "environment"]].to_numpy() / vc["vcov"]["Residual"]
+    best = simplex_minimum(lambda z: dense_reml(pdf["y"].to_numpy(), x, zs, z * z)[0], np.sqrt(ratios) + 0.05)[1]
+    assert dense_reml(pdf["y"].to_numpy(), x, zs, ratios)[0] == pytest.approx(best, abs=1e-5)
 
 
 # ---------------------------------------------------------------- kinship and scans
