@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fieldweave.llm.common import ship, stored, texts
 
+SLICE = 256  # rows handled at once
 BATCH_BYTES = 1 << 19  # bytes of text aligned at once; a longer text is a batch of its own
 #: Fixed value: the published pattern by which byte-level BPE of 50,257 ids cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -146,6 +147,10 @@ class Tokenizers:
         other.encode_special_tokens = True
         return other.encode(text, add_special_tokens=False).ids
 
+    def pair_kind(self) -> str:
+        """The type that holds a pair of ids as one number, a's id times B's size plus b's."""
+        return "<u4" if len(self.bytes_a) * len(self.bytes_b) < 1 << 32 else "<u8"
+
     def pair_bound(self) -> int:
         """The most pairs of ids that can ever end together: each is a token and a suffix of it."""
         most = [max(Counter(x).values()) for x in (self.bytes_a, self.bytes_b)]
@@ -189,15 +194,15 @@ def align(batch: list[str], both: Tokenizers, overlaps: bool = False) -> Aligned
 
 
 def batches_of(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of stretches of at most BATCH_BYTES characters."""
-    first, held, size = 0, [], 0
-    for row, text in enumerate(texts(batch, text_col)):
-        if held and size + len(text) > BATCH_BYTES:
-            yield first, held
-            first, held, size = row, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
+    """(first row, texts) of stretches of at most SLICE rows and BATCH_BYTES characters (or one row)."""
+    for at in range(0, batch.num_rows, SLICE):
+        first, held, size = at, [], 0
+        for row, text in enumerate(texts(batch.slice(at, SLICE), text_col), at):
+            if held and size + len(text) > BATCH_BYTES:
+                yield first, held
+                first, held, size = row, [], 0
+            held.append(text)
+            size += len(text)
         yield first, held
 
 
@@ -253,7 +258,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
 
 
 def digests(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of each document; a pair is a's id times B's size plus b's."""
+    """(id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of each document; pairs are packed numbers (``pair_kind``)."""
     models = _models(docs.sparkSession, path_a, path_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,24 +278,30 @@ def digests(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                 shown = shown.tolist()
                 digest = ["".join(shown[i:j])[:-1] for i, j in zip(edges, edges[1:])]
                 digest = [hashlib.sha256(d.encode()).hexdigest() if d else "" for d in digest]
-                pairs = x.a[x.link_a] * len(both.bytes_b) + x.b[x.link_b]
+                packed = (x.a[x.link_a] * len(both.bytes_b) + x.b[x.link_b]).astype(kind := both.pair_kind()).tobytes()
+                cuts = (x.edge_links * np.dtype(kind).itemsize).tolist()
+                pairs = [packed[i:j] for i, j in zip(cuts, cuts[1:])]
                 counts = [np.diff(e).astype(np.int64) for e in (x.edge_a, x.edge_b, x.edge_links, x.edge_links)]
-                cols = [*map(pa.array, counts), pa.array(digest, pa.string()), _lists(pairs, x.edge_links, pa.int64())]
+                cols = [*map(pa.array, counts), pa.array(digest, pa.string()), pa.array(pairs, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(first, len(part)), *cols], names=[id_col, *names])
 
     names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
-    kinds = [T.LongType()] * 4 + [T.StringType(), T.ArrayType(T.LongType())]
+    kinds = [T.LongType()] * 4 + [T.StringType(), T.BinaryType()]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, k) for n, k in zip(names, kinds))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def _pairs(batch: pa.RecordBatch, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("pairs").to_pylist()), kind)
+
+
+def pair_counts(aligned: DataFrame, kind: str) -> DataFrame:
     """(pair, n): how many links of the corpus hold each pair; every task adds up its own first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            own, n = np.unique(batch.column("pairs").flatten().to_numpy(), return_counts=True)
-            pairs, at = np.unique(np.concatenate([pairs, own]), return_inverse=True)
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            own, n = np.unique(_pairs(part, kind), return_counts=True)
+            pairs, at = np.unique(np.concatenate([pairs, own.astype(np.int64)]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(pairs)).astype(np.int64)  # exact below 2^53
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs), "n": pa.array(counts)})
 
@@ -307,7 +318,8 @@ def link_statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     with open(path_a, encoding="utf-8") as a, open(path_b, "rb") as b:
         both = Tokenizers.of(a.read(), b.read())
     aligned = stored(digests(docs, path_a, path_b, id_col, text_col), "aligned")
-    table = pair_counts(aligned).toArrow()  # bounded by the vocabularies
+    kind = both.pair_kind()
+    table = pair_counts(aligned, kind).toArrow()  # bounded by the vocabularies
     if table.num_rows > both.pair_bound():
         raise RuntimeError("more id pairs than the vocabularies allow")
     order = np.argsort(table.column("pair").to_numpy())
@@ -319,9 +331,8 @@ def link_statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = known.value
-        for batch in batches:
-            own = batch.column("pairs")
-            at = np.searchsorted(pairs, own.flatten().to_numpy())
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            at = np.searchsorted(pairs, _pairs(batch, kind).astype(np.int64))
             sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, counts)]
             edges = np.concatenate([[0], np.cumsum(batch.column("n_links").to_numpy())])
             cols = [batch.column(n) for n in names[:5]] + [pa.array(np.diff(s[edges])) for s in sums] + [batch.column("groups_sha256")]
