@@ -1,68 +1,55 @@
 """Ranks, quantiles and running minima over groups of any size.
 
-A plain window over ``PARTITION BY group`` puts a whole group into one task. Here every heavy group
-is first cut into value buckets whose bounds come from a mergeable quantile sketch; rows meet only
-inside one bucket, equal values are counted before the shuffle, and a short per-bucket table carries
-the offsets across buckets. The bounds only decide where a value is processed, never its rank, so
-results are exact.
-
-Heavy means at least ``spark.fieldweave.heavyGroupRows`` rows (default 1,000,000) and at least one
-thousandth of the table. At most 1,000 groups can be heavy, so the table of bounds is at most
-1,000 x 1,024 numbers and is broadcast; all other groups are one bucket each.
+A plain window over ``PARTITION BY group`` puts a whole group into one task. Here every group is cut
+into as many value buckets as its distinct values ask for, about one per ``spark.fieldweave.bucketRows``
+of them (default 1,000,000). The splitters are a hashed sample of the distinct values, every sixteenth of
+it in order, so their number follows the values of a group and nothing else. Rows meet only inside one
+bucket, equal values are counted before the shuffle, and a short per-bucket table carries the offsets
+across buckets. Splitters only decide where a value is processed, never its rank, so results are exact;
+being hashed, they come out alike whenever a lost task is run again. There are about as many as the
+table has distinct values per bucketRows, which is why they may be broadcast.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKET = "__bucket"
+SAMPLED = 16  # values of the sample for each bucket
 
 
-def _bucket_side(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(3, min(32, math.ceil(math.sqrt(parts))))
+def splitters(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, __cuts), sorted, of the groups that need more than one bucket; one scan, a small shuffle."""
+    rows = int(df.sparkSession.conf.get("spark.fieldweave.bucketRows", "1000000"))
+    sample = df.where(F.pmod(F.xxhash64(value), F.lit(max(1, rows // SAMPLED))) == 0)
+    per = sample.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("__s")).where(F.size("__s") > SAMPLED)
+    return per.select(*keys, F.filter("__s", lambda x, i: (i + 1) % SAMPLED == 0).alias("__cuts"))
 
 
-MAX_HEAVY = 1_000
+def _cuts_below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts are smaller, by halving."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(cuts, middle) < value
+        return F.when(s["lo"] < s["hi"], F.struct(F.when(right, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(middle).alias("hi"))).otherwise(s)
 
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)["lo"]
 
-def heavy_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of the heavy groups: at most MAX_HEAVY rows, since each holds 1/MAX_HEAVY of the table."""
-    least = int(df.sparkSession.conf.get("spark.fieldweave.heavyGroupRows", "1000000"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    share = counts.agg(F.greatest(F.sum("__n") / MAX_HEAVY, F.lit(float(least))).alias("s")).scalar()
-    return counts.where(F.col("__n") >= share).select(*keys)
 
+def with_value_bucket(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add the bucket ordinal of ``value`` within ``keys``: monotone in value, 0 where a group has one bucket.
 
-def bucket_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Approximate quantile cuts of each heavy group in two levels: coarse cuts, and those between."""
-    side = _bucket_side(df)
-    n = side * side
-    cuts = F.percentile_approx(value, [i / n for i in range(1, n)], 20 * n).alias("__cuts")
-    bounds = df.join(F.broadcast(heavy_groups(df, keys)), list(keys), "left_semi").groupBy(*keys).agg(cuts)
-    coarse = F.expr(f"transform(sequence(1, {side - 1}), i -> __cuts[i * {side} - 1])")
-    fine = F.expr(
-        f"transform(sequence(0, {side - 1}), i -> slice(__cuts, i * {side} + 1, {side - 1}))"
-    )
-    return bounds.select(*keys, coarse.alias("__coarse"), fine.alias("__fine"))
-
-
-def with_value_bucket(df: DataFrame, bounds: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add the bucket ordinal of ``value`` within ``keys``: monotone in value, 0 in light groups.
-
-    A row is compared with 2 * side bounds instead of side**2. The bounds are broadcast (see the
-    module text for their size), so rows stay where they are and the next shuffle spreads them by
-    bucket, not by group.
+    The splitters are broadcast (see the module text for their number), so rows stay where they are and the
+    next shuffle spreads them by bucket, not by group.
     """
-    side = _bucket_side(df)
-    joined = df.join(F.broadcast(bounds), list(keys), "left")
-    top = F.size(F.filter("__coarse", lambda b: b < F.col(value)))
-    inner = F.size(F.filter(F.col("__fine")[top], lambda b: b < F.col(value)))
-    bucket = F.when(F.col("__coarse").isNull(), 0).otherwise(top * side + inner)
-    return joined.withColumn(BUCKET, bucket).drop("__coarse", "__fine")
+    if keys:
+        joined = df.join(F.broadcast(cuts), list(keys), "left")
+    else:
+        joined = df.withColumn("__cuts", cuts.select("__cuts").scalar())
+    return joined.withColumn(BUCKET, F.coalesce(_cuts_below(F.col("__cuts"), F.col(value)), F.lit(0))).drop("__cuts")
 
 
 def value_ranks(
@@ -73,25 +60,26 @@ def value_ranks(
     Columns: keys, value, ``n`` (ties), ``below`` (rows with a smaller value), ``total`` (rows in
     the group), the bucket ordinal, and any ``extra`` aggregates over the tied rows.
 
+    One scan finds the splitters, one the values; bucket totals come from the same shuffle as the values.
     ``base`` may name a cheaper table with the same groups and values (before a join that only adds
-    columns); bounds and bucket totals then come from it and ``df`` is read once.
+    columns); splitters and bucket totals then come from it and ``df`` is read once.
     """
     keys = list(keys)
-    if not keys:
-        one = lambda d: None if d is None else d.withColumn("__all", F.lit(0))
-        return value_ranks(one(df), ["__all"], value, extra, one(base)).drop("__all")
     known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     for k in keys:
         known = known & F.col(k).isNotNull()
     usable = lambda d: d.where(known)
     counted = usable(base if base is not None else df).select(*keys, value)
-    bounds = bucket_bounds(counted, keys, value)
+    cuts = splitters(counted, keys, value)
     vals = (
-        with_value_bucket(usable(df), bounds, keys, value)
+        with_value_bucket(usable(df), cuts, keys, value)
         .groupBy(*keys, BUCKET, value)
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
-    per_bucket = with_value_bucket(counted, bounds, keys, value).groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__bn"))
+    if base is None and not extra:
+        per_bucket = vals.groupBy(*keys, BUCKET).agg(F.sum("n").alias("__bn"))
+    else:
+        per_bucket = with_value_bucket(counted, cuts, keys, value).groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__bn"))
     running = W.partitionBy(*keys).orderBy(BUCKET)
     offsets = per_bucket.select(
         *keys,

@@ -8,10 +8,10 @@ from fieldweave.operators import ranking as K, testing as TS
 
 @pytest.fixture(scope="module", autouse=True)
 def low_threshold(spark):
-    """Groups of 100 rows count as heavy, so the bucketed way is taken."""
-    spark.conf.set("spark.fieldweave.heavyGroupRows", "100")
+    """A bucket takes 100 rows, so that groups are split."""
+    spark.conf.set("spark.fieldweave.bucketRows", "100")
     yield
-    spark.conf.unset("spark.fieldweave.heavyGroupRows")
+    spark.conf.unset("spark.fieldweave.bucketRows")
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,35 @@ def test_top_k_and_first_per_key(spark):
     assert {(r["k"], r["v"]) for r in K.first_per_key(df, ["k"], ["o"]).collect()} == {("a", "y"), ("b", "w")}
     top = K.top_k(df, ["k"], [F.col("o").desc()], 2).collect()
     assert {(r["k"], r["v"], r["rank"]) for r in top} == {("a", "x", 1), ("a", "z", 2), ("b", "w", 1)}
+
+
+def test_buckets_follow_the_values_of_a_group(spark):
+    """The number of buckets grows with a group's own values, whatever its share of the table; ranks stay exact."""
+    rng = np.random.RandomState(7)
+    sizes = {"a": 99, "b": 101, "c": 950, "d": 5000}
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": np.r_[rng.normal(size=n - 3), np.inf, -np.inf, 0.0]}) for g, n in sizes.items()])
+    df = spark.createDataFrame(pdf).repartition(7)
+    per = K.value_ranks(df, ["g"], "v").groupBy("g", K.BUCKET).agg(F.sum("n").alias("n")).toPandas().groupby("g")["n"].agg(["count", "max"])
+    assert per.loc["a", "count"] <= 2 and 6 <= per.loc["c", "count"] <= 14 and 35 <= per.loc["d", "count"] <= 65
+    assert (per["max"] <= 300).all()
+    got = K.with_average_rank(df, ["g"], "v", "r").toPandas()
+    assert np.allclose(got["r"], got.groupby("g")["v"].rank())
+
+
+def test_ranks_read_their_input_twice(spark, tmp_path):
+    """One scan for splitters, one for values and bucket totals; a rank correlation of vectors takes six at most."""
+    from fieldweave.operators.correlate import spearman_by_dimension
+
+    rng = np.random.RandomState(1)
+    df = spark.createDataFrame([(float(v), [float(x) for x in rng.normal(size=3)]) for v in rng.normal(size=400)], "y double, f array<double>")
+    df.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+
+    def scans(out):
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return final.count("FileScan")
+
+    assert scans(K.value_ranks(table, [], "y")) <= 2
+    assert scans(spearman_by_dimension(table.withColumn("s", F.col("y") > 9), ["s"], "f", "y")) <= 6
