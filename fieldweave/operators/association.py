@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.pvalues import student_t_p
 from .correlate import covariance_array
+from .crossproducts import array_matrix
 from .kinship import mean_imputed
 from .onerow import attach_row
 from .ranking import value_ranks
 
 
 def find_marker(markers: DataFrame, label: str) -> DataFrame:
-    """The one marker with this id, else the one at CHROM:POS[:REF:ALT]; anything but one is an error."""
-    by_id = markers.where(F.col("marker") == label)
-    hits = by_id.limit(2).count()
-    if hits == 0:
-        parts = label.replace("_", ":").split(":")
-        if len(parts) < 2:
-            raise ValueError(f"marker {label!r} not found")
-        by_id = markers.where((F.col("chrom").cast("string") == parts[0]) & (F.col("pos") == int(parts[1])))
-        if len(parts) >= 4:
-            by_id = by_id.where((F.col("ref") == parts[2]) & (F.col("alt") == parts[3]))
-        hits = by_id.limit(2).count()
-    if hits != 1:
-        raise ValueError(f"marker {label!r} is {'ambiguous' if hits else 'unknown'}")
-    return by_id
+    """The one marker with this id, else the one at CHROM:POS[:REF:ALT]; anything but one is an error.
+
+    A place reads like the labels of :func:`functions.keys.split_marker`: the last parts are position and
+    alleles, so chromosome names may hold underscores. One pass finds hits of both kinds.
+    """
+    place = re.fullmatch(r"(.+?)[:_](\d+)(?:[:_]([ACGTN*]+)[:_]([ACGTN*]+))?", label, re.IGNORECASE)
+    there = F.lit(False)
+    if place:
+        chrom, pos, ref, alt = place.groups()
+        there = (F.col("chrom").cast("string") == chrom) & (F.col("pos") == int(pos))
+        if ref:
+            there = there & (F.col("ref") == ref) & (F.col("alt") == alt)
+    named = F.col("marker") == label
+    hits = markers.where(named | there).withColumn("__named", F.coalesce(named, F.lit(False)))
+    n = hits.agg(F.count_if("__named").alias("a"), F.count(F.lit(1)).alias("b")).first()
+    found = n["a"] or n["b"]
+    if found != 1:
+        raise ValueError(f"marker {label!r} is {'ambiguous' if found else 'unknown'}")
+    return (hits.where("__named") if n["a"] else hits).drop("__named")
 
 
 def minor_alleles(calls: DataFrame) -> DataFrame:
@@ -90,6 +99,85 @@ def linkage(calls: DataFrame, lead: str, min_calls: int = 50, impute: bool = Tru
     return s.select("marker", "chrom", "pos", "n_calls", r2.alias("r2"))
 
 
+def _cross_sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n, sx, sy, sxx, syy, sxy) over the pairs complete in a marker row of x and a column of y: six matrix products."""
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    x0, y0 = np.where(mx > 0, x, 0.0), np.where(my > 0, y, 0.0)
+    return mx @ my, x0 @ my, mx @ y0, (x0 * x0) @ my, mx @ (y0 * y0), x0 @ y0
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(n, sxx, syy, sxy), the last three about the means of the complete pairs; tiny spreads count as none."""
+    n, sx, sy, sxx, syy, sxy = _cross_sums(x, y)
+    m = np.maximum(n, 1)
+    cxx, cyy = sxx - sx * sx / m, syy - sy * sy / m
+    return n, np.where(cxx > 1e-10 * np.maximum(sxx, 1e-300), cxx, 0.0), np.where(cyy > 1e-12 * np.maximum(syy, 1e-300), cyy, 0.0), sxy - sx * sy / m
+
+
+def linkage_vectors(markers: DataFrame, lead: str, min_calls: int = 50, impute: bool = True) -> DataFrame:
+    """(marker, chrom, pos, n_calls, r2) with a lead marker, from dosage arrays (NaN or null missing).
+
+    With ``impute`` a missing dosage counts as its marker's mean. The lead's array, one number a sample,
+    travels to the tasks; the panel is read once and never unfolded.
+    """
+    own = markers.where(F.col("marker") == lead).select("dosage").first()
+    if own is None:
+        raise ValueError(f"marker {lead!r} is unknown")
+    y = np.array([np.nan if v is None else v for v in own[0]], float)[:, None]
+    if impute:
+        y = mean_imputed(y.T).T
+    kind = dict(markers.dtypes)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = array_matrix(b.column(3))
+            calls = (~np.isnan(x)).sum(1)
+            n, sxx, syy, sxy = (v[:, 0] for v in _moments(mean_imputed(x) if impute else x, y))
+            ok = (sxx > 0) & (syy > 0)
+            r2 = np.where(ok, sxy * sxy / np.where(ok, sxx * syy, 1.0), np.nan)
+            keep = pa.array(np.flatnonzero(calls >= min_calls))
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(calls.astype(np.int64)), pa.array(r2, mask=~ok)]
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in cols], names=["marker", "chrom", "pos", "n_calls", "r2"])
+
+    return markers.select("marker", "chrom", "pos", "dosage").mapInArrow(run, f"marker string, chrom {kind['chrom']}, pos {kind['pos']}, n_calls long, r2 double")
+
+
+def marker_trait_effects(markers: DataFrame, y: np.ndarray, traits: list[str], min_n: int = 3) -> DataFrame:
+    """(trait, marker, chrom, pos, n, effect, se, t, r2, p_value): every marker against every trait by least squares.
+
+    ``y`` is samples x traits (NaN missing) in the order of the dosage arrays; each pair uses the samples
+    complete in both. A batch of markers takes six matrix products for all traits together. Pairs without
+    spread in the dosage, or with fewer than three samples, have null effects.
+    """
+    shared = markers.sparkSession.sparkContext.broadcast(y - np.nanmean(np.where(np.isnan(y).all(0), 0.0, y), axis=0))  # samples x traits
+    kind = dict(markers.dtypes)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            n, sxx, syy, sxy = _moments(array_matrix(b.column(3)), shared.value)
+            ok = (sxx > 0) & (n > 2)
+            slope = np.where(ok, sxy / np.where(sxx > 0, sxx, 1.0), np.nan)
+            rss = np.maximum(syy - slope * sxy, 0.0)
+            se = np.sqrt(rss / np.maximum(n - 2, 1) / np.where(sxx > 0, sxx, 1.0))
+            at, t = np.nonzero(n >= min_n)
+            rows = pa.array(at)
+            num = lambda v, good: pa.array(v[at, t], mask=~good[at, t])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(traits, dtype=object)[t], pa.string()), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), pa.array(n[at, t].astype(np.int64)),
+                     num(slope, ok), num(se, ok), num(slope / se, ok & (se > 0)), num(1 - rss / syy, ok & (syy > 0)), pa.array(n[at, t] - 2.0)],
+                    names=["trait", "marker", "chrom", "pos", "n", "effect", "se", "t", "r2", "df"],
+                )
+
+    out = markers.select("marker", "chrom", "pos", "dosage").mapInArrow(
+        run, f"trait string, marker string, chrom {kind['chrom']}, pos {kind['pos']}, n long, effect double, se double, t double, r2 double, df double")
+    return out.withColumn("p_value", student_t_p(F.col("t"), F.col("df"))).drop("df")
+
+
 def block_extent(ld: DataFrame, thresholds: list[float]) -> DataFrame:
     """Span and marker count of the block around a lead at each r2 threshold."""
     cuts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))

@@ -8,6 +8,7 @@ per chromosome and hence bounded by the sample limit, travel as one broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fingerprint import set_fingerprint
 from ..functions.pvalues import chi2_1_upper
 from .crossproducts import array_matrix
 from .kinship import components_of, kinship_from_products, loco_products, mean_imputed
@@ -84,8 +84,8 @@ def _grid_ll(d, w, y, x):
     return out
 
 
-def _golden(fn, lo: np.ndarray, hi: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Vectorised golden-section maximum of fn over log lambda."""
+def _golden(fn, lo: np.ndarray, hi: np.ndarray, steps: int = 18) -> np.ndarray:
+    """Vectorised golden-section maximum of fn over log lambda, closed by a parabola through the last bracket."""
     a, b = lo.copy(), hi.copy()
     c, e = b - GOLD * (b - a), a + GOLD * (b - a)
     fc, fe = fn(c), fn(e)
@@ -97,7 +97,12 @@ def _golden(fn, lo: np.ndarray, hi: np.ndarray, steps: int = 30) -> np.ndarray:
         f = fn(probe)
         fc, fe = np.where(left, f, fe), np.where(left, fc, f)
         c, e = c2, e2
-    return (a + b) / 2
+    mid = (a + b) / 2
+    h = np.maximum((b - a) / 2, 1e-4)
+    down, at, up = fn(mid - h), fn(mid), fn(mid + h)
+    bend = down - 2 * at + up
+    shift = np.where(bend < 0, 0.5 * h * (down - up) / np.where(bend < 0, bend, -1.0), 0.0)
+    return np.clip(mid + np.clip(shift, -h, h), lo, hi)
 
 
 def _null_fit(d, w, y) -> tuple[np.ndarray, np.ndarray]:
@@ -110,36 +115,30 @@ def _null_fit(d, w, y) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(x), _profile(np.exp(x), d, w, y, None)[0]
 
 
+def rotated_basis(d: np.ndarray, u: np.ndarray | None, ry: np.ndarray, rw: np.ndarray) -> Basis:
+    """Null fits of rotated traits and covariates under given eigenvalues."""
+    if u is None:
+        return Basis(d, u, ry, rw, np.zeros(ry.shape[1]), _profile(np.zeros(ry.shape[1]), d, rw, ry, None)[0])
+    lam, ll = _null_fit(d, rw, ry)
+    return Basis(d, u, ry, rw, lam, ll)
+
+
 def make_basis(k: np.ndarray | None, y: np.ndarray, w: np.ndarray) -> Basis:
-    n = len(y)
     if k is None:
-        d, u, ry, rw = np.zeros(n), None, y, w
-        ll = _profile(np.zeros(y.shape[1]), d, w, y, None)[0]
-        return Basis(d, u, ry, rw, np.zeros(y.shape[1]), ll)
+        return rotated_basis(np.zeros(len(y)), None, y, w)
     d, u = np.linalg.eigh(k)
-    d = np.clip(d, 0.0, None)
-    ry, rw = u.T @ y, u.T @ w
-    lam, ll = _null_fit(d, rw, ry)
-    return Basis(d, u, ry, rw, lam, ll)
+    return rotated_basis(np.clip(d, 0.0, None), u, u.T @ y, u.T @ w)
 
 
-def score(basis: Basis, x: np.ndarray, trait: int, refine_below: float = 1.0):
-    """(effect, se, p) of a batch of rotated marker rows for one trait."""
+def score(basis: Basis, x: np.ndarray, trait: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(effect, se, p) of a batch of rotated marker rows for one trait, each at its own variance ratio."""
     d, w, y = basis.d, basis.w, basis.y[:, trait]
     n, c = w.shape
-    m = len(x)
-    lam = np.full(m, basis.null_lambda[trait])
+    lam = np.zeros(len(x))
     if basis.u is not None:
-        ll = _profile(lam, d, w, y, x)[0]
-        p0 = chi2_1_upper(2 * (ll - basis.null_ll[trait]))
-        todo = np.flatnonzero(p0 <= refine_below)
-        if len(todo):
-            xs = x[todo]
-            g = _grid_ll(d, w, y, xs)
-            best = g.argmax(0)
-            lg = np.log(GRID)
-            z = _golden(lambda q: _profile(np.exp(q), d, w, y, xs)[0], lg[np.maximum(best - 1, 0)], lg[np.minimum(best + 1, len(GRID) - 1)])
-            lam[todo] = np.exp(z)
+        best = _grid_ll(d, w, y, x).argmax(0)
+        lg = np.log(GRID)
+        lam = np.exp(_golden(lambda q: _profile(np.exp(q), d, w, y, x)[0], lg[np.maximum(best - 1, 0)], lg[np.minimum(best + 1, len(GRID) - 1)]))
     ll, rxx, rxy, rss = _profile(lam, d, w, y, x)
     lrt = 2 * (ll - basis.null_ll[trait])
     beta = rxy / rxx
@@ -181,7 +180,7 @@ def design(n: int, pcs: np.ndarray | None = None, covariates: np.ndarray | None
 
 def scan(
     markers: DataFrame, y: np.ndarray, traits: list[str], w: np.ndarray, keep: np.ndarray | None = None,
-    loco: dict[str, np.ndarray] | None = None, p_max: float = 1.0, refine_below: float = 1.0,
+    loco: dict[str, np.ndarray] | None = None, p_max: float = 1.0,
 ) -> DataFrame:
     """(trait, marker, chrom, pos, effect, se, p_value) of every marker and trait with p <= p_max.
 
@@ -213,7 +212,7 @@ def scan(
                 basis = table[""] if "" in table else table[c]
                 x = x_all[at] if basis.u is None else x_all[at] @ basis.u
                 for t, name in enumerate(traits):
-                    beta, se, p = score(basis, x, t, refine_below)
+                    beta, se, p = score(basis, x, t)
                     hit = np.flatnonzero(p <= p_max) if p_max < 1.0 else np.arange(len(at))
                     if len(hit) == 0:
                         continue
@@ -250,60 +249,84 @@ def one_marker_rules(cells: DataFrame, keys: list[str], min_samples: int = 30, m
     return s.withColumn("skip_reason", reason).withColumn("status", F.when(F.col("skip_reason").isNull(), "queued").otherwise("skipped"))
 
 
+def set_basis(idx: np.ndarray, every: np.ndarray | None, others: np.ndarray | None, n_pcs: int):
+    """(eigenvalues, eigenvectors, components) of a sample set: kinship without the marker's chromosome,
+    components of the kinship of all markers."""
+    if others is None:
+        return np.zeros(len(idx)), None, None
+    d, u = np.linalg.eigh(kinship_from_products(others, idx))
+    pcs = components_of(kinship_from_products(others if every is None else every, idx), n_pcs) if n_pcs else None
+    return np.clip(d, 0.0, None), u, pcs
+
+
 def one_marker_tests(
-    cells: DataFrame, keys: list[str], samples: list[str], products: np.ndarray | None, n_pcs: int = 5, strata_per_task: int = 64,
-    min_samples: int = 30, min_homozygotes: int = 3, covariate: str | None = None,
+    cells: DataFrame, keys: list[str], samples: list[str], every: np.ndarray | None, others: np.ndarray | None, n_pcs: int = 5,
+    min_samples: int = 30, min_homozygotes: int = 3, covariates: list[str] | None = None, strata_per_task: int = 4096,
 ) -> DataFrame:
     """Test one marker in every stratum (trait, location, gene ...), each on its own sample subset.
 
-    Strata with the same sample set share one eigenbasis: they are grouped by a set fingerprint and
-    solved together, about ``strata_per_task`` strata at a time, so a task holds at most that many
-    rows per sample. ``products`` are the raw product sums without the marker's chromosome; every subset's kinship follows from them.
+    ``every`` and ``others`` are the raw product sums of all markers and of those outside the marker's
+    chromosome: genotype components come from the first, the covariance from the second; None tests
+    without kinship. Rules and tests see the same samples: those with y, a dosage and all covariates.
+
+    A stratum becomes one row of arrays in sample order. Strata with the same samples meet under the
+    digest of that set; each such group factorises once, for up to ``strata_per_task`` strata, and rotates
+    and fits them in batches.
     """
-    rules = one_marker_rules(cells, keys, min_samples, min_homozygotes)
+    covariates = covariates or []
+    seen = F.col("y").isNotNull() & F.col("dosage").isNotNull()
+    for c in covariates:
+        seen = seen & F.col(c).isNotNull()
     label = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    usable = cells.where(F.col("y").isNotNull() & F.col("dosage").isNotNull())
-    if covariate:
-        usable = usable.where(F.col(covariate).isNotNull())
-    usable = usable.withColumn("__s", label)
+    usable = cells.where(seen)
+    rules = one_marker_rules(usable, keys, min_samples, min_homozygotes)
+    order = cells.sparkSession.createDataFrame(pd.DataFrame({"sample": samples, "__i": np.arange(len(samples), dtype="int32")}))
+    row = F.struct(F.col("__i").alias("i"), *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(["y", "dosage", *covariates])])
+    packed = usable.withColumn("__s", label).join(order, "sample").groupBy("__s").agg(F.sort_array(F.collect_list(row)).alias("r"))
     queued = rules.where("status = 'queued'").select(label.alias("__s"))
-    prints = usable.groupBy("__s").agg(set_fingerprint(F.col("sample")).alias("__set")).join(queued, "__s")
-    slots = queued.agg(F.ceil(F.count(F.lit(1)) / strata_per_task).alias("n")).select(F.greatest("n", F.lit(1)).alias("n")).scalar()
-    work = usable.join(prints, "__s").select(
-        "__set", "__s", "sample", F.col("y").cast("double").alias("y"), F.col("dosage").cast("double").alias("x"),
-        (F.col(covariate).cast("double") if covariate else F.lit(0.0)).alias("z"), F.pmod(F.xxhash64("__s"), slots).alias("__salt"),
-    )
-    order = {s: i for i, s in enumerate(samples)}
-    shared = cells.sparkSession.sparkContext.broadcast((order, products))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        index, prod = shared.value
-        rows = []
-        basis_of = None
-        for name, part in pdf.groupby("__s", sort=True):
-            part = part.sort_values("sample")
-            idx = np.array([index[s] for s in part["sample"]])
-            y, x, z = (part[c].to_numpy(float) for c in ("y", "x", "z"))
-            try:
-                if basis_of is None and prod is not None:
-                    k = kinship_from_products(prod, idx)
-                    basis_of = (k, components_of(k, n_pcs))
-                k, pcs = basis_of if basis_of is not None else (None, None)
-                w = design(len(y), pcs, z[:, None] if covariate else None)
-                b = make_basis(k, y[:, None], w)
-                beta, se, p = score(b, (x if b.u is None else b.u.T @ x)[None, :], 0)
-                rows.append((name, float(beta[0]), float(se[0]), float(p[0]), "tested", None))
-            except np.linalg.LinAlgError as exc:
-                rows.append((name, np.nan, np.nan, np.nan, "error", str(exc)))
-        return pd.DataFrame(rows, columns=["__s", "effect", "se", "p_value", "st", "why"])
-
-    tested = work.groupBy("__set", "__salt").applyInPandas(solve, "__s string, effect double, se double, p_value double, st string, why string")
+    strata = packed.join(queued, "__s").select("__s", F.col("r.i").alias("i"), *[F.col(f"r.v{j}").alias(f"v{j}") for j in range(2 + len(covariates))])
+    strata = strata.withColumn("__set", F.sha2(F.array_join(F.col("i").cast("array<string>"), ","), 256))
+    sizes = strata.groupBy("__set").agg(F.ceil(F.count(F.lit(1)) / strata_per_task).alias("__parts"))
+    strata = strata.join(sizes, "__set").withColumn("__salt", F.pmod(F.xxhash64("__s"), F.col("__parts")))
+    shared = cells.sparkSession.sparkContext.broadcast((every, others))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = None
+        for pdf in batches:
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at:at + 128]
+                rows: list[tuple] = []
+                try:
+                    if found is None:
+                        found = set_basis(np.asarray(part["i"].iloc[0]), *shared.value, n_pcs)
+                    d, u, pcs = found
+                    turn = (lambda m: m) if u is None else (lambda m: u.T @ m)
+                    y, x = (np.stack(part[c].to_list(), axis=1) for c in ("v0", "v1"))
+                    if not covariates:
+                        w = turn(design(len(y), pcs))
+                        blocks = [(w, range(y.shape[1]))]
+                    else:
+                        z = [np.stack(part[f"v{j + 2}"].to_list(), axis=1) for j in range(len(covariates))]
+                        blocks = [(turn(design(len(y), pcs, np.column_stack([c[:, t] for c in z]))), [t]) for t in range(y.shape[1])]
+                    ry, rx = turn(y), turn(x)
+                    for w, own in blocks:
+                        b = rotated_basis(d, u, ry[:, list(own)], w)
+                        for k, t in enumerate(own):
+                            beta, se, p = score(b, rx[:, t][None, :], k)
+                            rows.append((part["__s"].iloc[t], float(beta[0]), float(se[0]), float(p[0]), "tested", None))
+                except np.linalg.LinAlgError as exc:
+                    done = {r[0] for r in rows}
+                    rows += [(s, np.nan, np.nan, np.nan, "error", str(exc)) for s in part["__s"] if s not in done]
+                yield pd.DataFrame(rows, columns=["__s", "effect", "se", "p_value", "st", "why"])
+
+    tested = strata.groupBy("__set", "__salt").applyInPandas(solve, "__s string, effect double, se double, p_value double, st string, why string")
     out = rules.withColumn("__s", label).join(tested, "__s", "left")
     z = F.col("effect") / F.col("phenotype_sd")
     return out.withColumns({
         "status": F.coalesce("st", "status"), "skip_reason": F.coalesce("why", "skip_reason"),
         "standardized_effect": z, "homozygote_contrast": 2 * z,
+        "direction": F.when(z > 0, "increases").when(z < 0, "decreases").when(z == 0, "none"),
     }).drop("__s", "st", "why")
 
 
-__all__ = ["scan", "one_marker_tests", "one_marker_rules", "trait_matrix", "design", "complete", "loco_products", "make_basis", "score"]
+__all__ = ["scan", "one_marker_tests", "one_marker_rules", "trait_matrix", "design", "complete", "loco_products", "make_basis", "rotated_basis", "set_basis", "score"]

@@ -251,19 +251,65 @@ def test_identity_kinship_is_least_squares(panel):
 
 
 def test_one_marker_over_strata(panel, spark):
+    """Each stratum against the dense model of its own samples: components of all markers, kinship of the other
+    chromosomes; rules count the samples that are tested; sets are factorised apart from one another."""
     samples, g, v, df = panel
     rng = np.random.RandomState(8)
-    rows = [(t, s, float(rng.normal())) for t in ("a", "b", "few") for i, s in enumerate(samples) if not (t == "b" and i % 3 == 0) and not (t == "few" and i > 10)]
-    cells = spark.createDataFrame(rows, "trait string, sample string, y double").join(df.where("marker = 'm7'").select("sample", "dosage"), "sample")
-    others = K.loco_products(K.raw_products(v))["2"]
-    got = M.one_marker_tests(cells, ["trait"], samples, others, n_pcs=2, min_homozygotes=1).toPandas().set_index("trait")
-    assert got.loc["few", "status"] == "skipped" and got.loc["few", "skip_reason"] == "n_observations < 30"
-    y = np.array([r[2] for r in rows if r[0] == "b"])
-    keep = np.array([i for i in range(60) if i % 3])
-    k = vanraden(g[keep][:, np.arange(90) % 3 + 1 != 2])
-    lrt, beta = dense_lrt(y, M.design(40, K.components_of(k, 2)), g[keep, 7], k)
-    assert got.loc["b", "status"] == "tested" and got.loc["b", "effect"] == pytest.approx(beta, rel=5e-3, abs=1e-3)
-    assert got.loc["b", "p_value"] == pytest.approx(M.chi2_1_upper(lrt), rel=1e-2)
+    rows = [(t, s, float(rng.normal()), None if t == "gap" and i < 15 else float(rng.normal())) for t in ("a", "a2", "b", "few", "gap") for i, s in enumerate(samples) if not (t == "b" and i % 3 == 0) and not (t == "few" and i > 10)]
+    cells = spark.createDataFrame(rows, "trait string, sample string, y double, o double").join(df.where("marker = 'm7'").select("sample", "dosage"), "sample")
+    products = K.raw_products(v)
+    every, others = sum(products.values()), K.loco_products(products)["2"]
+    chrom = np.arange(90) % 3 + 1
+    for covariates, expected in (([], 60), (["o"], 45)):
+        got = M.one_marker_tests(cells, ["trait"], samples, every, others, n_pcs=2, min_homozygotes=1, covariates=covariates, strata_per_task=1).toPandas().set_index("trait")
+        assert got.loc["few", "status"] == "skipped" and got.loc["few", "skip_reason"] == "n_observations < 30"
+        assert got.loc["gap", "n_observations"] == expected
+        for name in ("a", "a2", "b", "gap"):
+            own = [(samples.index(s), y, o) for t, s, y, o in rows if t == name and not (covariates and o is None)]
+            keep, y = np.array([r[0] for r in own]), np.array([r[1] for r in own])
+            k, full = vanraden(g[keep][:, chrom != 2]), vanraden(g[keep])
+            lrt, beta = dense_lrt(y, M.design(len(y), K.components_of(full, 2), np.array([[r[2]] for r in own]) if covariates else None), g[keep, 7], k)
+            assert got.loc[name, "status"] == "tested" and got.loc[name, "effect"] == pytest.approx(beta, rel=5e-3, abs=1e-3)
+            assert got.loc[name, "p_value"] == pytest.approx(M.chi2_1_upper(lrt), rel=1e-2)
+    plain = M.one_marker_tests(cells, ["trait"], samples, None, None, n_pcs=0, min_homozygotes=1).toPandas().set_index("trait")
+    y = np.array([r[2] for r in rows if r[0] == "a"])
+    b = np.linalg.lstsq(np.column_stack([np.ones(60), g[:, 7]]), y, rcond=None)[0]
+    assert plain.loc["a", "effect"] == pytest.approx(b[1])
+
+
+def test_array_products_match_pairwise_complete_loops(panel, spark):
+    """Masked matrix products against numpy on the complete pairs, with missing calls and phenotypes."""
+    samples, g, v, df = panel
+    rng = np.random.RandomState(12)
+    y = rng.normal(1e6, 3.0, size=(60, 3))
+    y[rng.random(y.shape) < 0.2] = np.nan
+    got = A.marker_trait_effects(v, y, ["t0", "t1", "t2"]).toPandas().set_index(["trait", "marker"])
+    assert len(got) == 270
+    raw = g.copy()
+    raw[3, 5] = np.nan
+    for j in (0, 5, 41):
+        for t in range(3):
+            ok = np.isfinite(raw[:, j]) & np.isfinite(y[:, t])
+            x, z = np.column_stack([np.ones(ok.sum()), raw[ok, j]]), y[ok, t]
+            b, rss, *_ = np.linalg.lstsq(x, z - z.mean(), rcond=None)
+            row = got.loc[(f"t{t}", f"m{j}")]
+            se = np.sqrt(rss[0] / (ok.sum() - 2) * np.linalg.inv(x.T @ x)[1, 1])
+            assert row["n"] == ok.sum() and (row["effect"], row["se"]) == pytest.approx((b[1], se), rel=1e-6) and row["r2"] == pytest.approx(np.corrcoef(raw[ok, j], z)[0, 1] ** 2)
+    for impute in (True, False):
+        want = A.linkage(df, "m5", min_calls=50, impute=impute).toPandas().set_index("marker")
+        have = A.linkage_vectors(v, "m5", min_calls=50, impute=impute).toPandas().set_index("marker")
+        assert have.loc[want.index, "n_calls"].tolist() == want["n_calls"].tolist() and np.allclose(have.loc[want.index, "r2"], want["r2"])
+    with pytest.raises(ValueError, match="unknown"):
+        A.linkage_vectors(v, "none")
+
+
+def test_find_marker_labels(spark):
+    m = spark.createDataFrame([("a", "1", 5, "A", "G"), ("b", "1", 5, "A", "T"), ("c", "scaf_7", 9, "C", "T"), ("1:5", "2", 1, "A", "C")], "marker string, chrom string, pos long, ref string, alt string")
+    found = lambda label: A.find_marker(m, label).first()["marker"]
+    assert [found(x) for x in ("a", "1:5:A:T", "1_5_A_G", "scaf_7:9", "scaf_7_9_C_T", "1:5")] == ["a", "b", "a", "c", "c", "1:5"]
+    for label in ("1_5", "3:4", "zz", "1:5:A:C"):
+        with pytest.raises(ValueError):
+            A.find_marker(m, label)
 
 
 def test_incomplete_samples(panel):
