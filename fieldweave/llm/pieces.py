@@ -14,6 +14,7 @@ lately are kept by the worker.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from fieldweave.llm.common import map_columns, texts
 
@@ -87,7 +88,7 @@ class Pieces:
         self.cut = all(SPACE not in r[0].lstrip(SPACE) for r in rows if r[2] in (NORMAL, USER))
         shown = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
         self.raw = [shown.get(kind, lambda p: p.replace(SPACE, " ").encode())(piece) for piece, _, kind in rows]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     @classmethod
     def of(cls, model: bytes) -> Pieces:
@@ -145,23 +146,35 @@ class Pieces:
         """Ids of a character that is no piece."""
         return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def encode(self, text: str) -> np.ndarray:
+    def _stretches(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """(ids, bytes of those ids) of each stretch; short ones are remembered."""
         text = self.normalise(text)
         if len(self.known) > CACHE:
             self.known.clear()
-        known, parts = self.known, []
+        known = self.known
         for word in STRETCH.findall(text) if self.cut else [text]:
-            ids = known.get(word)
-            if ids is None:
-                ids = np.array(self.segment(word), "<u4").tobytes()
+            found = known.get(word)
+            if found is None:
+                ids = self.segment(word)
+                found = np.array(ids, "<u4").tobytes(), b"".join([self.raw[i] for i in ids])
                 if len(word) < 64:
-                    known[word] = ids
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), "<u4")
+                    known[word] = found
+            yield found
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([ids for ids, _ in self._stretches(text)]), "<u4")
+
+    def both_ways(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text, as little-endian unsigned 32-bit numbers, and what they decode to."""
+        found = list(self._stretches(text))
+        return b"".join([ids for ids, _ in found]), self._told(b"".join([raw for _, raw in found]))
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, the leading space sign goes."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
+        return self._told(b"".join([self.raw[i] for i in ids]))
+
+    def _told(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
@@ -229,21 +242,30 @@ def decode_texts(docs: DataFrame, model_path: str, ids_col: str = "piece_ids") -
     return map_columns(docs, run, decoded=T.StringType())
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Adds n_pieces and ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) in place of piece_ids."""
+def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_pieces, ids_crc32, decoded_sha256, round_trip) of whole texts, encoded and decoded in one pass.
+
+    ids_crc32 is of the ids as little-endian unsigned 32-bit numbers; round_trip says whether decoding gives
+    the text (null: empty) back. Rows without or with a repeated id are digested like any others; other
+    columns are not read. An empty table gives an empty table.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        ids = [x.values.to_numpy().astype("<u4") for x in batch.column("piece_ids")]
-        return {"n_pieces": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+        own = Pieces.of(model.value)
+        given = texts(batch, text_col)
+        found = [own.both_ways(t) for t in given]
+        return {
+            "n_pieces": [len(ids) // 4 for ids, _ in found], "ids_crc32": [zlib.crc32(ids) for ids, _ in found],
+            "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in found], "round_trip": [t == g for (_, t), g in zip(found, given)],
+        }
 
-    return map_columns(docs, run, drop=("piece_ids",), n_pieces=T.LongType(), ids_crc32=T.LongType())
+    added = {"n_pieces": T.LongType(), "ids_crc32": T.LongType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType()}
+    return map_columns(docs.select(id_col, text_col), run, drop=(text_col,), **added)
 
 
 def pieces_report(docs: DataFrame) -> DataFrame:
     """Ids of every whole text, and whether they decode to it."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode_texts(encode_texts(plain, path), path)
-    out = digests(back.select("doc_id", "piece_ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip")))
-    return out.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip")
+    return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
