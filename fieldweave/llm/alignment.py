@@ -15,8 +15,6 @@ each other, so there are at most as many pairs as the tokens of both vocabularie
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,17 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fieldweave.llm.bpe import ByteBpe
 from fieldweave.llm.common import ship, stored, texts
 
 SLICE = 256  # rows handled at once
 BATCH_BYTES = 1 << 19  # bytes of text aligned at once; a longer text is a batch of its own
-#: Fixed value: the published pattern by which byte-level BPE of 50,257 ids cuts texts before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-#: The fast encoder's matcher overflows its stack on a million blanks in a row; such texts go to the other library.
-BLANKS = 50_000
-_BLANK_RUN = re.compile(rf"\s{{{BLANKS}}}")
 
 
 # ---------------------------------------------------------------- matrices in compressed rows
@@ -85,13 +77,6 @@ def product(a: Rows, b: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- tokens and their bytes
-def byte_level(char: str) -> int:
-    """The byte a character of a byte-level vocabulary stands for: visible ones for themselves, others counted from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return hidden[ord(char) - 256] if ord(char) >= 256 else ord(char)
-
-
 class Tokenizers:
     """Ids and token bytes of a byte-level BPE file (A) and a SentencePiece file (B)."""
 
@@ -99,16 +84,11 @@ class Tokenizers:
 
     def __init__(self, model_a: str, model_b: bytes):
         import sentencepiece
-        import tiktoken
 
-        table = {chr(c): bytes([byte_level(chr(c))]) for c in [*range(33, 127), *range(161, 173), *range(174, 256), *range(256, 324)]}
-        vocabulary = json.loads(model_a)["model"]["vocab"]
-        ranks = {b"".join(map(table.__getitem__, token)): i for token, i in vocabulary.items()}  # ids follow the order of merges
-        self.model_a = model_a
-        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a = ByteBpe.of(model_a, special_is_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
-        self.bytes_a = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
+        self.bytes_a = [b""] * (max(self.a.ranks.values()) + 1)
+        for token, i in self.a.ranks.items():
             self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(t) for t in b], np.int64) for b in (self.bytes_a, self.bytes_b))
@@ -133,20 +113,11 @@ class Tokenizers:
         out = []
         for text, b in zip(batch, self.b.encode(batch, num_threads=1) if batch else []):
             whole = " " + text
-            a = self._ids_a(whole) if text else []
+            a = self.a.ids(whole) if text else []
             same = text and b"".join([self.bytes_a[i] for i in a]) == (data := whole.encode("utf-8")) and b"".join([self.bytes_b[i] for i in b]) == data
             out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
         return out
 
-    def _ids_a(self, text: str) -> list[int]:
-        if len(text) < BLANKS or not _BLANK_RUN.search(text):
-            return self.a.encode_ordinary(text)
-        from tokenizers import Tokenizer
-
-        other = Tokenizer.from_str(self.model_a)
-        other.encode_special_tokens = True
-        return other.encode(text, add_special_tokens=False).ids
-
     def pair_kind(self) -> str:
         """The type that holds a pair of ids as one number, a's id times B's size plus b's."""
         return "<u4" if len(self.bytes_a) * len(self.bytes_b) < 1 << 32 else "<u8"

@@ -141,14 +141,14 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, model: str, end_id: int,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from fieldweave.llm.bpe import WordCache
+        from fieldweave.llm.bpe import ByteBpe
 
-        cache = WordCache.of(loaded.value)
+        bpe = ByteBpe.of(loaded.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 rows: list[tuple] = []
-                for i, data in zip(part.column(id_col).to_pylist(), cache.encode(texts(part, text_col))):
+                for i, data in zip(part.column(id_col).to_pylist(), bpe.encode(texts(part, text_col))):
                     data += end
                     n = len(data) // 4
                     start, length, piece = 0, n % capacity or min(n, capacity), 0

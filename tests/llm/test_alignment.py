@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from fieldweave.llm import alignment
+from fieldweave.llm import alignment, bpe
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", "plain words here", "a  b", " ▁x", "</s> <|endoftext|>", "café 日本 \U0001f642", "x\x00y", "\n\n", "tab\tand\r\n", "word " * 40_000, " 　", "it's 2024!"]
@@ -27,7 +27,7 @@ def brute(texts):
     slow = Tokenizer.from_file(A)
     slow.encode_special_tokens = True
     own = sentencepiece.SentencePieceProcessor(model_file=B)
-    back = {alignment.byte_level(chr(c)): chr(c) for c in [*range(33, 127), *range(161, 173), *range(174, 256), *range(256, 324)]}
+    back = {bpe.byte_level(chr(c)): chr(c) for c in [*range(33, 127), *range(161, 173), *range(174, 256), *range(256, 324)]}
     back = {c: b for b, c in back.items()}
     out = []
     for text in texts:
@@ -73,9 +73,12 @@ def test_ids_are_those_of_the_file(both):
     rng = random.Random(2)
     pool = [" ", "  ", "\n", "\t", "a", "'s", "12", "é", "日", " ", "　", "\U0001f642", "\x00", "\r\n", "<|endoftext|>", "ſ", "\x85", "Wort", "ñ"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(3_000)] + ["ab" * 60_000, " " * 120_000 + "x"]
+    plain = bpe.ByteBpe.of(open(A, encoding="utf-8").read())
+    own = Tokenizer.from_file(A)
+    assert plain.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
     slow = Tokenizer.from_file(A)
     slow.encode_special_tokens = True
-    assert [both._ids_a(" " + t) for t in texts] == [e.ids for e in slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [both.a.ids(" " + t) for t in texts] == [e.ids for e in slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
 def test_links_groups_and_counts(spark, both):
