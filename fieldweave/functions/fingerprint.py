@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def list_digest(member: Column, order: Column) -> Column:
+    """SHA-256 of the ids joined by line feeds, in the given order (ties by id).
+
+    For sample lists, whose length is bounded; :func:`set_fingerprint` is for sets of any size.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct(order.alias("o"), member.cast("string").alias("m"))))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: x["m"]), "\n"), 256)
+
+
 def set_fingerprint(member: Column) -> Column:
     """Order-free digest of a set of distinct ids: count plus sums of two SHA-256 slices.
 

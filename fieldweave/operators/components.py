@@ -18,9 +18,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..session import cut_lineage
 from .crossproducts import array_matrix, gram_matrices, list_column, with_one
 from .onerow import attach_row
-from .ranking import value_ranks
 
 
 def with_array(df: DataFrame, vec: str, fn: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
@@ -171,59 +171,113 @@ def ica_scores(df: DataFrame, vec: str, fit: IcaFit, out: str = "scores") -> Dat
 
 
 # ---------------------------------------------------------------- component counts
-def permuted_vectors(df: DataFrame, row_id: str, vec: str, replicates: int, seed: int) -> DataFrame:
-    """(rep, features): every dimension permuted on its own, ``replicates`` times.
+BLOCK_BYTES = 64 << 20  # rows a task holds as one matrix
 
-    Rows get a dense index once. Dimension d of replicate b then moves row i to (a * i + c) mod n
-    with its own hashed multiplier a, made coprime to n, and offset c: a bijection of the rows
-    computed in place, so one shuffle regroups all replicates and nothing is sorted globally.
+
+def dealt_blocks(df: DataFrame, row_id: str, vec: str, dims: int, seed: int) -> DataFrame:
+    """(block, place, vec): rows dealt out by a hash of their id, about BLOCK_BYTES of numbers a block, in a fixed order.
+
+    Rows that share an id share a block; the order inside a block is that of a second hash, so every run
+    and every retry sees the same blocks.
     """
-    ranks = value_ranks(df.select(F.col(row_id).cast("double").alias("__id")), [], "__id")
-    indexed = df.withColumn("__id", F.col(row_id).cast("double")).join(ranks.select("__id", "below", "total"), "__id")
-    n = df.count()
-    spark = df.sparkSession
-    dims = df.select(F.size(vec).alias("d")).first()["d"]
-    rng = np.random.RandomState(seed)
+    rows = max(64, BLOCK_BYTES // (8 * max(dims, 1)))
+    number = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).alias("n")).first()["n"]
+    keyed = df.select(
+        F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(number)).cast("int").alias("block"), F.xxhash64(F.lit(seed + 1), row_id).alias("place"), vec)
+    return keyed.repartition(min(int(number), 100_000), "block").sortWithinPartitions("block", "place", vec)
 
-    def multiplier() -> int:
-        while True:
-            a = int(rng.randint(1, max(n, 2)))
-            if np.gcd(a, n) == 1:
-                return a
-
-    moves = [[(multiplier(), int(rng.randint(0, n))) for _ in range(dims)] for _ in range(replicates)]
-    maps = spark.createDataFrame([(b, [m[0] for m in row], [m[1] for m in row]) for b, row in enumerate(moves)], "rep int, a array<bigint>, c array<bigint>")
-    keyed = indexed.select(F.explode(F.array(*[F.lit(b) for b in range(replicates)])).alias("rep"), "below", "total", vec).join(F.broadcast(maps), "rep")
-    long = keyed.select(
-        "rep", "below", "total", "a", "c", F.posexplode(vec).alias("dim", "v")
-    ).select(
-        "rep", "dim", "v",
-        (F.pmod(F.col("a")[F.col("dim")].cast("decimal(38,0)") * F.col("below") + F.col("c")[F.col("dim")], F.col("total").cast("decimal(20,0)"))).cast("bigint").alias("row"),
-    )
-    return long.groupBy("rep", "row").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"].cast("double")).alias("features")
-    )
+
+def permuted_products(
+    blocks: DataFrame, vec: str, mean: np.ndarray, sd: np.ndarray, bases: list[np.ndarray], seed: int, permute: bool,
+) -> list[np.ndarray]:
+    """X'X q over all rows for every replicate's basis q, X standardised; dims x width numbers each.
+
+    With ``permute`` replicate r shuffles every column on its own inside each block before the product. Rows
+    are dealt to blocks at random, so what a block's shuffle leaves of a covariance is the share one over
+    its number of rows. Nothing is unfolded and no row moves again, whatever the number of replicates.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((mean, sd, bases))
+    dims = len(mean)
+
+    def fold(batches):
+        mean, sd, bases = shared.value
+        sums = [np.zeros((dims, q.shape[1])) for q in bases]
+        held: list[np.ndarray] = []
+        current = None
+
+        def close() -> None:
+            if held:
+                x = (np.vstack(held) - mean) / sd
+                for r, q in enumerate(bases):
+                    z = np.random.default_rng([seed, r, current]).permuted(x, axis=0) if permute else x
+                    sums[r] += z.T @ (z @ q)
+
+        for b in batches:
+            block, x = b.column(0).to_numpy(), array_matrix(b.column(1)) if b.num_rows else None
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    if current is not None and block[i] != current:
+                        close()
+                        held = []
+                    current = int(block[i])
+                    held.append(x[i:j])
+        close()
+        if current is not None:
+            for r, s in enumerate(sums):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(dims, r, np.int32)), pa.array(np.arange(dims, dtype=np.int32)), list_column(s)], names=["rep", "i", "row"])
+
+    part = blocks.select("block", vec).mapInArrow(fold, "rep int, i int, row array<double>")
+    summed = part.groupBy("rep", "i").agg(Summarizer.sum(array_to_vector("row")).alias("s")).select("rep", "i", vector_to_array("s").alias("row"))
+    out = [np.zeros((dims, q.shape[1])) for q in bases]
+    for b in summed.toArrow().to_batches():  # replicates x dims rows of the basis' width
+        if b.num_rows:
+            m = array_matrix(b.column(2))
+            for r, i, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), m):
+                out[r][i] = row
+    return out
+
+
+def leading_eigenvalues(
+    blocks: DataFrame, vec: str, mean: np.ndarray, sd: np.ndarray, n: int, k: int, replicates: int, seed: int, permute: bool, passes: int = 4, oversample: int = 10,
+) -> np.ndarray:
+    """replicates x k leading eigenvalues of the (permuted) correlation matrices, by randomized subspace iteration.
+
+    A random basis of k + oversample directions is multiplied by X'X and made orthonormal, ``passes`` times,
+    and the eigenvalues are those of the last product within the basis (Halko, Martinsson & Tropp 2011).
+    One pass serves all replicates. Where the basis spans all dimensions, one pass is exact.
+    """
+    dims = len(mean)
+    width = min(dims, k + oversample)
+    rng = np.random.RandomState(seed)
+    bases = [np.linalg.qr(rng.normal(size=(dims, width)))[0] for _ in range(replicates)]
+    for _ in range(1 if width == dims else passes):
+        sums = permuted_products(blocks, vec, mean, sd, bases, seed, permute)
+        small = [q.T @ s for q, s in zip(bases, sums)]
+        bases = [np.linalg.qr(s)[0] for s in sums] if width < dims else bases
+    return np.array([np.sort(np.linalg.eigvalsh((m + m.T) / 2))[::-1][:k] for m in small]) / (n - 1)
 
 
 def parallel_analysis(
-    df: DataFrame, row_id: str, vec: str, replicates: int = 15, percentile: float = 95.0, max_pcs: int = 300, seed: int = 0
+    df: DataFrame, row_id: str, vec: str, replicates: int = 15, percentile: float = 95.0, max_pcs: int = 300, seed: int = 0, fit: str | None = None,
 ) -> DataFrame:
-    """Horn's parallel analysis: observed against permuted eigenvalues of the correlation matrix."""
-    def eigen(g: np.ndarray) -> np.ndarray:
-        n = g[0, 0]
-        mean = g[0, 1:] / n
-        cov = g[1:, 1:] / n - np.outer(mean, mean)
-        sd = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
-        return np.sort(np.linalg.eigvalsh(cov / np.outer(sd, sd) * n / (n - 1)))[::-1]
-
-    observed = eigen(gram_matrices(df, vec, prepare=with_one)[""])
-    null = gram_matrices(permuted_vectors(df, row_id, vec, replicates, seed), "features", by="rep", prepare=with_one)
-    k = min(max_pcs, len(observed))
-    table = np.vstack([eigen(g)[:k] for g in null.values()])
+    """Horn's parallel analysis of the fit rows: observed against permuted eigenvalues of the correlation matrix.
+
+    (pc, observed, null_percentile, null_mean, above_null, retained). The blocks are checkpointed once and
+    read by every pass.
+    """
+    rows = df.where(F.col(fit)) if fit else df
+    stats = rows.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.transform(vec, lambda x: x.cast("double")))).alias("s")).select("s.*").first()
+    n = int(stats["count"])
+    mean, var = stats["mean"].toArray(), stats["variance"].toArray()
+    sd = np.where(var > 0, np.sqrt(var), 1.0)
+    k = min(max_pcs, len(mean), n)
+    blocks = cut_lineage(dealt_blocks(rows, row_id, vec, len(mean), seed))
+    observed = leading_eigenvalues(blocks, vec, mean, sd, n, k, 1, seed, permute=False)[0]
+    table = leading_eigenvalues(blocks, vec, mean, sd, n, k, replicates, seed, permute=True)
     edge = np.percentile(table, percentile, axis=0)
     out = df.sparkSession.createDataFrame(pd.DataFrame({
-        "pc": np.arange(1, k + 1, dtype="int32"), "observed": observed[:k], "null_percentile": edge, "null_mean": table.mean(0),
-        "above_null": observed[:k] > edge,
+        "pc": np.arange(1, k + 1, dtype="int32"), "observed": observed, "null_percentile": edge, "null_mean": table.mean(0), "above_null": observed > edge,
     }))
     return leading_run(out, "pc", "above_null")
 

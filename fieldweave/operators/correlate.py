@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.pvalues import correlation_p, normal_p
+from ..functions.pvalues import correlation_p, normal_p, rank_sum_p
 from ..session import cut_lineage
 from .crossproducts import gram_matrices, with_one
 from .ranking import average_rank, value_ranks, with_average_rank, with_average_ranks
@@ -236,7 +236,11 @@ def variance_accounted(loadings: DataFrame, variances: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- tests and metrics
 def rank_sum(df: DataFrame, keys: list[str], group: str, value: str, a, b) -> DataFrame:
-    """Wilcoxon rank-sum of group a against b: U of a and the normal p with tie and continuity correction."""
+    """Wilcoxon rank-sum of group a against b: U of a and a two-sided p.
+
+    With fewer than 50 values on both sides and no ties p is exact, by counting orders; else it is the
+    normal one with tie and continuity correction (``exact`` says which).
+    """
     two = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     v = value_ranks(two, keys, value, [F.count_if(F.col(group) == a).alias("__na")])
     n = F.col("n")
@@ -250,7 +254,10 @@ def rank_sum(df: DataFrame, keys: list[str], group: str, value: str, a, b) -> Da
     var = na * nb / 12.0 * ((nn + 1) - F.try_divide(F.col("ties"), nn * (nn - 1)))
     dev = u - na * nb / 2.0
     z = F.when(var > 0, F.try_divide(dev - F.signum(dev) * 0.5, F.sqrt(var)))
-    return s.select(*keys, "n_a", nb.alias("n_b"), u.alias("u"), z.alias("z")).withColumn("p_value", normal_p(F.col("z")))
+    exact = (na < 50) & (nb < 50) & (na > 0) & (nb > 0) & (F.col("ties") == 0)
+    out = s.select(*keys, "n_a", nb.alias("n_b"), u.alias("u"), z.alias("z"), exact.alias("exact"))
+    counted = rank_sum_p(F.when(F.col("exact"), F.col("u")), F.col("n_a"), F.col("n_b"))
+    return out.withColumn("p_value", F.coalesce(counted, normal_p(F.col("z"))))
 
 
 def regression_metrics(df: DataFrame, keys: list[str], truth: str, pred: str) -> DataFrame:

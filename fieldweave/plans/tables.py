@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys as K, scalars as S
-from ..functions.fingerprint import set_fingerprint
+from ..functions.fingerprint import list_digest, set_fingerprint
 from ..operators import joins as J, schema as SC
 from ..sources import files as SF, genome as SG, vectors as SV
 from . import roles as R
@@ -530,6 +530,13 @@ def sample_fingerprint(t):
     return t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg(set_fingerprint(F.col("user_id")).alias("fingerprint"))
 
 
+@query("sample_list_digest", """SELECT c_mktsegment AS segment, count(*) AS n_samples, sha256(string_agg(c_nationkey::VARCHAR, chr(10) ORDER BY c_nationkey)) AS digest
+  FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) x GROUP BY c_mktsegment""")
+def sample_list_digest(t):
+    lines = t.customer.select(F.col("c_mktsegment").alias("segment"), "c_nationkey").distinct()
+    return lines.groupBy("segment").agg(F.count(F.lit(1)).alias("n_samples"), list_digest(F.col("c_nationkey"), F.col("c_nationkey")).alias("digest"))
+
+
 @query("correlation_p_values")
 def correlation_p_values(t):
     from ..functions.pvalues import chi2_p, correlation_p, normal_p, student_t_p

@@ -156,7 +156,7 @@ def prediction_rollup(t):
 @query("pca_variance")
 def pca_variance(t):
     f = T.with_fit_flag(R.crops(t), "genotype", 0.1, 0)
-    c = P.variance_curve(P.fit_pca(f, "features", 20, fit="is_fit"), t.spark)
+    c = P.variance_curve(P.fit_pca(f, "features", 64, fit="is_fit"), t.spark)
     return c.select("pc", r("explained_variance_ratio", 5).alias("explained_variance_ratio"), r("cumulative", 5).alias("cumulative"))
 
 
@@ -184,7 +184,8 @@ def ica_scores(t):
 
 @query("parallel_analysis")
 def parallel_analysis(t):
-    h = P.parallel_analysis(R.crops(t), "vec_id", "features", replicates=5, max_pcs=20)
+    f = T.with_fit_flag(R.crops(t), "genotype", 0.1, 0)
+    h = P.parallel_analysis(f, "vec_id", "features", fit="is_fit")
     return h.select("pc", r("observed").alias("observed"), r("null_percentile").alias("null_percentile"), "above_null", "retained")
 
 

@@ -83,20 +83,46 @@ def test_ica_recovers_planted_sources(spark):
     assert np.all(((s - s.mean(0)) ** 3).mean(0) >= 0)
 
 
-def test_permuted_vectors_are_permutations(spark):
-    x = np.arange(60.0).reshape(20, 3)
-    p = P.permuted_vectors(vectors(spark, x), "id", "features", 2, 7).toPandas()
-    for _, part in p.groupby("rep"):
-        v = np.vstack(part["features"])
-        assert v.shape == (20, 3) and np.array_equal(np.sort(v, axis=0), x)
-        assert not np.array_equal(v[np.argsort(v[:, 0])], x)
+def test_blocks_are_permuted_column_by_column(spark):
+    """Without a shuffle of columns the products are X'X; with it every column keeps its spread and loses its partners."""
+    rng = np.random.RandomState(7)
+    x = rng.normal(size=(500, 1)) + 0.3 * rng.normal(size=(500, 4))
+    blocks = P.dealt_blocks(vectors(spark, x), "id", "features", 4, 3)
+    assert np.allclose(np.vstack(blocks.orderBy("block", "place").toPandas()["features"]).sum(0), x.sum(0))
+    mean, sd, eye = x.mean(0), x.std(0, ddof=1), np.eye(4)
+    plain = P.permuted_products(blocks, "features", mean, sd, [eye], 1, False)[0]
+    assert np.allclose(plain / 499, np.corrcoef(x.T))
+    a, b = P.permuted_products(blocks, "features", mean, sd, [eye, eye], 1, True)
+    off = ~np.eye(4, dtype=bool)
+    assert np.allclose(np.diag(a), 499) and np.allclose(np.diag(b), 499) and np.abs(a[off]).max() < 0.25 * 499 and not np.allclose(a, b)
+    again = P.permuted_products(blocks.repartition(3, "block").sortWithinPartitions("block", "place"), "features", mean, sd, [eye, eye], 1, True)
+    assert np.allclose(again[0], a) and np.allclose(again[1], b)
+
+
+def test_range_finder_matches_dense_eigenvalues(spark):
+    """Fewer directions than dimensions: the leading eigenvalues still come out; many blocks add up."""
+    rng = np.random.RandomState(9)
+    x = rng.normal(size=(900, 5)) @ rng.normal(size=(5, 60)) + 0.5 * rng.normal(size=(900, 60))
+    df, old = vectors(spark, x), P.BLOCK_BYTES
+    try:
+        P.BLOCK_BYTES = 8 * 60 * 100
+        blocks = P.dealt_blocks(df, "id", "features", 60, 0)
+        assert blocks.select("block").distinct().count() == 9
+        got = P.leading_eigenvalues(blocks, "features", x.mean(0), x.std(0, ddof=1), 900, 5, 1, 0, False)[0]
+    finally:
+        P.BLOCK_BYTES = old
+    assert np.allclose(got, np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1][:5], rtol=1e-6)
 
 
 def test_parallel_analysis_finds_planted_rank(spark):
     rng = np.random.RandomState(6)
     x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 8)) * 2 + rng.normal(size=(400, 8))
-    h = P.parallel_analysis(vectors(spark, x), "id", "features", 4).toPandas().sort_values("pc")
+    h = P.parallel_analysis(vectors(spark, x), "id", "features").toPandas().sort_values("pc")
     assert h["retained"].tolist() == [True, True] + [False] * 6
+    assert np.allclose(h["observed"], np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1])
+    fit = np.arange(400) < 300
+    h = P.parallel_analysis(vectors(spark, x, is_fit=fit.tolist()), "id", "features", fit="is_fit").toPandas().sort_values("pc")
+    assert np.allclose(h["observed"], np.sort(np.linalg.eigvalsh(np.corrcoef(x[fit].T)))[::-1])
 
 
 def test_leading_run_stops_at_first_failure(spark):
