@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.pvalues import student_t_p
-from .correlate import covariance_array
+from .correlate import covariance_array, stacked, swept
 from .crossproducts import array_matrix
 from .kinship import mean_imputed
 from .onerow import attach_row
@@ -191,21 +191,20 @@ def block_extent(ld: DataFrame, thresholds: list[float]) -> DataFrame:
 @F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("effect", "se", "t", "df", "r2")]))
 def _ols_first(n: pd.Series, cov: pd.Series) -> pd.DataFrame:
     """Effect of the first predictor from n and the flat covariance of (y, x, covariates...)."""
-    out = []
-    for m, flat in zip(n, cov):
-        k = int(round(len(flat) ** 0.5))
-        c = np.asarray([np.nan if v is None else v for v in flat], dtype=float).reshape(k, k)
-        df = m - k
-        s = c[1:, 1:]
-        if df <= 0 or not np.all(np.isfinite(c)) or np.linalg.matrix_rank(s, tol=1e-10 * max(s.max(), 1e-300)) < k - 1:
-            out.append((None,) * 5)
-            continue
-        inv = np.linalg.inv(s)
-        b = inv @ c[1:, 0]
-        rss = max(c[0, 0] - b @ c[1:, 0], 0.0)
-        se = np.sqrt(rss * inv[0, 0] / df)
-        out.append((b[0], se, b[0] / se if se > 0 else None, float(df), 1 - rss / c[0, 0] if c[0, 0] > 0 else None))
-    return pd.DataFrame(out, columns=["effect", "se", "t", "df", "r2"], dtype="float64")
+    rows, c = stacked(cov)
+    out = np.full((len(n), 5), np.nan)
+    if len(rows):
+        k = c.shape[1]
+        df = n.to_numpy(float)[rows] - k
+        a, used = swept(c, range(1, k))
+        ok = (df > 0) & used.all(1) & np.isfinite(c).all((1, 2))
+        rss = np.maximum(a[:, 0, 0], 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            se = np.sqrt(rss * -a[:, 1, 1] / df)
+            got = np.column_stack([a[:, 0, 1], se, np.where(se > 0, a[:, 0, 1] / se, np.nan), df, np.where(c[:, 0, 0] > 0, 1 - rss / c[:, 0, 0], np.nan)])
+        out[rows] = np.where(ok[:, None], got, np.nan)
+    table = pd.DataFrame(out, columns=["effect", "se", "t", "df", "r2"])
+    return table.astype(object).where(table.notna(), None)
 
 
 def ols_effects(df: DataFrame, keys: list[str], y: str, predictors: list[str], min_n: int = 3) -> DataFrame:

@@ -115,31 +115,64 @@ def rank_vectors(df: DataFrame, row_id: str, vec: str, out: str = "ranks") -> Da
 
 
 # ---------------------------------------------------------------- partial correlation
+def stacked(flat: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a matrix, those matrices): flat covariance matrices of one size as an (m, k, k) array."""
+    rows = np.flatnonzero([v is not None for v in flat])
+    if not len(rows):
+        return rows, np.zeros((0, 1, 1))
+    m = np.array([[np.nan if x is None else x for x in flat.iloc[i]] for i in rows], dtype=float)
+    k = int(round(m.shape[1] ** 0.5))
+    return rows, m.reshape(len(rows), k, k)
+
+
+def swept(c: np.ndarray, columns: range) -> tuple[np.ndarray, np.ndarray]:
+    """Regress all variables of a stack of covariance matrices on ``columns``, pivot by pivot.
+
+    Returns the swept stack (residual covariances, slopes in the rows of the pivots, minus the inverse among
+    them) and which pivots were independent of those before; a dependent one is left out of its matrix.
+    """
+    a, used = c.copy(), np.zeros((len(c), len(columns)), bool)
+    own = np.diagonal(c, axis1=1, axis2=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i, j in enumerate(columns):
+            pivot = a[:, j, j]
+            ok = (pivot > 1e-10 * own[:, j]) & (own[:, j] > 0)
+            row = a[:, j, :] / np.where(ok, pivot, 1.0)[:, None]
+            new = a - a[:, :, j, None] * row[:, None, :]
+            new[:, j, :], new[:, :, j] = row, row
+            new[:, j, j] = -1.0 / np.where(ok, pivot, 1.0)
+            a = np.where(ok[:, None, None], new, a)
+            used[:, i] = ok
+    return a, used
+
+
+def _spread(values: np.ndarray, rows: np.ndarray, n: int) -> pd.Series:
+    out = np.full(n, np.nan)
+    out[rows] = values
+    return pd.Series(out).where(~np.isnan(out), None)
+
+
 @F.pandas_udf(DoubleType())
 def _partial_r(mats: pd.Series) -> pd.Series:
     """Partial correlation of the first two variables given the rest, from a flat covariance matrix."""
-    out = []
-    for flat in mats:
-        if flat is None:
-            out.append(None)
-            continue
-        k = int(round(len(flat) ** 0.5))
-        c = np.asarray(flat, dtype=float).reshape(k, k)
-        rest = c[:2, :2] - c[:2, 2:] @ np.linalg.pinv(c[2:, 2:]) @ c[2:, :2]
-        d = rest[0, 0] * rest[1, 1]
-        out.append(rest[0, 1] / np.sqrt(d) if d > 1e-12 * max(c[0, 0] * c[1, 1], 1e-300) else None)
-    return pd.Series(out, dtype="float64")
+    rows, c = stacked(mats)
+    if not len(rows):
+        return pd.Series([None] * len(mats), dtype="float64")
+    a, _ = swept(c, range(2, c.shape[1]))
+    d = a[:, 0, 0] * a[:, 1, 1]
+    ok = d > 1e-12 * np.maximum(c[:, 0, 0] * c[:, 1, 1], 1e-300)
+    return _spread(np.where(ok, a[:, 0, 1] / np.sqrt(np.where(ok, d, 1.0)), np.nan), rows, len(mats))
 
 
 @F.pandas_udf(DoubleType())
 def _r_squared(mats: pd.Series) -> pd.Series:
     """R2 of the first variable on the rest, from a flat covariance matrix."""
-    out = []
-    for flat in mats:
-        k = int(round(len(flat) ** 0.5))
-        c = np.asarray(flat, dtype=float).reshape(k, k)
-        out.append(float(c[0, 1:] @ np.linalg.pinv(c[1:, 1:]) @ c[1:, 0] / c[0, 0]) if c[0, 0] > 0 else None)
-    return pd.Series(out, dtype="float64")
+    rows, c = stacked(mats)
+    if not len(rows):
+        return pd.Series([None] * len(mats), dtype="float64")
+    a, _ = swept(c, range(1, c.shape[1]))
+    ok = c[:, 0, 0] > 0
+    return _spread(np.where(ok, 1 - a[:, 0, 0] / np.where(ok, c[:, 0, 0], 1.0), np.nan), rows, len(mats))
 
 
 def covariance_array(columns: list[str]) -> Column:
@@ -184,14 +217,17 @@ def rank_structure(df: DataFrame, keys: list[str], x: str, y: str, covariates: l
 # ---------------------------------------------------------------- regression
 @F.pandas_udf(StructType([StructField("intercept", DoubleType()), StructField("slopes", ArrayType(DoubleType()))]))
 def _solve_ols(means: pd.Series, cov: pd.Series) -> pd.DataFrame:
-    a, b = [], []
-    for m, flat in zip(means, cov):
-        m = np.asarray(m, dtype=float)
-        c = np.asarray(flat, dtype=float).reshape(len(m), len(m))
-        slope = np.linalg.pinv(c[1:, 1:]) @ c[1:, 0]
-        a.append(float(m[0] - slope @ m[1:]))
-        b.append(slope.tolist())
-    return pd.DataFrame({"intercept": a, "slopes": b})
+    rows, c = stacked(cov)
+    out = pd.DataFrame({"intercept": pd.Series([None] * len(means), dtype="float64"), "slopes": pd.Series([None] * len(means), dtype=object)})
+    if len(rows):
+        k = c.shape[1]
+        m = np.array([means.iloc[i] for i in rows], dtype=float)
+        a, used = swept(c, range(1, k))
+        slopes = np.where(used, a[:, 0, 1:], 0.0)
+        out.loc[rows, "intercept"] = m[:, 0] - (slopes * m[:, 1:]).sum(1)
+        for i, s in zip(rows, slopes.tolist()):
+            out.at[i, "slopes"] = s
+    return out
 
 
 def residuals(df: DataFrame, keys: list[str], y: str, covariates: list[str], out: str = "residual") -> DataFrame:

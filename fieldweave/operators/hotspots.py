@@ -131,36 +131,45 @@ def identical_sets(pairs: DataFrame) -> DataFrame:
     return sets_per_trait(pairs).groupBy("peaks").agg(F.count(F.lit(1)).alias("n_traits"), F.min("trait").alias("first_trait"))
 
 
-def set_distances(pairs: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Binary (Jaccard) distance between the distinct peak sets of traits.
-
-    Traits with identical sets are at distance 0 and share a row, so the comparison runs between
-    distinct sets. Sets become 0/1 vectors over them, one row per peak, and the shared counts are
-    one cross-product sum; no pair of traits is ever joined.
+def set_join(sets: DataFrame, least: float, name: str = "peaks", members: str = "members") -> DataFrame:
+    """(set_a, set_b, shared, similarity): pairs of sets whose Jaccard similarity is at least ``least`` > 0, exactly.
+
+    ``sets`` has one row a set: a name and its distinct members. Members are put in order of how many sets
+    hold them, rarest first. Two sets of that similarity share a member within their first
+    n - ceil(least n) + 1 (Chaudhuri et al. 2006), so only those prefixes are joined, sets of too
+    different sizes are dropped at once, and a pair is kept at the first prefix member it shares. Sets without
+    members have no pairs.
     """
-    from .crossproducts import gram_rows
-
-    sets = sets_per_trait(pairs).select("trait", "peaks")
-    names = [r["peaks"] for r in sets.select("peaks").distinct().orderBy("peaks").limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} distinct sets")
-    spark = pairs.sparkSession
-    index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "peaks string, i int")
-    member = index.select("i", F.explode(F.split("peaks", ",")).alias("peak"))
-    by_peak = member.groupBy("peak").agg(F.collect_set("i").alias("ii")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.array_contains("ii", k).cast("double")).alias("v")
-    )
-    rows = gram_rows(by_peak, "v").select(F.col("i").alias("a"), F.posexplode("row").alias("b", "shared"))
-    size = rows.where("a = b").select(F.col("a").alias("k"), F.col("shared").alias("size"))
-    pair = (
-        rows.where("a < b")
-        .join(size.select(F.col("k").alias("a"), F.col("size").alias("size_a")), "a")
-        .join(size.select(F.col("k").alias("b"), F.col("size").alias("size_b")), "b")
-        .join(index.select(F.col("i").alias("a"), F.col("peaks").alias("set_a")), "a")
-        .join(index.select(F.col("i").alias("b"), F.col("peaks").alias("set_b")), "b")
-    )
-    dist = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return pair.select("set_a", "set_b", dist.alias("distance"))
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    listed = sets.select(F.col(name).alias("s"), F.explode(F.array_distinct(members)).alias("m"))
+    common = listed.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
+    ordered = listed.join(common, "m").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("f", "m"))).alias("o"))
+    ordered = ordered.select("s", F.col("o.m").alias("o"), F.size("o").alias("n"))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    prefix = ordered.withColumn("p", F.slice("o", F.lit(1), first))
+    side = lambda x: prefix.select(F.explode("p").alias("m"), *[F.col(c).alias(f"{c}_{x}") for c in ("s", "o", "p", "n")])
+    near = (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)
+    pairs = side("a").join(side("b"), "m").where((F.col("s_a") < F.col("s_b")) & near)
+    pairs = pairs.where(F.get(F.array_intersect("p_a", "p_b"), F.lit(0)) == F.col("m"))
+    shared = F.size(F.array_intersect("o_a", "o_b"))
+    out = pairs.select(F.col("s_a").alias("set_a"), F.col("s_b").alias("set_b"), shared.alias("shared"), (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity"))
+    return out.where(F.col("similarity") >= least - 1e-12)
+
+
+def set_distances(pairs: DataFrame) -> DataFrame:
+    """Binary (Jaccard) distance between the distinct peak sets of traits, every pair of sets once.
+
+    Traits with identical sets are at distance 0 and share a row. Distances below 1 come from the set
+    join; the report then lists the disjoint pairs too, at distance 1, by numbering the sets and letting
+    each one name those after it: as many rows as the matrix has.
+    """
+    sets = sets_per_trait(pairs).select("peaks").distinct().withColumn("members", F.split("peaks", ","))
+    touching = set_join(sets, 1e-9).select("set_a", "set_b", (1 - F.col("similarity")).alias("distance"))
+    numbered = sets.select("peaks", (F.row_number().over(W.orderBy("peaks")) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("total"))
+    after = numbered.where("i < total - 1").select(F.col("peaks").alias("set_a"), F.explode(F.sequence(F.col("i") + 1, (F.col("total") - 1).cast("int"))).alias("i"))
+    every = after.join(numbered.select(F.col("peaks").alias("set_b"), "i"), "i").select("set_a", "set_b")
+    return every.join(touching, ["set_a", "set_b"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
 
 
 def label_runs(df: DataFrame, order: str, label: str, slice_size: int = 1_000_000) -> DataFrame:

@@ -362,6 +362,14 @@ def set_distances(t):
     return H.set_distances(pairs(t)).withColumn("distance", r("distance"))
 
 
+@query("similar_sets", f"""WITH s AS (SELECT trait, string_split(peaks, ',') AS l FROM {_SETS} z), p AS (SELECT a.trait AS set_a, b.trait AS set_b, len(list_intersect(a.l, b.l)) AS shared, len(a.l) + len(b.l) AS n FROM s a JOIN s b ON a.trait < b.trait)
+  SELECT set_a, set_b, shared::INT AS shared, {q("shared / (n - shared)")} AS similarity FROM p WHERE shared >= 0.6 * (n - shared)""")
+def similar_sets(t):
+    """Traits whose peak sets are alike to 0.6 or more."""
+    sets = H.sets_per_trait(pairs(t)).select("trait", F.split("peaks", ",").alias("members"))
+    return H.set_join(sets, 0.6, "trait").withColumn("similarity", r("similarity"))
+
+
 # ---------------------------------------------------------------- grouped transforms
 @query("winsorize", f"""WITH e AS (SELECT environment, quantile_cont(price, 0.05) AS lo, quantile_cont(price, 0.95) AS hi FROM {R.PLOTS} p GROUP BY environment)
   SELECT environment, genotype, {q("avg(least(greatest(price, lo), hi))", 2)} AS mean FROM {R.PLOTS} p JOIN e USING (environment) GROUP BY environment, genotype""")

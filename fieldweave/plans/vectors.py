@@ -79,10 +79,23 @@ def rank_partial(t):
     return p.select("environment", "n", r("r").alias("r"), r("partial_r").alias("partial_r"))
 
 
-@query("rank_partial_two_covariates")
+_RANKED2 = f"(SELECT environment, {_rk('price')}, {_rk('discount')}, {_rk('area')}, {_rk('tax')} FROM {R.PLOT_MEANS} m)"
+
+
+@query("rank_partial_two_covariates", f"""WITH c AS (SELECT environment, count(*) AS n, corr(price_rank, discount_rank) AS r, corr(price_rank, area_rank) AS xa, corr(discount_rank, area_rank) AS ya,
+    corr(price_rank, tax_rank) AS xt, corr(discount_rank, tax_rank) AS yt, corr(area_rank, tax_rank) AS zt FROM {_RANKED2} k GROUP BY environment),
+  g AS (SELECT environment, n, r, (r - xa * ya) / sqrt((1 - xa * xa) * (1 - ya * ya)) AS xy, (xt - xa * zt) / sqrt((1 - xa * xa) * (1 - zt * zt)) AS xg, (yt - ya * zt) / sqrt((1 - ya * ya) * (1 - zt * zt)) AS yg FROM c)
+  SELECT environment, n, {q("r")} AS r, {q("(xy - xg * yg) / sqrt((1 - xg * xg) * (1 - yg * yg))")} AS partial_r FROM g""")
 def rank_partial_two(t):
+    """Given two covariates: one after the other by the recursion of partial correlations."""
+    p = C.rank_partial(means(t), ["environment"], "price", "discount", ["area", "tax"])
+    return p.select("environment", "n", r("r").alias("r"), r("partial_r").alias("partial_r"))
+
+
+@query("rank_partial_p")
+def rank_partial_p(t):
     p = C.rank_partial(means(t), ["environment"], "price", "discount", ["area", "tax"])
-    return p.select("environment", "n", *[r(c).alias(c) for c in ("r", "partial_r", "p_value", "partial_p")])
+    return p.select("environment", r("p_value", 6).alias("p_value"), r("partial_p", 6).alias("partial_p"))
 
 
 @query("rank_structure", f"""SELECT environment, n, {q("ra * ra")} AS r2_x, {q("rb * rb")} AS r2_y, {q("1 - abs((r - ra * rb) / sqrt((1 - ra * ra) * (1 - rb * rb))) / abs(r)", 3)} AS share_removed, {q("ra")} AS r_x_area FROM {_CORRS} c""")
@@ -96,7 +109,8 @@ def geometry_r2(t):
     return C.dimension_r2(scored_images(t), "features", ["score"]).withColumn("r2", r("r2"))
 
 
-@query("geometry_r2_two_covariates")
+@query("geometry_r2_two_covariates", f"""WITH c AS (SELECT dim, corr(value, score) AS a, corr(value, image_no % 7) AS b, corr(score, image_no % 7) AS s FROM {_JOINED} j GROUP BY dim)
+  SELECT dim::INT AS dim, {q("(a * a + b * b - 2 * a * b * s) / (1 - s * s)")} AS r2 FROM c""")
 def geometry_r2_two(t):
     return C.dimension_r2(scored_images(t).withColumn("second", F.col("image_no") % 7), "features", ["score", "second"]).withColumn("r2", r("r2"))
 

@@ -171,3 +171,45 @@ def test_forest_keeps_groups_whole(spark):
     assert np.corrcoef(p["y"], p["prediction"])[0, 1] > 0.7
     top = imp.groupBy("feature").agg(F.avg("importance").alias("m")).orderBy(F.desc("m")).first()
     assert top["feature"] == 0
+
+
+def test_stacked_regressions_match_lstsq(spark):
+    """Every matrix of a stack on its own, dependent columns left out, null and constant groups apart."""
+    from fieldweave.operators import association as A, correlate as C
+
+    rng = np.random.RandomState(14)
+    frames = []
+    for g, kind in enumerate(["plain", "plain", "twice", "flat", "few"]):
+        n = 3 if kind == "few" else 40
+        x, z = rng.normal(size=n), rng.normal(size=n)
+        z = 2 * x if kind == "twice" else z
+        y = np.zeros(n) if kind == "flat" else 1.5 * x - z + rng.normal(size=n)
+        frames.append(pd.DataFrame({"g": f"{g}{kind}", "y": y, "x": x, "z": z, "id": np.arange(n)}))
+    pdf = pd.concat(frames)
+    df = spark.createDataFrame(pdf)
+    res = C.residuals(df, ["g"], "y", ["x", "z"]).toPandas()
+    for g, part in res.groupby("g"):
+        design = np.column_stack([np.ones(len(part)), part["x"], part["z"]])
+        want = part["y"] - design @ np.linalg.lstsq(design, part["y"], rcond=None)[0]
+        assert np.allclose(part["residual"], want, atol=1e-8)
+    ols = {r["g"]: r for r in A.ols_effects(df, ["g"], "y", ["x", "z"]).collect()}
+    one = pdf[pdf["g"] == "0plain"]
+    b = np.linalg.lstsq(np.column_stack([np.ones(40), one["x"], one["z"]]), one["y"], rcond=None)[0]
+    assert ols["0plain"]["effect"] == pytest.approx(b[1]) and ols["2twice"]["effect"] is None and ols["4few"]["effect"] is None and ols["3flat"]["r2"] is None
+    part = {r["g"]: r["partial_r"] for r in C.rank_partial(df, ["g"], "x", "y", ["z"]).collect()}
+    rank = one[["x", "y", "z"]].rank()
+    e = [rank[c] - np.polyval(np.polyfit(rank["z"], rank[c], 1), rank["z"]) for c in "xy"]
+    assert part["0plain"] == pytest.approx(np.corrcoef(*e)[0, 1]) and part["3flat"] is None and part["2twice"] is None
+
+
+def test_set_join_is_exact(spark):
+    """Prefix and length filters lose nothing: against all pairs, at several thresholds, with hot and rare members."""
+    from fieldweave.operators import hotspots as H
+
+    rng = np.random.RandomState(15)
+    sets = {f"s{i:03d}": sorted({"hot"} | {f"m{int(v)}" for v in rng.zipf(1.4, size=rng.randint(1, 9)) % 30}) if i % 3 else [f"r{i % 5}", f"m{i % 4}"] for i in range(120)}
+    df = spark.createDataFrame([(k, v) for k, v in sets.items()] + [("empty", [])], "name string, members array<string>")
+    for least in (0.1, 0.5, 2 / 3, 0.8, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b])) - 1e-12}
+        got = [(r["set_a"], r["set_b"]) for r in H.set_join(df, least, "name").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
