@@ -12,26 +12,30 @@ def leaf_axes(points: DataFrame, image: str = "image") -> DataFrame:
     """Centre, principal axis, angle, extents, length and width of every image.
 
     The axis is the leading eigenvector of the 2 x 2 covariance in closed form; if the extent across
-    it is larger, the two axes change places.
+    it is larger, the two axes change places. Of either axis the entry that is larger in size is positive, so
+    that windows always step from the same end.
     """
     mom = points.groupBy(image).agg(
         F.count(F.lit(1)).alias("n_points"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
         F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"),
     )
     theta = F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")) / 2
-    axes = mom.select(image, "n_points", "cx", "cy", F.cos(theta).alias("ax"), F.sin(theta).alias("ay"))
+    ax, ay = F.cos(theta), F.sin(theta)
+    pinned = lambda x, y: F.when(F.when(F.abs(x) >= F.abs(y), x).otherwise(y) < 0, -1.0).otherwise(1.0)
+    turned = mom.select(image, "n_points", "cx", "cy", ax.alias("ax"), ay.alias("ay"), pinned(ax, ay).alias("s"), pinned(-ay, ax).alias("t"))
+    c = F.col
+    axes = turned.select(image, "n_points", "cx", "cy", (c("ax") * c("s")).alias("ax"), (c("ay") * c("s")).alias("ay"), (-c("ay") * c("t")).alias("px"), (c("ax") * c("t")).alias("py"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    along, across = dx * F.col("ax") + dy * F.col("ay"), -dx * F.col("ay") + dy * F.col("ax")
-    span = points.select(image, "x", "y").join(axes, image).groupBy(image, "n_points", "cx", "cy", "ax", "ay").agg(
+    along, across = dx * F.col("ax") + dy * F.col("ay"), dx * F.col("px") + dy * F.col("py")
+    span = points.select(image, "x", "y").join(axes, image).groupBy(image, "n_points", "cx", "cy", "ax", "ay", "px", "py").agg(
         F.min(along).alias("a0"), F.max(along).alias("a1"), F.min(across).alias("b0"), F.max(across).alias("b1")
     )
     swap = (F.col("b1") - F.col("b0")) > (F.col("a1") - F.col("a0"))
     pick = lambda yes, no: F.when(swap, yes).otherwise(no)
-    c = F.col
     out = span.select(
         image, "n_points", "cx", "cy",
-        pick(-c("ay"), c("ax")).alias("axis_x"), pick(c("ax"), c("ay")).alias("axis_y"),
-        pick(c("ax"), -c("ay")).alias("perp_x"), pick(c("ay"), c("ax")).alias("perp_y"),
+        pick(c("px"), c("ax")).alias("axis_x"), pick(c("py"), c("ay")).alias("axis_y"),
+        pick(c("ax"), c("px")).alias("perp_x"), pick(c("ay"), c("py")).alias("perp_y"),
         pick(c("b0"), c("a0")).alias("min_proj"), pick(c("b1"), c("a1")).alias("max_proj"),
         pick(c("a0"), c("b0")).alias("min_perp"), pick(c("a1"), c("b1")).alias("max_perp"),
     )

@@ -9,12 +9,15 @@ from ..operators import geometry as G
 from . import roles as R
 from .registry import q, query, r
 
-_M = f"""(SELECT image, count(*) AS n, avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS th FROM {R.POINTS} p GROUP BY image)"""
-_S = f"""(SELECT image, any_value(n) AS n, any_value(cx) AS cx, any_value(cy) AS cy, cos(any_value(th)) AS ax, sin(any_value(th)) AS ay,
-  min((x - cx) * cos(th) + (y - cy) * sin(th)) AS a0, max((x - cx) * cos(th) + (y - cy) * sin(th)) AS a1,
-  min(-(x - cx) * sin(th) + (y - cy) * cos(th)) AS b0, max(-(x - cx) * sin(th) + (y - cy) * cos(th)) AS b1 FROM {R.POINTS} p JOIN {_M} m USING (image) GROUP BY image)"""
-_AXES = f"""(SELECT image, n, cx, cy, CASE WHEN sw THEN -ay ELSE ax END AS axis_x, CASE WHEN sw THEN ax ELSE ay END AS axis_y,
-  CASE WHEN sw THEN ax ELSE -ay END AS perp_x, CASE WHEN sw THEN ay ELSE ax END AS perp_y, CASE WHEN sw THEN b0 ELSE a0 END AS min_proj, CASE WHEN sw THEN b1 ELSE a1 END AS max_proj,
+_T = f"""(SELECT image, count(*) AS n, avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS th FROM {R.POINTS} p GROUP BY image)"""
+_M = f"""(SELECT image, n, cx, cy, cos(th) * s AS ax, sin(th) * s AS ay, -sin(th) * t AS px, cos(th) * t AS py FROM (SELECT *,
+  CASE WHEN (CASE WHEN abs(cos(th)) >= abs(sin(th)) THEN cos(th) ELSE sin(th) END) < 0 THEN -1 ELSE 1 END AS s,
+  CASE WHEN (CASE WHEN abs(sin(th)) >= abs(cos(th)) THEN -sin(th) ELSE cos(th) END) < 0 THEN -1 ELSE 1 END AS t FROM {_T} z) y)"""
+_S = f"""(SELECT image, any_value(n) AS n, any_value(cx) AS cx, any_value(cy) AS cy, any_value(ax) AS ax, any_value(ay) AS ay, any_value(px) AS px, any_value(py) AS py,
+  min((x - cx) * ax + (y - cy) * ay) AS a0, max((x - cx) * ax + (y - cy) * ay) AS a1,
+  min((x - cx) * px + (y - cy) * py) AS b0, max((x - cx) * px + (y - cy) * py) AS b1 FROM {R.POINTS} p JOIN {_M} m USING (image) GROUP BY image)"""
+_AXES = f"""(SELECT image, n, cx, cy, CASE WHEN sw THEN px ELSE ax END AS axis_x, CASE WHEN sw THEN py ELSE ay END AS axis_y,
+  CASE WHEN sw THEN ax ELSE px END AS perp_x, CASE WHEN sw THEN ay ELSE py END AS perp_y, CASE WHEN sw THEN b0 ELSE a0 END AS min_proj, CASE WHEN sw THEN b1 ELSE a1 END AS max_proj,
   CASE WHEN sw THEN a0 ELSE b0 END AS min_perp, CASE WHEN sw THEN a1 ELSE b1 END AS max_perp FROM (SELECT *, b1 - b0 > a1 - a0 AS sw FROM {_S} s) y)"""
 
 

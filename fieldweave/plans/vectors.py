@@ -233,12 +233,12 @@ def labelled_images(t):
 @query("ridge_curve")
 def ridge_curve(t):
     df = labelled_images(t).select("features", "score", "genotype")
-    c = M.ridge_curve(df, "features", "score", "genotype", counts=[1, 4, 16, 64], repeats=3, folds=4)
+    c = M.ridge_curve(df, "features", "score", "genotype", counts=list(range(1, 65)))
     return c.select("k", "penalty", r("mean_r2").alias("mean_r2"), r("sd_r2").alias("sd_r2"))
 
 
 @query("forest_cv")
 def forest_cv(t):
     df = labelled_images(t).select("image_no", "features", "score", "genotype")
-    preds, _ = M.forest_cross_validation(df, "features", "score", "genotype", outer=2, inner=2, tries=1, seed=0, trees=8)
+    preds, _ = M.forest_cross_validation(df, "features", "score", "genotype", outer=2, inner=2, tries=2, seed=0, grid=M.FOREST_GRID | {"numTrees": [10, 20]})
     return preds.select("image_no", "fold", r("prediction", 2).alias("prediction"))

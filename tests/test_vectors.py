@@ -161,11 +161,48 @@ def test_ridge_matches_direct_fit(spark):
     assert got.set_index("k").loc[1, "mean_r2"] < got.set_index("k").loc[4, "mean_r2"]
 
 
+def test_ridge_penalty_is_that_of_leaving_rows_out(spark):
+    rng = np.random.RandomState(18)
+    x = rng.normal(size=(60, 5))
+    y = x @ [2, -1, 0.5, 0, 0] + 3 * rng.normal(size=60)
+    df = vectors(spark, x, y=y, g=[f"g{i % 12}" for i in range(60)])
+    got = M.ridge_curve(df, "features", "y", "g", [1, 3, 5], repeats=2, folds=3).toPandas().set_index("k")
+    order = [int(d) for d in np.argsort([-abs(np.corrcoef(np.argsort(np.argsort(x[:, j])), np.argsort(np.argsort(y)))[0, 1]) for j in range(5)], kind="stable")]
+    for k in (1, 3, 5):
+        errors = []
+        for pen in M.PENALTIES:
+            e = 0.0
+            for i in range(60):
+                keep = np.arange(60) != i
+                a, b = x[keep][:, order[:k]], y[keep]
+                m = a.mean(0)
+                beta = np.linalg.solve((a - m).T @ (a - m) + pen * np.eye(k), (a - m).T @ (b - b.mean()))
+                e += (y[i] - b.mean() - (x[i, order[:k]] - m) @ beta) ** 2
+            errors.append(e)
+        assert got.loc[k, "penalty"] == pytest.approx(M.PENALTIES[int(np.argmin(errors))])
+
+
+def test_leaf_axis_points_the_same_way_whatever_its_slope(spark):
+    """The larger entry of either axis is positive, at -70 degrees as at 70; windows start at that end."""
+    rows = []
+    for image, angle in enumerate((-70, 70, 110, -20, 20)):
+        c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+        rows += [(image, 500 + u * c - v * s, 500 + u * s + v * c) for u in range(-100, 101, 4) for v in (-9, 0, 9)]
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in rows], "image int, x double, y double")
+    axes = G.leaf_axes(pts)
+    a = axes.toPandas().set_index("image").sort_index()
+    assert np.allclose(a["axis_y"][:3], np.abs(np.sin(np.radians([70, 70, 70])))) and np.allclose(a["axis_x"][:3], [-np.cos(np.radians(70)), np.cos(np.radians(70)), -np.cos(np.radians(70))])
+    assert (a["axis_x"][3:] > 0.9).all() and (a["perp_y"][3:] > 0.9).all() and (a["perp_x"][:3] > 0.9).all()
+    assert np.allclose(a["angle"], [110, 70, 110, 160, 20]) and np.allclose(a["length"], 200) and np.allclose(a["width"], 18)
+    w = G.crop_windows(pts, axes, 50.0, 10.0, 25.0, 1000.0, 1000.0).where("k = 0").toPandas().set_index("image").sort_index()
+    assert (w["center_y"][:3] < 430).all() and (w["center_x"][3:] < 430).all()
+
+
 def test_forest_keeps_groups_whole(spark):
     rng = np.random.RandomState(9)
     x = rng.normal(size=(200, 3))
     df = vectors(spark, x, y=x[:, 0] * 5, g=[f"g{i % 20}" for i in range(200)])
-    pred, imp = M.forest_cross_validation(df, "features", "y", "g", outer=2, inner=2, tries=2, trees=10)
+    pred, imp = M.forest_cross_validation(df, "features", "y", "g", outer=2, inner=2, tries=2, grid={"numTrees": [10], "maxDepth": [5, 10], "bootstrap": [True, False]})
     p = pred.toPandas()
     assert len(p) == 200 and p.groupby("g")["fold"].nunique().max() == 1
     assert np.corrcoef(p["y"], p["prediction"])[0, 1] > 0.7
