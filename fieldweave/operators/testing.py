@@ -32,6 +32,47 @@ def bh_qvalues_bounded(df: DataFrame, keys: list[str], p: str, out: str = "q_val
     return step.withColumn(out, F.when(usable, F.least(F.min("__c").over(tail), F.lit(1.0)))).drop("__c")
 
 
+def bh_cutoffs(df: DataFrame, keys: list[str], p: str = "p_value", alpha: float = 0.05, per_decade: int = 64) -> DataFrame:
+    """(keys, n_tested, cutoff, n_passing): the largest p that the Benjamini-Hochberg rule accepts at ``alpha``.
+
+    A histogram of p on a log scale, which adds up in the map tasks, says where the cut-off can be: a bucket
+    whose largest p passes at its own rank passes whole, one whose smallest p fails at its largest rank holds
+    none. Only the values of buckets in between, beyond the last that passes whole, are ranked. ``cutoff`` is
+    null where nothing passes. Null and NaN p are not tested.
+    """
+    usable = df.where(F.col(p).isNotNull() & ~F.isnan(p)).select(*keys, p)
+    usable = usable.withColumn("__b", F.when(F.col(p) > 0, F.floor(-F.log10(p) * per_decade)).otherwise(F.lit(1 << 20)).cast("int"))
+    cells = usable.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.min(p).alias("__lo"), F.max(p).alias("__hi"))
+    downward = W.partitionBy(*keys).orderBy(F.desc("__b"))  # a group has at most some thousand buckets
+    cells = cells.withColumns({"__c": F.sum("__n").over(downward), "__m": F.sum("__n").over(W.partitionBy(*keys))})
+    bound = F.lit(float(alpha)) * F.col("__c") / F.col("__m")
+    cells = cut_lineage(cells.withColumns({"__sure": F.col("__hi") <= bound, "__may": F.col("__lo") <= bound}))
+    whole = lambda c: F.when(F.col("__sure"), F.col(c))
+    sure = cells.groupBy(*keys).agg(F.max("__m").alias("n_tested"), F.max(whole("__hi")).alias("__p0"), F.max(whole("__c")).alias("__k0"), F.min(whole("__b")).alias("__edge"))
+    between = cells.join(sure.select(*keys, "__edge"), keys).where(F.col("__may") & ~F.col("__sure") & (F.col("__edge").isNull() | (F.col("__b") < F.col("__edge"))))
+    between = between.select(*keys, "__b", (F.col("__c") - F.col("__n")).alias("__before"), "__m")
+    ranked = value_ranks(usable.join(between.select(*keys, "__b"), [*keys, "__b"], "left_semi"), [*keys, "__b"], p)
+    place = F.col("__before") + F.col("below") + F.col("n")
+    found = ranked.join(between, [*keys, "__b"]).where(F.col(p) <= F.lit(float(alpha)) * place / F.col("__m"))
+    found = found.groupBy(*keys).agg(F.max(p).alias("__p1"), F.max(place).alias("__k1"))
+    out = sure.join(found, keys, "left")
+    return out.select(*keys, "n_tested", F.coalesce("__p1", "__p0").alias("cutoff"), F.coalesce("__k1", "__k0", F.lit(0)).cast("long").alias("n_passing"))
+
+
+def scan_report(scan: DataFrame, threshold: float, alpha: float = 0.05, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary per trait, markers that pass, best k markers per trait) of a scan, which is stored once.
+
+    Markers pass by ``threshold`` or by the Benjamini-Hochberg rule at ``alpha`` within their trait.
+    """
+    scan = cut_lineage(scan.where(F.col("p_value").isNotNull()))
+    cut = bh_cutoffs(scan, ["trait"], "p_value", alpha)
+    summary = trait_summary(scan, threshold).join(cut.select("trait", F.col("cutoff").alias("bh_cutoff"), F.col("n_passing").alias("n_bh")), "trait")
+    hits = scan.join(cut.select("trait", "cutoff"), "trait").withColumns({
+        "passes_threshold": F.col("p_value") <= threshold, "passes_bh": F.coalesce(F.col("p_value") <= F.col("cutoff"), F.lit(False)),
+    }).where("passes_threshold OR passes_bh").drop("cutoff")
+    return summary, hits, top_markers(scan, k)
+
+
 def expected_quantiles(df: DataFrame, keys: list[str], p: str = "p_value", piece: int = 65_536) -> DataFrame:
     """(observed, expected) -log10 pairs per group; tied p-values take consecutive ranks.
 

@@ -215,6 +215,40 @@ def disease_screen(t):
     return best.select("marker", r("best_r2").alias("best_r2"), "best_trait")
 
 
+# Student's t tail in closed form: a finite sum of powers of cos^2 for any whole number of degrees of freedom.
+_LS = f"""(WITH s AS (SELECT trait, marker, count(*) - 2 AS df, regr_slope(y, x) AS effect, sqrt(regr_sxx(y, x) * (count(*) - 2) / (regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x))) * regr_slope(y, x) AS t
+    FROM {_PX} z GROUP BY trait, marker HAVING var_pop(x) > 0),
+  a AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM s)
+  SELECT trait, marker, effect, 1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * power(cos(th), 2 * j))))
+    ELSE sin(th) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * power(cos(th), 2 * j))) END AS p FROM a)"""
+_BH = f"""(SELECT *, max(CASE WHEN p <= 0.9 * i / m THEN i END) OVER (PARTITION BY trait) AS k, max(CASE WHEN p <= 0.9 * i / m THEN p END) OVER (PARTITION BY trait) AS cutoff FROM
+  (SELECT *, rank() OVER (PARTITION BY trait ORDER BY p) + count(*) OVER (PARTITION BY trait, p) - 1 AS i, count(*) OVER (PARTITION BY trait) AS m FROM {_LS} l) z)"""
+
+
+def scanned(t):
+    from ..operators import testing as TS
+
+    return TS.scan_report(least_squares(t), 0.001, 0.9, 5)
+
+
+@query("scan_summary", f"""SELECT trait, count(*) AS n_tested, {q("min(p)", 6)} AS min_p, count(*) FILTER (WHERE p <= 0.001) AS n_significant, {q("any_value(cutoff)", 6)} AS bh_cutoff, coalesce(any_value(k), 0)::BIGINT AS n_bh FROM {_BH} b GROUP BY trait""")
+def scan_summary(t):
+    """From the panel to tests to cut-offs to counts, per trait."""
+    s = scanned(t)[0]
+    return s.select("trait", "n_tested", r("min_p", 6).alias("min_p"), "n_significant", r("bh_cutoff", 6).alias("bh_cutoff"), "n_bh")
+
+
+@query("scan_hits", f"""SELECT trait, marker, {q("effect")} AS effect, {q("p", 6)} AS p_value, p <= 0.001 AS passes_threshold, coalesce(p <= cutoff, false) AS passes_bh FROM {_BH} b WHERE p <= 0.001 OR p <= cutoff""")
+def scan_hits(t):
+    h = scanned(t)[1]
+    return h.select("trait", "marker", r("effect").alias("effect"), r("p_value", 6).alias("p_value"), "passes_threshold", "passes_bh")
+
+
+@query("scan_top", f"""SELECT trait, marker, {q("p", 6)} AS p_value, rank FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY p, marker)::INT AS rank FROM {_LS} l) z WHERE rank <= 5""")
+def scan_top(t):
+    return scanned(t)[2].select("trait", "marker", r("p_value", 6).alias("p_value"), "rank")
+
+
 @query("screen_verdicts")
 def screen_verdicts(t):
     """The screen in its mixed-model form: components of all markers, kinship without the marker's chromosome."""

@@ -117,3 +117,22 @@ def test_ranks_read_their_input_twice(spark, tmp_path):
 
     assert scans(K.value_ranks(table, [], "y")) <= 2
     assert scans(spearman_by_dimension(table.withColumn("s", F.col("y") > 9), ["s"], "f", "y")) <= 6
+
+
+def test_bh_cutoffs_match_the_rule(spark):
+    """Signal, none, all equal, zeros, ties at the cut-off and missing p, against sorting."""
+    rng = np.random.RandomState(11)
+    groups = {
+        "signal": np.r_[rng.uniform(size=900), 10 ** -rng.uniform(2, 12, size=100)], "none": rng.uniform(0.3, 1, size=400), "equal": np.full(50, 0.04), "zeros": np.r_[np.zeros(5), rng.uniform(size=60)],
+        "ties": np.round(rng.uniform(size=500) ** 3, 2), "one": np.array([0.05]), "dense": np.sort(rng.uniform(size=2000)) * 0.06,
+    }
+    rows = [(g, float(v)) for g, p in groups.items() for v in p] + [("signal", None), ("none", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "trait string, p_value double").repartition(5)
+    for alpha in (0.05, 0.5, 0.01):
+        got = {r["trait"]: r for r in TS.bh_cutoffs(df, ["trait"], alpha=alpha).collect()}
+        assert set(got) == set(groups)
+        for g, p in groups.items():
+            s = np.sort(p)
+            ok = np.flatnonzero(s <= alpha * np.arange(1, len(s) + 1) / len(s))
+            cut = s[ok[-1]] if len(ok) else None
+            assert got[g]["n_tested"] == len(s) and got[g]["cutoff"] == cut and got[g]["n_passing"] == (int((s <= cut).sum()) if len(ok) else 0), (g, alpha)
