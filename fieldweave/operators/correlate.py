@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.pvalues import correlation_p, normal_p, rank_sum_p
 from ..session import cut_lineage
-from .crossproducts import gram_matrices, with_one
+from .crossproducts import TILE, gram_matrices, gram_tiles, tile_entries, with_one
 from .ranking import average_rank, value_ranks, with_average_rank, with_average_ranks
 from .testing import bh_qvalues_bounded
 
@@ -88,22 +88,17 @@ def score_correlation(df: DataFrame, env: str, vec: str, target: str, min_env: i
 
 
 # ---------------------------------------------------------------- matrices
-def correlation_from_gram(g: np.ndarray) -> np.ndarray:
-    """Correlation of columns 1.. from the Gram matrix of [1, x]."""
-    n = g[0, 0]
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = cov / np.outer(sd, sd)
-    return np.where(np.isfinite(c), c, np.nan)
-
-
-def correlation_matrix(df: DataFrame, vec: str) -> DataFrame:
-    """(i, j, r) for i < j from one cross-product pass."""
-    c = correlation_from_gram(gram_matrices(df, vec, prepare=with_one)[""])
-    i, j = np.triu_indices(len(c), 1)
-    return df.sparkSession.createDataFrame(pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "r": c[i, j]}))
+def correlation_matrix(df: DataFrame, vec: str, tile: int = TILE) -> DataFrame:
+    """(i, j, r) for i < j from one cross-product pass; products and results stay in Spark. Null without variance."""
+    cells = tile_entries(cut_lineage(gram_tiles(df, vec, prepare=with_one, tile=tile))).drop("grp")
+    n = cells.where("i = 0 AND j = 0").select("v").scalar()
+    sums = cells.where("i = 0 AND j > 0").select(F.col("j").alias("d"), F.col("v").alias("s"))
+    own = cells.where("i = j AND i > 0").select(F.col("i").alias("d"), F.col("v").alias("q")).join(sums, "d")
+    own = own.select("d", (F.col("s") / n).alias("m"), F.sqrt(F.greatest(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n), F.lit(0.0))).alias("sd"))
+    side = lambda x: own.select(F.col("d").alias(x), F.col("m").alias(f"m{x}"), F.col("sd").alias(f"s{x}"))
+    pairs = cells.where("i > 0 AND i < j").join(side("i"), "i").join(side("j"), "j")
+    r = (F.col("v") / n - F.col("mi") * F.col("mj")) / (F.col("si") * F.col("sj"))
+    return pairs.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.when((F.col("si") > 0) & (F.col("sj") > 0), r).alias("r"))
 
 
 def rank_vectors(df: DataFrame, row_id: str, vec: str, out: str = "ranks") -> DataFrame:

@@ -1,8 +1,10 @@
 """Cross-product sums of array columns: the one pass behind PCA, kinship and mixed models.
 
-Each task folds its Arrow batches into one k x k matrix and emits k rows; Spark adds them up by
-row number with a map-side combine. Only the finished k x k result may come to the driver, and k
-(dimensions, samples or design columns, never rows) is checked first.
+Each task folds its Arrow batches into products and emits their rows; Spark adds them up by row number
+with a map-side combine. ``gram_tiles`` keeps the products in tiles, of which a task holds a bounded number
+of bytes, and leaves the result in Spark, so neither a task nor the driver ever has all k x k numbers. For
+algebra that needs a whole matrix, ``gram_matrices`` brings one to the driver; k (dimensions, samples
+or design columns, never rows) is checked first.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 MAX_DIM = 10_000
+TILE = 1024
+OPEN_BYTES = 256 << 20  # products a task holds before it hands some on
 
 
 def array_matrix(column: pa.Array) -> np.ndarray:
@@ -45,6 +49,58 @@ def with_one(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
 
+def gram_tiles(
+    df: DataFrame, vec: str, by: str | None = None, prepare: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = TILE, open_bytes: int = OPEN_BYTES,
+) -> DataFrame:
+    """(grp, i, j0, row): ``row[p] = sum over rows of v[i] * v[j0 + p]`` for the tiles on and above the diagonal.
+
+    ``prepare`` maps a batch matrix before the product. Tiles beyond ``open_bytes`` a task are emitted early
+    and added up later; their number is no limit.
+    """
+    src = df.select(*([F.col(by).cast("string").alias("grp")] if by else [F.lit("").alias("grp")]), vec)
+
+    def emit(key: tuple[str, int, int], m: np.ndarray) -> pa.RecordBatch:
+        name, i, j = key
+        n = len(m)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(np.full(n, j, np.int32)), list_column(m)], names=["grp", "i", "j0", "row"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int], np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = array_matrix(batch.column(1))
+            x = x if prepare is None else prepare(x)
+            names, codes = np.unique(np.asarray(batch.column(0).fill_null("").to_pylist(), dtype=str), return_inverse=True)
+            for g, name in enumerate(names.tolist()):
+                part = x if len(names) == 1 else x[codes == g]
+                for i in range(0, x.shape[1], tile):
+                    for j in range(i, x.shape[1], tile):
+                        m = part[:, i:i + tile].T @ part[:, j:j + tile]
+                        key = name, i, j
+                        if key in held:
+                            held[key] += m
+                        else:
+                            held[key] = m
+                            size += m.nbytes
+                        while size > open_bytes and len(held) > 1:
+                            old = next(iter(held))
+                            size -= held[old].nbytes
+                            yield emit(old, held.pop(old))
+        for key, m in held.items():
+            yield emit(key, m)
+
+    summed = src.mapInArrow(fold, "grp string, i int, j0 int, row array<double>").groupBy("grp", "i", "j0").agg(Summarizer.sum(array_to_vector("row")).alias("s"))
+    return summed.select("grp", "i", "j0", vector_to_array("s").alias("row"))
+
+
+def tile_entries(tiles: DataFrame) -> DataFrame:
+    """(grp, i, j, v) with i <= j of tiles."""
+    out = tiles.select("grp", "i", "j0", F.posexplode("row").alias("p", "v")).select("grp", "i", (F.col("j0") + F.col("p")).alias("j"), "v")
+    return out.where("i <= j")
+
+
 def gram_rows(
     df: DataFrame,
     vec: str,

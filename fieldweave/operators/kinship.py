@@ -14,7 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .crossproducts import gram_matrices, list_column
+from ..session import cut_lineage
+from .crossproducts import TILE, gram_matrices, gram_tiles, list_column, tile_entries
 
 SAMPLE_LIMIT = 10_000
 
@@ -86,10 +87,26 @@ def loco_products(products: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {c: total - g for c, g in products.items()}
 
 
-def kinship_table(df: DataFrame, samples: list[str], k: np.ndarray) -> DataFrame:
-    i, j = np.triu_indices(len(k))
-    names = np.asarray(samples)
-    return df.sparkSession.createDataFrame(pd.DataFrame({"sample_a": names[i], "sample_b": names[j], "kinship": k[i, j]}))
+def kinship_pairs(markers: DataFrame, samples: list[str], tile: int = TILE) -> DataFrame:
+    """(sample_a, sample_b, kinship) for pairs in order of the sample list, a sample with itself among them.
+
+    VanRaden kinship as in :func:`kinship_from_products`, but by tiles: products, centring and result stay
+    in Spark, so the number of samples may go beyond what a driver's matrix takes.
+    """
+    prep = lambda x: np.column_stack([np.ones(len(x)), mean_imputed(x)])
+    cells = cut_lineage(gram_tiles(markers, "dosage", prepare=prep, tile=tile))
+    cells = tile_entries(cells).drop("grp")
+    inner = cells.where("i > 0")
+    ways = inner.select("i", "v").unionAll(inner.where("i < j").select(F.col("j").alias("i"), "v"))
+    n = len(samples)
+    row = ways.groupBy("i").agg((F.sum("v") / n).alias("m"))
+    mean = row.agg(F.avg("m")).scalar()
+    scale = cells.where("i = 0 AND j > 0").agg(F.sum("v") / n).scalar() - mean / 2.0
+    names = markers.sparkSession.createDataFrame(pd.DataFrame({"k": np.arange(1, n + 1, dtype="int32"), "sample": samples}))
+    side = lambda k, x: row.join(names, row["i"] == names["k"]).select(F.col("i").alias(k), F.col("m").alias(f"m_{x}"), F.col("sample").alias(f"sample_{x}"))
+    out = inner.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    centred = F.col("v") - F.col("m_a") - F.col("m_b") + mean
+    return out.select("sample_a", "sample_b", F.when(scale > 0, centred / scale).otherwise(0.0).alias("kinship"))
 
 
 def components_of(k: np.ndarray, n: int) -> np.ndarray:

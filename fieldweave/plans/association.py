@@ -39,16 +39,14 @@ _KIN = f"""WITH d AS (SELECT marker, chrom, sample, dosage - avg(dosage) OVER (P
   SELECT a.sample AS sample_a, b.sample AS sample_b, {q("sum(a.z * b.z) / any_value(w)")} AS kinship FROM d a JOIN d b ON a.marker = b.marker AND a.sample <= b.sample, s GROUP BY 1, 2""")
 def kinship(t):
     samples, v = panel(t)
-    k = K.kinship_from_products(sum(K.raw_products(v).values()))
-    return K.kinship_table(t.part, samples, k).withColumn("kinship", r("kinship"))
+    return K.kinship_pairs(v, samples).withColumn("kinship", r("kinship"))
 
 
 @query("kinship_without_chromosome", f"""{_KIN}, s AS (SELECT sum(2 * p * (1 - p)) / count(DISTINCT sample) AS w FROM d WHERE chrom <> 2)
   SELECT a.sample AS sample_a, b.sample AS sample_b, {q("sum(a.z * b.z) / any_value(w)")} AS kinship FROM (SELECT * FROM d WHERE chrom <> 2) a JOIN d b ON a.marker = b.marker AND a.sample <= b.sample, s GROUP BY 1, 2""")
 def kinship_loco(t):
     samples, v = panel(t)
-    k = K.kinship_from_products(K.loco_products(K.raw_products(v))["2"])
-    return K.kinship_table(t.part, samples, k).withColumn("kinship", r("kinship"))
+    return K.kinship_pairs(v.where("chrom <> 2"), samples).withColumn("kinship", r("kinship"))
 
 
 @query("genotype_components")

@@ -250,3 +250,30 @@ def test_set_join_is_exact(spark):
         want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b])) - 1e-12}
         got = [(r["set_a"], r["set_b"]) for r in H.set_join(df, least, "name").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tiles_add_up_within_a_byte_bound(spark):
+    """64 groups and tiles of 3 columns, few of them held at once, give the products of every group."""
+    from fieldweave.operators import correlate as C, crossproducts as X, kinship as K
+
+    rng = np.random.RandomState(16)
+    x = rng.normal(size=(640, 8))
+    g = [f"g{i % 64}" for i in range(640)]
+    df = vectors(spark, x, g=g).repartition(3)
+    cells = X.tile_entries(X.gram_tiles(df, "features", by="g", tile=3, open_bytes=4 * 9 * 8)).toPandas()
+    assert len(cells) == 64 * 36 and not cells.duplicated(["grp", "i", "j"]).any()
+    for name in ("g0", "g17", "g63"):
+        part = x[[v == name for v in g]]
+        own = cells[cells["grp"] == name]
+        assert np.allclose(own["v"], (part.T @ part)[own["i"], own["j"]])
+    flat = np.column_stack([x, np.ones(640)])
+    r = C.correlation_matrix(vectors(spark, flat), "features", tile=4).toPandas()
+    want = np.corrcoef(x.T)
+    assert len(r) == 36 and r[r["j"] == 8]["r"].isna().all() and np.allclose(r[r["j"] < 8]["r"], [want[i, j] for i, j in zip(r["i"], r["j"]) if j < 8])
+    m = rng.binomial(2, 0.4, size=(50, 7)).astype(float)
+    m[3, 2] = np.nan
+    panel = spark.createDataFrame([(f"m{i}", 1, i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(m)], "marker string, chrom int, pos long, dosage array<double>")
+    names = [f"s{i}" for i in range(7)]
+    k = K.kinship_pairs(panel, names, tile=3).toPandas()
+    full = K.kinship_from_products(sum(K.raw_products(panel).values()))
+    assert len(k) == 28 and np.allclose(k["kinship"], [full[int(a[1:]), int(b[1:])] for a, b in zip(k["sample_a"], k["sample_b"])])
