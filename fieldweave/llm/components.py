@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldweave.llm.common import stored
+from fieldweave.llm.common import discard, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
-        edges = stored(_star(_both_ways(_star(_both_ways(edges), True)), False), "edges")
+        old, edges = edges, stored(_star(_both_ways(_star(_both_ways(edges), True)), False), "edges")
+        discard(old)
         after = mark(edges)
         if after == before:
             break

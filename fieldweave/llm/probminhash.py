@@ -6,8 +6,9 @@ with the probability Jaccard of their weights,
 J_P = sum over shared d of 1 / sum over e of max(a(e)/a(d), b(e)/b(d)). A document stops as soon as
 no later arrival can win. Weights are 1 + ln(count) ("log"), the counts, or 1 ("set", for which J_P
 is the plain Jaccard). Bands of the signature name buckets; documents of a bucket are verified
-against its smallest member first, and only pairs that are not connected by then are verified
-one by one, so a large group of copies costs one pair a member and no link is lost.
+against its smallest member first. Members that are not connected by then are compared block against block,
+by matrices of their sketches and then by their texts, so a large group of copies costs one pair a member,
+one of near copies no row a pair, and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldweave.llm.common import ship, stored, texts
+from fieldweave.llm.common import discard, ship, stored, texts
 from fieldweave.llm.components import connected
 from fieldweave.llm.shingles import mix, shingles
 
 BANDS, ROWS = 40, 6  # misses a pair of similarity 0.8 with probability (1 - 0.8**6)**40 = 5e-6
+MEMBERS = 512  # members of a bucket in one block
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 WEIGHTS = {"log": lambda n: 1 + np.log(n), "count": lambda n: n.astype(float), "set": lambda n: np.ones(len(n))}
@@ -111,22 +113,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, weight: s
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, "id long, same binary, bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, weight: str, least: float) -> DataFrame:
-    """Pairs (a, b) whose exact J_P is ``least`` or more.
+def enough(least: float) -> float:
+    """Share of equal sketch bytes that a pair of similarity ``least`` falls short of with probability 1e-9."""
+    return least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
 
-    A pair reaches the exact comparison if its sketches agree in at least ``least`` less six
-    standard deviations of the components; a true link fails that with probability 1e-9.
-    """
-    m = BANDS * ROWS
-    need = least - 6 * (least * (1 - least) / m) ** 0.5
+
+def alike_stars(stars: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree well enough to be compared."""
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    need = enough(least)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
                 yield batch.filter(pa.array((x == y).mean(axis=1) >= need)).select(["a", "b"])
 
+    return stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: float) -> DataFrame:
+    """Pairs (a, b) whose exact J_P is ``least`` or more."""
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, tuple] = OrderedDict()
 
@@ -144,26 +151,76 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int,
             link = [probability_jaccard(weighed(i, x), weighed(j, y)) >= least for i, x, j, y in zip(a, texts(batch, "ta"), b, texts(batch, "tb"))]
             yield batch.filter(pa.array(link, pa.bool_())).select(["a", "b"])
 
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "pairs")
+    near = stored(pairs, "pairs")
     wanted = near.select(F.col("a").alias("id")).unionAll(near.select("b")).distinct()
     found = stored(docs.join(wanted, "id", "left_semi"), "texts")
     text = lambda x: found.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-    return stored(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
-
-
-def unconnected_pairs(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components.
-
-    Each such pair has a member outside the bucket's commonest component, so joining those members
-    with the bucket finds all, and a bucket of one component costs nothing.
+    out = stored(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
+    discard(near)
+    discard(found)
+    return out
+
+
+def matches(table: pa.Table, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a rare member and any member of a block: of different components, sketches alike, and
+    this bucket the first that the two share."""
+    column = lambda c: table.column(c).to_numpy()
+    ids, comps, rare = column("id"), column("c"), column("rare")
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    band, top = table.column("band")[0].as_py(), table.column("top")[0].as_py()
+    left, right = np.flatnonzero(rare), np.flatnonzero(~rare)
+    same = np.zeros((len(left), len(right)), np.int16)
+    for j in range(sketch.shape[1]):
+        same += sketch[left, j][:, None] == sketch[right, j][None, :]
+    once = (comps[right] == top)[None, :] | (ids[left][:, None] < ids[right][None, :])
+    x, y = np.nonzero((same >= need * sketch.shape[1]) & (comps[left][:, None] != comps[right][None, :]) & once)
+    x, y = left[x], right[y]
+    first = (bands[x] == bands[y]).argmax(axis=1) == band
+    return x[first], y[first]
+
+
+def block_links(table: pa.Table, need: float, least: float, size: int, weight: str) -> pa.Table:
+    """Pairs of a block (members with their texts) whose exact J_P is ``least`` or more; each text is shingled once."""
+    x, y = matches(table, need)
+    weighed = []
+    for text in texts(table):
+        hashes, counts = shingles(text, size)
+        weighed.append((hashes, WEIGHTS[weight](counts)))
+    link = np.array([probability_jaccard(weighed[i], weighed[j]) >= least for i, j in zip(x.tolist(), y.tolist())], bool)
+    ids = table.column("id").to_numpy()
+    a, b = ids[x[link]], ids[y[link]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def unconnected_links(buckets: DataFrame, component: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, weight: str, least: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components.
+
+    Each such pair has a member outside the bucket's commonest component, so those members are compared
+    with the whole bucket, block by block: first as matrices of sketches, which leaves the members that have
+    any alike, then by their texts. No pair is a row before it is a link, and a bucket of one component
+    costs nothing.
     """
-    rows = buckets.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rows = buckets.join(component, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rows = stored(rows.join(mixed, "key", "left_semi"), "mixed")
-    top = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("top"))
-    rare = rows.join(top, "key").where("c != top").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), "top")
-    pairs = rare.join(rows, "key").where("c != cx AND (c = top OR x < id)")
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    top = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    parts = lambda n: F.ceil(n / MEMBERS).cast("int")
+    dealt = rows.join(top, "key").withColumns({"parts": parts(F.col("n")), "rares": parts(F.col("n") - F.col("most")), "h": F.xxhash64("id", F.lit(7))})
+    every = dealt.withColumns({"rare": F.lit(False), "j": F.pmod("h", F.col("parts")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("rares") - 1))})
+    rare = dealt.where("c != top").withColumns({"rare": F.lit(True), "i": F.pmod("h", F.col("rares")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    blocks = every.unionByName(rare).select("key", "i", "j", "band", "top", "rare", "id", "c").join(sketches, "id")
+    need = enough(least)
+
+    def alike(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.unique(np.concatenate(matches(table, need)))))
+
+    near = stored(blocks.groupBy("key", "i", "j").applyInArrow(alike, blocks.schema), "blocks")
+    discard(rows)
+    found = near.join(docs.dropDuplicates(["id"]).join(near.select("id").distinct(), "id", "left_semi"), "id")
+    links = stored(found.groupBy("key", "i", "j").applyInArrow(lambda table: block_links(table, need, least, size, weight), "a long, b long").distinct(), "links")
+    discard(near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, weight: str = "log") -> DataFrame:
@@ -179,14 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = stored(signatures(known, "id", "text", size, weight), "signatures")
     first = sigs.groupBy("same").agg(F.min("id").alias("rep"))
     chosen = stored(sigs.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "chosen")
-    buckets = chosen.select("id", F.explode("bands").alias("key"))
+    buckets = chosen.select("id", F.posexplode("bands").alias("band", "key"))
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
     buckets = stored(buckets.join(heads, "key"), "buckets")
     stars = stored(buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    check = lambda pairs: verified(pairs, chosen, known, size, weight, least)
-    links = check(stars)
-    rest = unconnected_pairs(buckets.select("key", "id"), connected(links)).join(stars, ["a", "b"], "left_anti")
-    classes = connected(links.unionAll(check(rest)))
+    check = lambda pairs: verified(pairs, known, size, weight, least)
+    links = check(alike_stars(stars, chosen, least))
+    rest = unconnected_links(buckets.select("key", "band", "id"), connected(links), chosen, known, size, weight, least)
+    classes = connected(links.unionAll(rest))
     named = first.join(classes, first["rep"] == classes["id"], "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     out = sigs.select("id", "same").join(named, "same").select(F.col("id").alias(id_col), "class_id")
     out = out.unionAll(plain.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id")))
