@@ -221,7 +221,9 @@ def marking_slots(docs: list[np.ndarray], labels: list[int], edge: np.ndarray, s
         held = np.unique(slot[np.arange(size.sum()) + np.repeat(edge[words] - np.cumsum(size) + size, size)])
         every[held] += 1
         toxic[held] += bool(label)
-    return (toxic >= LEAST_DOCS) & (toxic >= LEAST_SHARE * every)
+    marks, often = np.zeros(1 << WIDE, bool), np.flatnonzero(toxic >= LEAST_DOCS)
+    marks[often] = toxic[often] >= LEAST_SHARE * every[often]
+    return marks
 
 
 def vocabulary(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +241,7 @@ def vocabulary(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         slots.append(slot)
         words = np.concatenate((words, found[new]))
     order = np.argsort(words)
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words))
     row = rank[np.concatenate(rows)]
     by_word = np.argsort(row, kind="stable")
