@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as K, scalars as S
 from ..functions.fingerprint import list_digest, set_fingerprint
 from ..operators import joins as J, schema as SC
+from ..operators.ranking import value_ranks
+from ..session import scratch_folder
 from ..sources import files as SF, genome as SG, vectors as SV
 from . import roles as R
 from .registry import q, query, r
@@ -504,8 +506,13 @@ def marker_labels(t):
 def natural_order(t):
     from pyspark.sql import Window as W
 
-    names = R.associations(t).select("trait").distinct()
-    return names.withColumn("position", F.row_number().over(W.orderBy(*K.natural_order(F.col("trait")))))
+    stem, number = K.natural_order(F.col("trait"))
+    names = R.associations(t).select("trait").distinct().withColumns({"stem": stem, "number": F.coalesce(number, F.lit(-1))})
+    sizes = names.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))  # a row for each kind of trait, such as PC or IC
+    before = sizes.select("stem", (F.sum("n").over(W.orderBy("stem")) - F.col("n")).alias("before"))
+    ranks = value_ranks(names, ["stem"], "number").select("stem", "number", "below")
+    placed = names.join(before, "stem").join(ranks, ["stem", "number"])
+    return placed.select("trait", (F.col("before") + F.col("below") + 1).cast("int").alias("position"))
 
 
 @query("effect_scales", f"""WITH s AS (SELECT trait, stddev_pop(effect) AS sd FROM {R.ASSOC} a GROUP BY trait)
@@ -545,3 +552,57 @@ def correlation_p_values(t):
     tt = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
     return a.select("trait", "n", r("r").alias("r"), r(correlation_p(F.col("r"), F.col("n")), 6).alias("p_corr"),
                     r(student_t_p(tt, F.col("n") - 2), 6).alias("p_t"), r(normal_p(tt), 6).alias("p_normal"), r(chi2_p(tt * tt), 6).alias("p_chi2"))
+
+
+# ------------------------------------------------------------------ round trips and schema rules
+@query("rewritten_vectors", f"""SELECT vec_id, image_id, len(features) AS dims, {q("features[1]")} AS first FROM {R.CROPS} c""")
+def rewritten_vectors(t):
+    """Vectors written, written again from themselves, and read back."""
+    path = scratch_folder(t.spark, "vectors")
+    SV.write_vectors(R.crops(t).select("vec_id", "image_id", "features"), path)
+    SV.write_vectors(SV.read_vectors(t.spark, path), path, keep_backup=False)
+    back = SV.read_vectors(t.spark, path)
+    return back.select("vec_id", "image_id", F.size("features").cast("long").alias("dims"), r(F.col("features")[0]).alias("first"))
+
+
+@query("saved_table", f"""SELECT trait, pos::INT AS pos, {q("p_value::FLOAT", 6)} AS p_value FROM {R.ASSOC} a WHERE chrom = 2""")
+def saved_table(t):
+    path = scratch_folder(t.spark, "region")
+    SF.save_table(R.associations(t).where("chrom = 2").select("trait", "pos", "p_value"), path, SF.REGION_COLUMNS, ["trait"])
+    return SF.load_table(t.spark, path, SF.REGION_COLUMNS).select("trait", "pos", r("p_value", 6).alias("p_value"))
+
+
+@query("saved_results", f"""SELECT trait, count(*) AS n, {q("min(p_value)", 8)} AS min_p FROM {R.ASSOC} a GROUP BY trait""")
+def saved_results(t):
+    """A summary saved with the record of its run, and read back; an empty result leaves no folder."""
+    path = scratch_folder(t.spark, "run")
+    a = R.associations(t)
+    summary = a.groupBy("trait").agg(F.count(F.lit(1)).alias("n"), F.min("p_value").alias("min_p"))
+    SF.save_results(t.spark, path, {"summary": summary, "significant": a.where("p_value < 0")}, {"threshold": 0})
+    back = t.spark.read.option("header", True).csv(f"{path}/summary")
+    return back.select("trait", F.col("n").cast("long").alias("n"), r(F.col("min_p").cast("double"), 8).alias("min_p"))
+
+
+@query("listed_images", """SELECT DISTINCT 'dir/' || (vec_id // 2) || '_LeafA-05_00_' || (vec_id % 2) || '.png' AS path, (vec_id // 2) || '_LeafA' AS image_key FROM embeddings""")
+def listed_images(t):
+    rows = R.crops(t).select("image_path").unionAll(R.crops(t).select(F.regexp_replace("image_path", "png$", "txt")))
+    return SF.listed_images(rows, "image_path", "/base").select(F.replace("path", F.lit("/base/"), F.lit("")).alias("path"), "image_key")
+
+
+@query("column_roles", """SELECT 'c_acctbal' AS name, 'feature' AS role, count(c_acctbal) AS n FROM customer UNION ALL SELECT 'c_custkey', 'feature', count(c_custkey) FROM customer
+  UNION ALL SELECT 'c_mktsegment', 'metadata', count(c_mktsegment) FROM customer UNION ALL SELECT 'c_nationkey', 'metadata', count(c_nationkey) FROM customer""")
+def column_roles(t):
+    """Which wanted columns are metadata and which are features, and how many values each holds."""
+    wanted = t.customer.select(SC.named_traits(t.customer, ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "c_custkey"]))
+    meta, features = SC.split_columns(wanted, r"c_(acct|cust)")
+    counts = wanted.agg(*[F.count(c).alias(c) for c in wanted.columns]).unpivot([], wanted.columns, "name", "n")
+    return counts.select("name", F.when(F.col("name").isin(features), "feature").otherwise("metadata").alias("role"), "n")
+
+
+@query("checked_provenance", """SELECT label % 3 AS part, count(*) AS n, 'genotype' AS fit_split_column FROM embeddings GROUP BY 1""")
+def checked_provenance(t):
+    """Component scores whose provenance columns are checked before they are used."""
+    scores = t.embeddings.select("label", F.col("embedding")[0].alias("PC1"), F.lit("genotype").alias("fit_split_column"), F.lit(0.1).alias("fit_test_frac"),
+                                 F.lit("fit").alias("fit_split_role"), F.lit(1).alias("n_fit_rows"), F.lit("skew").alias("ica_sign_source"))
+    SC.assert_provenance(scores)
+    return scores.groupBy((F.col("label") % 3).alias("part"), "fit_split_column").agg(F.count("PC1").alias("n")).select("part", "n", "fit_split_column")

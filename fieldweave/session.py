@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="fieldweave-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=eager)
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder, for tables that a job writes and reads again."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="fieldweave-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -168,3 +168,31 @@ def test_result_tables_and_sinks(spark, tmp_path):
     SF.save_results(spark, str(tmp_path / "out"), {"summary": df}, {"seed": 1})
     assert spark.read.option("header", True).csv(str(tmp_path / "out/summary")).count() == 1
     assert '"seed": 1' in spark.read.text(str(tmp_path / "out/run_metadata")).first()[0]
+
+
+def test_image_inputs_of_every_kind(spark, tmp_path):
+    for name in ("a_1.png", "b.JPG", "c.txt", "sub/d.tiff"):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_bytes(b"x")
+    (tmp_path / "list.csv").write_text("image_path,other\na_1.png,1\n a_1.png ,2\n/abs/e.png,3\nnotes.txt,4\n,5\n")
+    names = lambda source: sorted(r["path"].replace("file:", "").replace(str(tmp_path), "") for r in SF.image_inputs(spark, str(source)).collect())
+    assert names(tmp_path) == ["/a_1.png", "/b.JPG", "/sub/d.tiff"]
+    assert names(tmp_path / "a_1.png") == ["/a_1.png"] and names(tmp_path / "*.png") == ["/a_1.png"]
+    assert names(tmp_path / "list.csv") == ["/a_1.png", "/abs/e.png"]
+    with pytest.raises(ValueError, match="lacks column"):
+        SF.image_inputs(spark, str(tmp_path / "list.csv"), "missing")
+
+
+def test_saved_results_tell_of_the_run_and_drop_stale_ones(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    out = tmp_path / "out"
+    first = SF.save_results(spark, str(out), {"summary": df, "hits": df.where("v = 2")}, {"seed": 1})
+    assert (out / "hits").exists() and first["results"]["summary"]["rows"] == 2 and first["results"]["hits"]["seconds"] >= 0
+    again = SF.save_results(spark, str(out), {"summary": df.orderBy("v"), "hits": df.where("v > 2"), "top": None}, {"seed": 2})
+    assert not (out / "hits").exists() and list(again["results"]) == ["summary"]
+    assert again["results"]["summary"]["digest"] == first["results"]["summary"]["digest"] != first["results"]["hits"]["digest"]
+    line = json.loads(spark.read.text(str(out / "run_metadata")).first()[0])
+    assert line["params"] == {"seed": 2} and line["results"] == again["results"] and line["spark_version"] == spark.version
