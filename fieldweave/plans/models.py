@@ -74,17 +74,17 @@ def heritability_across(t):
     return B.line_mean_h2(vc, m, env="environment").select("trait", "n_plots", "n_genotypes", r("he", 3).alias("he"), r("hr", 3).alias("hr"), r("h2").alias("h2"), "converged", "reliable")
 
 
-# Every customer segment an environment, every nation a genotype with its first plots, as many in each: the
+# Every customer segment an environment, every fifth nation a genotype with its first plots, as many in each: the
 # closed ANOVA form of a balanced one-way layout.
 _BALANCED = """(SELECT environment, genotype, y FROM (SELECT environment, genotype, y, row_number() OVER (PARTITION BY environment, genotype ORDER BY k) AS place,
-    min(n) OVER (PARTITION BY environment) AS least FROM (SELECT c_mktsegment AS environment, 'N' || c_nationkey AS genotype, c_acctbal + 40 * c_nationkey AS y, c_custkey AS k,
-    count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer) x) z WHERE place <= least)"""
+    min(n) OVER (PARTITION BY environment) AS least FROM (SELECT c_mktsegment AS environment, 'N' || c_nationkey % 5 AS genotype, c_acctbal + 400 * (c_nationkey % 5) AS y, c_custkey AS k,
+    count(*) OVER (PARTITION BY c_mktsegment, c_nationkey % 5) AS n FROM customer) x) z WHERE place <= least)"""
 
 
 def balanced(t):
     from pyspark.sql import Window as W
 
-    c = t.customer.select(F.col("c_mktsegment").alias("environment"), F.concat(F.lit("N"), "c_nationkey").alias("genotype"), (F.col("c_acctbal") + 40 * F.col("c_nationkey")).alias("y"), F.col("c_custkey").alias("k"))
+    c = t.customer.select(F.col("c_mktsegment").alias("environment"), F.concat(F.lit("N"), F.col("c_nationkey") % 5).alias("genotype"), (F.col("c_acctbal") + 400 * (F.col("c_nationkey") % 5)).alias("y"), F.col("c_custkey").alias("k"))
     n = c.groupBy("environment", "genotype").agg(F.count(F.lit(1)).alias("n")).groupBy("environment").agg(F.min("n").alias("least"))
     place = F.row_number().over(W.partitionBy("environment", "genotype").orderBy("k"))
     return c.withColumn("place", place).join(n, "environment").where("place <= least").select("environment", "genotype", "y")
