@@ -13,7 +13,7 @@ import __spark_entry__ as E  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = E.queries(), E.oracle_sql()
 # Queries of several seconds, run by tools/check.py instead.
-SLOW = {"ica_scores", "heritability_across", "forest_cv", "parallel_analysis"}
+SLOW = {"ica_scores", "forest_cv"}
 
 
 @pytest.fixture(scope="session")
