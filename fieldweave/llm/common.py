@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -86,3 +88,48 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+FILTER_BITS, FILTER_SLICES = 1 << 26, 64
+
+
+def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows whose bigint id occurs in ``ids``, without a shuffle of the others.
+
+    A bitmap of hashed ids, of fixed size (8 MB), is merged slice by slice in Spark and broadcast; what passes
+    it, the wanted rows and few more, is joined exactly. Rows without an id are left out.
+    """
+    ship(rows.sparkSession)
+    each = FILTER_BITS // FILTER_SLICES
+    spots = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int").alias("spot")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = np.unique(batch.column("spot").to_numpy())
+            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        cut = bitmap.reshape(FILTER_SLICES, each // 8)
+        some = np.flatnonzero(cut.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(some.astype(np.int32)), "bits": pa.array([zlib.compress(cut[i].tobytes(), 1) for i in some], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = np.zeros(each // 8, np.uint8)
+        for part in table.column("bits").to_pylist():
+            whole |= np.frombuffer(zlib.decompress(part), np.uint8)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([zlib.compress(whole.tobytes(), 1)], pa.binary())})
+
+    bitmap = np.zeros((FILTER_SLICES, each // 8), np.uint8)
+    parts = ids.select(spots).distinct().mapInArrow(build, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary")
+    for r in parts.collect():  # at most FILTER_SLICES rows, FILTER_BITS bits in all
+        bitmap[r["slice"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("__spot").to_numpy()
+            good = (shared.value[at >> 3] >> (at & 7)) & 1
+            yield batch.filter(pa.array(good.astype(bool))).drop_columns(["__spot"])
+
+    known = rows.where(F.col(id_col).isNotNull())
+    passed = known.withColumn("__spot", F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).cast("int")).mapInArrow(keep, known.schema)
+    return passed.join(ids.select(id_col).distinct(), id_col, "left_semi")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fieldweave.llm.common import discard, ship, stored, texts
+from fieldweave.llm.common import discard, rows_with_ids, ship, stored, texts
 from fieldweave.llm.components import connected
 from fieldweave.llm.shingles import mix, shingles
 
@@ -153,7 +153,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: f
 
     near = stored(pairs, "pairs")
     wanted = near.select(F.col("a").alias("id")).unionAll(near.select("b")).distinct()
-    found = stored(docs.join(wanted, "id", "left_semi"), "texts")
+    found = stored(rows_with_ids(docs, wanted), "texts")
     text = lambda x: found.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     out = stored(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
     discard(near)
@@ -217,7 +217,7 @@ def unconnected_links(buckets: DataFrame, component: DataFrame, sketches: DataFr
 
     near = stored(blocks.groupBy("key", "i", "j").applyInArrow(alike, blocks.schema), "blocks")
     discard(rows)
-    found = near.join(docs.dropDuplicates(["id"]).join(near.select("id").distinct(), "id", "left_semi"), "id")
+    found = near.join(rows_with_ids(docs, near).dropDuplicates(["id"]), "id")
     links = stored(found.groupBy("key", "i", "j").applyInArrow(lambda table: block_links(table, need, least, size, weight), "a long, b long").distinct(), "links")
     discard(near)
     return links
