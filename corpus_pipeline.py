@@ -18,18 +18,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that three or more share except in the largest doc_id that holds them.
+
+    Null texts count as empty and come back empty; rows that repeat a doc_id are one document, each comes back.
+    """
     return drop_repeated_lines(docs).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the least doc_id; of texts without words (null, empty) one stays.
+
+    Rows without a doc_id stay; rows that repeat the id that stays all stay.
+    """
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes covered by a 200-byte string that also starts elsewhere; null texts come back empty."""
     return drop_repeated_substrings(docs).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every document's tokens, with its place in a sequence of at most 1,024; null texts are one end id."""
     return packing_report(docs)
 
 
