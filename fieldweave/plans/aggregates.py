@@ -138,6 +138,7 @@ def allele_medians_by_category(t):
 _PARTS = """(SELECT 'T' || l_suppkey AS trait, l_shipmode_src AS source, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY l_suppkey) AS proportion_variance
   FROM (SELECT l_suppkey, CASE l_linenumber WHEN 1 THEN 'genotype' WHEN 2 THEN 'row' WHEN 3 THEN 'column' WHEN 4 THEN 'block' WHEN 5 THEN 'device' WHEN 6 THEN 'Residual' ELSE 'elsewhere' END AS l_shipmode_src FROM lineitem) z
   GROUP BY l_suppkey, l_shipmode_src)"""
+# Categories of variance sources.
 CATEGORIES = {"genotype": "Genotype", "row": "Spatial", "column": "Spatial", "block": "Spatial", "device": "Device", "Residual": "Residual"}
 
 
